@@ -8,6 +8,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Markers that mean "missing", compared in upper case after trimming.
 NULL_MARKERS = ["", "NULL", "N/A", "NA"]
@@ -29,12 +30,12 @@ def _decode_series(values: pd.Series, unescape_first: bool) -> pd.Series:
     return values.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_then_unescape(values: pd.Series) -> pd.Series:
     return _decode_series(values, unescape_first=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_then_nfkc(values: pd.Series) -> pd.Series:
     return _decode_series(values, unescape_first=True)
 
@@ -60,40 +61,46 @@ def is_missing(col: Column) -> Column:
     return col.isNull() | F.upper(stripped).isin(NULL_MARKERS)
 
 
+def _settle(decoded: Column) -> Column:
+    value = squeeze(strip_tags(decoded))
+    return F.when(~F.upper(value).isin(NULL_MARKERS), value)
+
+
 def text(col: Column, order: str = "nfkc_first") -> Column:
     """Decoded, tag-free, single-spaced text; missing markers become NULL."""
-    value = squeeze(strip_tags(decode(col, order)))
-    return F.when(~F.upper(value).isin(NULL_MARKERS), value)
+    return _settle(decode(col, order))
+
+
+def texts(cols: list[Column], order: str = "nfkc_first") -> Column:
+    """:func:`text` of several columns as one array. The rule is planned once, not once per column."""
+    return F.transform(F.array(*[decode(c, order) for c in cols]), _settle)
 
 
 # Accepted date layouts. Month and day may be unpadded; a time of day is dropped.
-_Y, _M, _D = r"(\d{4})", r"(1[0-2]|0?[1-9])", r"(3[01]|[12]\d|0?[1-9]| [1-9])"
+_Y, _M, _D = r"((?!0000)\d{4})", r"(1[0-2]|0?[1-9])", r"(3[01]|[12]\d|0?[1-9]| [1-9])"
 _TIME = r"[Tt](?:2[0-3]|[01]?\d):[0-5]?\d:[0-5]?\d[Zz]"
 DATE_LAYOUTS = [
-    (f"^{_Y}-{_M}-{_D}(?:{_TIME})?$", (1, 2, 3)),
-    (f"^{_Y}/{_M}/{_D}$", (1, 2, 3)),
-    (f"^{_M}/{_D}/{_Y}$", (3, 1, 2)),
-    (f"^{_M}-{_D}-{_Y}$", (3, 1, 2)),
+    (f"{_Y}-{_M}-{_D}(?:{_TIME})?", "$1-$2-$3"),
+    (f"{_Y}/{_M}/{_D}", "$1-$2-$3"),
+    (f"{_M}/{_D}/{_Y}", "$3-$1-$2"),
+    (f"{_M}-{_D}-{_Y}", "$3-$1-$2"),
 ]
+_ANY_DATE = "^(?:" + "|".join(pattern for pattern, _ in DATE_LAYOUTS) + ")$"
 
 
 def date(col: Column) -> Column:
     """The value as ``yyyy-MM-dd`` text, or NULL when no layout fits or the day does not exist."""
-    iso = F.lit(None).cast("string")
-    for pattern, (year, month, day) in reversed(DATE_LAYOUTS):
-        parts = [
-            F.regexp_extract(col, pattern, year),
-            F.lpad(F.regexp_extract(col, pattern, month), 2, "0"),
-            F.lpad(F.trim(F.regexp_extract(col, pattern, day)), 2, "0"),
-        ]
-        iso = F.when(col.rlike(pattern), F.concat_ws("-", *parts)).otherwise(iso)
-    return F.when(~iso.startswith("0000"), iso.try_cast("date").cast("string"))
-
-
-def date_error(col: Column) -> Column:
-    return F.when(
-        col.isNotNull() & date(col).isNull(), F.concat(F.lit("unrecognized date: "), col)
-    )
+    iso = col
+    for pattern, rewritten in DATE_LAYOUTS:
+        iso = F.regexp_replace(iso, f"^{pattern}$", rewritten)
+    padded = F.regexp_replace(iso, r"- ?(\d)(?=-|$)", "-0$1")
+    return F.when(col.rlike(_ANY_DATE), padded.try_cast("date").cast("string"))
+
+
+def date_error(col: Column, parsed: Column | None = None) -> Column:
+    """Error text of a value that has no date; ``parsed`` is its date if that is already a column."""
+    parsed = date(col) if parsed is None else parsed
+    return F.when(col.isNotNull() & parsed.isNull(), F.concat(F.lit("unrecognized date: "), col))
 
 
 def _bare_number(col: Column) -> Column:
@@ -102,22 +109,19 @@ def _bare_number(col: Column) -> Column:
 
 def number(col: Column) -> Column:
     """Plain decimal notation without ``$``, ``,`` and idle zeros; NULL when it is not a number."""
-    bare = F.trim(F.regexp_replace(_bare_number(col), "_", ""))
-    plain = bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$")
-    power = bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d{1,3}$")
-    digits = F.when(plain, bare).when(power, bare.try_cast("decimal(38,12)").cast("decimal(38,12)").cast("string"))
-    sign = F.when(digits.startswith("-"), "-").otherwise("")
-    body = F.regexp_replace(digits, r"^[+-]?0*", "")
-    body = F.when(body.contains("."), F.regexp_replace(body, r"\.?0*$", "")).otherwise(body)
-    body = F.when((body == "") | body.startswith("."), F.concat(F.lit("0"), body)).otherwise(body)
-    return F.concat(sign, body)
-
-
-def number_error(col: Column) -> Column:
+    bare = F.trim(F.regexp_replace(col, "[$,_]", ""))
+    power = bare.rlike("[eE]")
+    digits = F.when(power, bare.try_cast("decimal(38,12)").cast("string")).otherwise(bare)
+    split = F.regexp_replace(digits, r"^\+?(-?)0*(\d*?)(?:\.(\d*?)0*)?$", "$1$2.$3")
+    short = F.regexp_replace(F.regexp_replace(split, r"\.$", ""), r"^(-?)(?=\.|$)", "$10")
+    return F.when(bare.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d{1,3})?$"), short)
+
+
+def number_error(col: Column, parsed: Column | None = None) -> Column:
+    parsed = number(col) if parsed is None else parsed
     bare = _bare_number(col)
     return F.when(
-        col.isNotNull() & (bare != "") & number(col).isNull(),
-        F.concat(F.lit("invalid numeric value: "), bare),
+        col.isNotNull() & parsed.isNull() & (bare != ""), F.concat(F.lit("invalid numeric value: "), bare)
     )
 
 

@@ -47,43 +47,38 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
 
 def columns(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Missing, HTML, whitespace and encoding counts per column; columns without findings are left out."""
-    names = names or df.columns
-    sums, entries = [], []
-    for i, name in enumerate(names):
-        value = F.coalesce(F.col(name), F.lit(""))
-        missing = clean.is_missing(value)
-        tests = [missing, clean.has_html(value), ~missing & clean.untidy_ws(value), clean.has_encoding_flag(value)]
-        sums += [F.count_if(test).alias(f"c{i}_{j}") for j, test in enumerate(tests)]
-        entries.append(
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.col(f"c{i}_0").alias("missing"),
-                F.col(f"c{i}_1").alias("html"),
-                F.col(f"c{i}_2").alias("whitespace"),
-                F.col(f"c{i}_3").alias("encoding_flags"),
-            )
-        )
-    report = df.agg(*sums).select(F.inline(F.array(*entries)))
+    value = F.coalesce(F.col("value"), F.lit(""))
+    missing = clean.is_missing(value)
+    report = _long(df, names or df.columns).groupBy("column_name").agg(
+        F.count_if(missing).alias("missing"),
+        F.count_if(clean.has_html(value)).alias("html"),
+        F.count_if(~missing & clean.untidy_ws(value)).alias("whitespace"),
+        F.count_if(clean.has_encoding_flag(value)).alias("encoding_flags"),
+    )
     return report.filter("missing + html + whitespace + encoding_flags > 0")
 
 
 def _long(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row per value: a test is planned once and its counts are combined before the shuffle."""
     entries = [F.struct(F.lit(n).alias("column_name"), F.col(n).alias("value")) for n in names]
-    long = df.select(F.inline(F.array(*entries)))
-    return long.filter(~clean.is_missing(F.col("value")))
+    return df.select(F.inline(F.array(*entries)))
+
+
+def _present(df: DataFrame, names: list[str]) -> DataFrame:
+    return _long(df, names).filter(~clean.is_missing(F.col("value")))
 
 
 def date_formats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """How often each date layout occurs in the date-like columns."""
     names = names or [c for c in df.columns if "date" in c.lower() or "expiration" in c.lower()]
-    classed = _long(df, names).withColumn("format", clean.date_format_class(F.col("value")))
+    classed = _present(df, names).withColumn("format", clean.date_format_class(F.col("value")))
     return classed.groupBy("column_name", "format").agg(F.count("*").alias("occurrences"))
 
 
 def statuses(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     names = names or [c for c in df.columns if c.lower() == "status"]
     trimmed = F.regexp_replace("value", f"^{clean.SPACE}+|{clean.SPACE}+$", "").alias("value")
-    return _long(df, names).select("column_name", trimmed).groupBy("column_name", "value").agg(
+    return _present(df, names).select("column_name", trimmed).groupBy("column_name", "value").agg(
         F.count("*").alias("occurrences")
     )
 

@@ -12,7 +12,7 @@ INLINE = 200
 
 def latest(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows per key. Each task drops the rest before the shuffle, so hot keys shrink."""
-    name = rank or "_rank"
+    name = rank or "_latest"
     window = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
     return out if rank else out.drop(name)

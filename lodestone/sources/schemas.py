@@ -149,19 +149,27 @@ EVIDENCE_COLUMNS = [
     "source", "database", "record_id", "document", "timestamp", "text", "verify", "tag",
 ]
 
-TELEMETRY_SCHEMA = T.StructType.fromDDL(
-    "log_id string, timestamp string, equipment_id string, model string, status string, "
-    "fault_code string, severity string, "
-    "telemetry struct<voltage_v:double,current_a:double,temperature_c:double,"
-    "soc_percent:double,voltage_delta_mv:double>, "
-    "flagged_components array<string>, notes string"
+_STRING, _INT, _DOUBLE = T.StringType(), T.IntegerType(), T.DoubleType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+TELEMETRY_SCHEMA = _struct(
+    log_id=_STRING, timestamp=_STRING, equipment_id=_STRING, model=_STRING, status=_STRING, fault_code=_STRING,
+    severity=_STRING,
+    telemetry=_struct(
+        voltage_v=_DOUBLE, current_a=_DOUBLE, temperature_c=_DOUBLE, soc_percent=_DOUBLE, voltage_delta_mv=_DOUBLE
+    ),
+    flagged_components=T.ArrayType(_STRING), notes=_STRING,
 )
-PAGE_SCHEMA = T.StructType.fromDDL(
-    "document_id string, document_type string, source_file string, page_number int, text string"
+PAGE_SCHEMA = _struct(
+    document_id=_STRING, document_type=_STRING, source_file=_STRING, page_number=_INT, text=_STRING
 )
-CHUNK_SCHEMA = T.StructType.fromDDL(
-    "chunk_id string, document_id string, document_type string, source_file string, "
-    "page_number int, chunk_size_characters int, overlap_characters int, text string"
+CHUNK_SCHEMA = _struct(
+    chunk_id=_STRING, document_id=_STRING, document_type=_STRING, source_file=_STRING, page_number=_INT,
+    chunk_size_characters=_INT, overlap_characters=_INT, text=_STRING,
 )
 
 
