@@ -17,8 +17,9 @@ from lodestone.session import BROADCAST_ROWS, fits
 
 # BM25 parameters.
 K1, B = 1.5, 0.75
-# Term buckets of a stored index; a search reads only the buckets of its terms.
-BUCKETS = 256
+# Term buckets of a stored index, and files a bucket is spread over; a search reads only the buckets of
+# its terms. Large corpora need more of both.
+BUCKETS, SPREAD = 64, 8
 # A term's postings are spread over this many tasks when the query terms are too many to broadcast.
 SALTS = 32
 
@@ -28,6 +29,7 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    buckets: int | None = None
 
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Index:
@@ -47,25 +49,27 @@ def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -
     return Index(postings, terms, corpus)
 
 
-def _bucket(col: str = "term") -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
-def write(index: Index, path: str) -> None:
-    """Postings are stored by term bucket and sorted by term, so row groups of other terms are skipped."""
-    bucketed = index.postings.withColumn("bucket", _bucket())
-    # A frequent term is spread over several files of its bucket.
-    bucketed.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions(
+def write(index: Index, path: str, buckets: int = BUCKETS, spread: int = SPREAD) -> None:
+    """Postings are stored by term bucket and sorted by term, so row groups of other terms are skipped.
+
+    A frequent term is spread over ``spread`` tasks and files of its bucket.
+    """
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(spread))
+    index.postings.withColumn("bucket", _bucket(buckets)).repartition("bucket", part).sortWithinPartitions(
         "bucket", "term"
     ).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stored = bucketed.sparkSession.read.parquet(f"{path}/postings")
+    stored = index.postings.sparkSession.read.parquet(f"{path}/postings")
     stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    index.corpus.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/corpus")
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    parts = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpus")]
-    return Index(*parts)
+    postings, terms, corpus = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpus"))
+    return Index(postings, terms, corpus, corpus.first()["buckets"])
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -101,9 +105,9 @@ def search(
     )
     if fits(asked, max_broadcast):
         postings = index.postings
-        if "bucket" in postings.columns:
-            # At most BUCKETS small integers: lets the reader skip the other folders.
-            wanted = [r[0] for r in asked.select(_bucket()).distinct().collect()]
+        if index.buckets:
+            # A handful of small integers: lets the reader skip the other folders.
+            wanted = [r[0] for r in asked.select(_bucket(index.buckets)).distinct().collect()]
             postings = postings.filter(F.col("bucket").isin(wanted))
         vocabulary = asked.select("term").distinct()
         by_chunk = postings.join(F.broadcast(vocabulary), "term", "left_semi").repartition("chunk_id")

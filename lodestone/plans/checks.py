@@ -423,3 +423,402 @@ _IDS = """ids AS (SELECT question_id, unnest(list_distinct(list_concat(
     regexp_extract_all(upper(question), '\\bEQ-\\d{3,6}\\b')))) AS id FROM questions)"""
 SQL["find_units"] = cte("questions", "equipment_units") + f""", {_IDS}
 SELECT DISTINCT question_id, equipment_id FROM ids JOIN equipment_units ON equipment_id = id OR serial_number = id"""
+
+# ---- pages, chunks, BM25
+
+_PAGES = """pages_ AS (SELECT 'AB-' || k || '-' || source AS document_id, 'AB-' || k || '-' || source || '.pdf' AS source_file,
+    CASE k WHEN 'ECO' THEN 'engineering_change_order' WHEN 'INC' THEN 'incident_report' WHEN 'MAN' THEN 'manual'
+        WHEN 'SOP' THEN 'standard_operating_procedure' WHEN 'SPEC' THEN 'specification'
+        WHEN 'SUP' THEN 'supply_chain_report' ELSE 'document' END AS document_type,
+    doc_id AS page_number, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text
+    FROM (SELECT *, ['ECO', 'INC', 'MAN', 'SOP', 'SPEC', 'SUP', 'MEMO'][CAST(substr(source, 4) AS INT) % 7 + 1] AS k
+        FROM documents))"""
+SQL["page_records"] = f"WITH {_PAGES} SELECT document_id, document_type, source_file, page_number, text FROM pages_"
+SQL["page_manifest"] = f"""WITH {_PAGES} SELECT count(DISTINCT source_file) AS document_count, count(*) AS page_count,
+    count(*) FILTER (text = '') AS empty_page_count FROM pages_"""
+
+
+def _window_end(start: str) -> str:
+    cut = f"length(regexp_extract(substr(text, {start} + 1, 900), '(?s)^(.*[.;]) ', 1))"
+    return f"""CASE WHEN {start} + 900 >= length(text) THEN length(text)
+        WHEN {cut} > 451 THEN {start} + {cut} ELSE {start} + 900 END"""
+
+
+SQL["chunk_sliding"] = f"""WITH RECURSIVE {_PAGES}, w AS (
+    SELECT document_id || ':p' || page_number AS page, document_type, text, 1 AS k, 0 AS a, {_window_end('0')} AS z
+    FROM pages_ WHERE text <> ''
+    UNION ALL SELECT page, document_type, text, k, a, {_window_end('a')} FROM (
+        SELECT page, document_type, text, k + 1 AS k, greatest(z - 180, a + 1) AS a FROM w WHERE z < length(text)))
+SELECT page || ':c' || k AS chunk_id, document_type, CAST(k AS BIGINT) AS chunk_index,
+    trim(substr(text, CAST(a AS BIGINT) + 1, CAST(z - a AS BIGINT))) AS text FROM w"""
+SQL["chunk_sentences"] = f"""WITH RECURSIVE {_PAGES}, lists AS (
+    SELECT document_id || ':p' || page_number AS page, document_type, list_filter(list_transform(string_split(
+        regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss
+    FROM pages_),
+s AS (SELECT page, generate_subscripts(ss, 1) AS i, unnest(ss) AS sentence FROM lists),
+r AS (
+    SELECT page, 0 AS i, CAST([] AS VARCHAR[]) AS open_, CAST(NULL AS VARCHAR) AS piece FROM lists
+    UNION ALL SELECT page, i, CASE WHEN full_ THEN list_append(open_[coalesce(list_min(list_filter(
+                range(1, len(open_) + 1), lambda j: length(array_to_string(open_[j:], ' ')) <= 180)), len(open_) + 1):],
+                sentence) ELSE list_append(open_, sentence) END,
+        CASE WHEN full_ THEN array_to_string(open_, ' ') END
+    FROM (SELECT r.page, s.i, r.open_, s.sentence, len(r.open_) > 0
+            AND length(array_to_string(r.open_, ' ')) + 1 + length(s.sentence) > 900 AS full_
+        FROM r JOIN s ON s.page = r.page AND s.i = r.i + 1)),
+pieces AS (SELECT page, i, piece FROM r WHERE piece IS NOT NULL
+    UNION ALL SELECT r.page, r.i + 1, array_to_string(open_, ' ') FROM r JOIN lists l
+    ON l.page = r.page AND r.i = len(l.ss) WHERE len(l.ss) > 0)
+SELECT page || ':c' || k AS chunk_id, document_type, k AS chunk_index, piece AS text FROM (
+    SELECT page, piece, row_number() OVER (PARTITION BY page ORDER BY i) AS k FROM pieces) JOIN lists USING (page)"""
+SQL["excerpts"] = """SELECT doc_id, CASE WHEN length(text) > length(rtrim(substr(text, 1, 500)))
+    THEN rtrim(substr(text, 1, 500)) || '...' ELSE rtrim(substr(text, 1, 500)) END AS excerpt FROM documents"""
+
+_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+(?:[-_][a-z0-9]+)*')"
+_BM25 = f"""WITH d AS (SELECT doc_id, {_TOKENS} AS toks FROM documents),
+corpus AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf
+    FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)"""
+SQL["bm25_terms"] = _BM25 + """ SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf,
+    round(avgdl, 6) AS avgdl FROM df, corpus"""
+SQL["bm25_postings"] = _BM25 + """ SELECT doc_id AS chunk_id, CAST(dl AS BIGINT) AS dl, count(*) AS terms,
+    max(tf) AS max_tf, CAST(sum(tf) AS BIGINT) AS tokens FROM tf GROUP BY 1, 2"""
+SQL["bm25_search"] = _BM25 + f""", q AS (SELECT item_id, term, count(*) AS qf
+    FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY 1, 2),
+scores AS (SELECT item_id, doc_id, round(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5
+    / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+    FROM q JOIN tf USING (term) JOIN df USING (term), corpus GROUP BY 1, 2)
+SELECT item_id AS query_id, doc_id AS chunk_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores QUALIFY rank <= 5"""
+
+# ---- vectors
+
+_CENTROIDS = """WITH means AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x,
+    generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2),
+q AS (SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY pos) AS v FROM means GROUP BY 1)"""
+_SCORE = "round(list_cosine_similarity(v, CAST(embedding AS DOUBLE[])), 6)"
+_TOPK = _CENTROIDS + f""" SELECT query_id, vec_id, {_SCORE} AS score,
+    row_number() OVER (PARTITION BY query_id ORDER BY {_SCORE} DESC, vec_id) AS rank
+FROM q, embeddings QUALIFY rank <= 5"""
+SQL["vector_topk"] = SQL["vector_topk_blocks"] = _TOPK
+SQL["vector_normalize"] = """SELECT vec_id, CAST(1 AS DOUBLE) AS unit_norm, CAST(1 AS DOUBLE) AS self_cosine FROM embeddings"""
+SQL["build_collection"] = """SELECT vec_id, source, lang, CAST(len(embedding) AS BIGINT) AS dimension
+FROM embeddings JOIN documents ON doc_id = vec_id"""
+_COLLECTION = _CENTROIDS + """, c AS (SELECT vec_id, embedding, source, CASE lang WHEN 'en' THEN 'ERR_INV_404'
+    WHEN 'fr' THEN 'ERR_FUSE_001' END AS code FROM documents JOIN embeddings ON doc_id = vec_id)"""
+SQL["vector_filtered"] = _COLLECTION + f""" SELECT query_id, vec_id, {_SCORE} AS score, round(1 - {_SCORE}, 6) AS distance,
+    row_number() OVER (PARTITION BY query_id ORDER BY {_SCORE} DESC, vec_id) AS rank, source
+FROM q, c WHERE code = 'ERR_INV_404' QUALIFY rank <= 5"""
+SQL["vector_by_code"] = _COLLECTION + f""" SELECT query_id, code, vec_id, {_SCORE} AS score,
+    row_number() OVER (PARTITION BY query_id, code ORDER BY {_SCORE} DESC, vec_id) AS rank
+FROM q, c WHERE code IS NOT NULL QUALIFY rank <= 2"""
+SQL["vector_fuse"] = _COLLECTION + f""", hits AS (
+    SELECT query_id, vec_id, {_SCORE} AS score, 0 AS priority,
+        row_number() OVER (PARTITION BY query_id ORDER BY {_SCORE} DESC, vec_id) AS rk
+    FROM q, c WHERE code = 'ERR_FUSE_001' QUALIFY rk <= 2
+    UNION ALL SELECT query_id, vec_id, {_SCORE}, 1, row_number() OVER (PARTITION BY query_id ORDER BY {_SCORE} DESC, vec_id)
+        AS rk FROM q, c QUALIFY rk <= 4),
+firsts AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, vec_id ORDER BY priority, rk) = 1)
+SELECT query_id, vec_id, score, CAST(priority AS BIGINT) AS priority,
+    row_number() OVER (PARTITION BY query_id ORDER BY priority, rk, vec_id) AS position FROM firsts QUALIFY position <= 5"""
+
+
+def _embedded(source: str, key: str, text: str, dim: int) -> str:
+    """CTEs ``<source>_w``: (key, slot, weight) of the hashed-term vectors."""
+    return f"""{source}_t AS (SELECT {key} AS k, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {dim} AS slot, count(*) AS n
+    FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+(?:[-_][a-z0-9]+)*')) AS t FROM {source})
+    GROUP BY 1, 2),
+{source}_w AS (SELECT k, slot, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY k)) AS FLOAT) AS DOUBLE) AS w
+    FROM {source}_t)"""
+
+
+SQL["embed_documents"] = f"""WITH {_embedded('documents', 'doc_id', 'text', 16)}
+SELECT doc_id, slot, round(coalesce(w, 0), 4) AS weight
+FROM (SELECT doc_id, CAST(g AS BIGINT) AS slot FROM documents, generate_series(0, 15) AS t(g)) d
+LEFT JOIN documents_w e ON e.k = d.doc_id AND e.slot = d.slot"""
+SQL["embed_documents"] = SQL["embed_documents"].replace("SELECT doc_id, slot, round", "SELECT doc_id, d.slot AS slot, round")
+
+# ---- questions
+
+_KINDS = {
+    "serial": "\\bSN-[A-Z0-9]+(?:-[A-Z0-9]+)*\\b", "equipment": "\\bEQ-\\d{3,6}\\b", "model": "\\b[XCG]-?\\d{4,5}\\b",
+    "fault": "\\bERR_[A-Z]+_\\d{3}\\b", "dispatch": "\\bDISP-\\d+\\b", "claim": "\\bCLM-\\d+\\b", "part": "\\bPRT-\\d+\\b",
+}
+_INTENTS = {
+    "failure_modes": "failure mode|common failure|cause|root cause|why",
+    "hot": "high-temperature|high temperature|heat|hot|thermal|overheat|temperature",
+    "procedure": "steps|procedure|how do|how should|how to|sop|protocol|checklist",
+    "service": "service|history|dispatch|repair|maintenance|technician|visit|fix",
+    "supply": "supplier|supply|vendor|sourcing|single-source|single source|manufacturer|procure",
+    "telemetry": "fault|error|alarm|telemetry|sensor|temperature|thermal|overheat|voltage|trip|critical|bms|failure|"
+                 "failing|failed|raising|reading",
+    "warranty": "warranty|claim",
+}
+
+
+def _found(kind: str) -> str:
+    found = f"regexp_extract_all(upper(question), '{_KINDS[kind]}')"
+    if kind == "model":
+        found = f"list_transform({found}, lambda m: regexp_replace(m, '^([XCG])-?', '\\1-'))"
+    return f"list_sort(list_distinct({found})) AS {kind}"
+
+
+def _routed(source: str) -> str:
+    """CTEs up to ``routed``: every question with intents, identifier lists and sources."""
+    intents = ", ".join(f"CASE WHEN regexp_matches(lower(question), '{w}') THEN '{i}' END" for i, w in _INTENTS.items())
+    kinds = ", ".join(_found(k) for k in _KINDS)
+    return f"""known AS (SELECT *, list_filter([{intents}], lambda x: x IS NOT NULL) AS intents, {kinds} FROM {source}),
+erp AS (SELECT *, len(serial) + len(equipment) + len(model) + len(dispatch) + len(claim) + len(part) > 0 AS has_erp
+    FROM known),
+narrow AS (SELECT *, list_contains(intents, 'procedure') AND NOT has_erp AND len(fault) = 0 AS docs_only FROM erp),
+flags AS (SELECT *, NOT docs_only AND (has_erp OR list_has_any(intents, ['service', 'warranty', 'supply'])) AS use_sql,
+    NOT docs_only AND intents <> ['supply'] AND (len(serial) > 0 OR len(fault) > 0 OR list_contains(intents, 'telemetry')
+        OR (len(model) > 0 AND list_contains(intents, 'failure_modes'))) AS use_document FROM narrow),
+routed AS (SELECT *, list_filter([CASE WHEN use_sql THEN 'sql' END, CASE WHEN use_document THEN 'document' END, 'vector'],
+    lambda x: x IS NOT NULL) AS sources FROM flags)"""
+
+
+def _shown(items: str) -> str:
+    return f"'[' || array_to_string(list_transform({items}, lambda x: '''' || x || ''''), ', ') || ']'"
+
+
+_QUESTIONS = cte("questions") + ", " + _routed("questions")
+_ENTITY_TEXT = "array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN len({k}) > 0 THEN '{k}=' || {_shown(k)} END" for k in _KINDS
+) + "], lambda x: x IS NOT NULL), ', ')"
+SQL["route_questions"] = _QUESTIONS + f""" SELECT question_id, array_to_string(intents, ',') AS intents,
+    {', '.join(f"array_to_string({k}, ',') AS {k}" for k in _KINDS)}, array_to_string(sources, ',') AS sources,
+    'intents=' || {_shown("CASE WHEN len(intents) = 0 THEN ['general'] ELSE intents END")} || '; entities: '
+        || CASE WHEN {_ENTITY_TEXT} = '' THEN 'none' ELSE {_ENTITY_TEXT} END || '; sources=' || {_shown('sources')} AS route,
+    concat_ws(' / ', CASE WHEN docs_only THEN
+        'Procedure question with no unit/model/fault ID -> documentation only (skip SQL + telemetry)' END,
+        CASE WHEN use_sql THEN
+        'SQL: entity IDs / model / service, warranty or supplier intent -> ERP metadata filters' END,
+        CASE WHEN use_document THEN
+        'Document: unit serial / fault code / failure intent -> telemetry documents' END,
+        'Vector: always ground the answer in manuals, SOPs and incident reports'
+        || CASE WHEN len(fault) > 0 THEN ' (+ exact-match filter on ' || {_shown('fault')} || ')' ELSE '' END) AS reasons
+FROM routed"""
+SQL["route_conversations"] = f"""WITH talk AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
+{_routed('talk')} SELECT conv_id, turn, array_to_string(intents, ',') AS intents,
+    array_to_string(sources, ',') AS sources FROM routed"""
+
+# ---- evidence
+
+
+def _evidence(*tables: str) -> str:
+    return cte("questions", *tables) + ", " + _routed("questions")
+
+
+SQL["evidence_units"] = _evidence(
+    "customers", "equipment_units", "service_logs", "warranty_claims", "parts_inventory"
+) + f""", asked AS (SELECT question_id, list_concat(equipment, serial) AS ids FROM routed
+    WHERE use_sql AND len(equipment) + len(serial) > 0),
+found AS (SELECT DISTINCT question_id, e.*, company_name FROM (SELECT question_id, unnest(ids) AS id FROM asked)
+    JOIN equipment_units e ON equipment_id = id OR serial_number = id JOIN customers USING (customer_id)),
+services AS (SELECT question_id, s.* FROM found JOIN service_logs s USING (equipment_id)
+    QUALIFY row_number() OVER (PARTITION BY question_id, equipment_id ORDER BY dispatch_date DESC, dispatch_id) <= 5),
+claims AS (SELECT question_id, w.*, part_name FROM found JOIN warranty_claims w USING (equipment_id)
+    LEFT JOIN parts_inventory p ON p.part_id = w.part_id
+    QUALIFY row_number() OVER (PARTITION BY question_id, equipment_id ORDER BY claim_date DESC, claim_id) <= 5)
+SELECT question_id, equipment_id AS record_id, 'equipment_units' AS document, CAST(install_date AS VARCHAR) AS "timestamp",
+    format('Unit {{}} (serial {{}}), model {{}}, {{}} kW, status {{}}, customer {{}}, installed {{}}, warranty expires {{}} ({{}}).',
+        equipment_id, serial_number, model, capacity_kw::VARCHAR, status, company_name, install_date::VARCHAR,
+        warranty_expiration::VARCHAR, CASE WHEN warranty_expiration >= DATE '{AS_OF}' THEN 'ACTIVE' ELSE 'EXPIRED' END) AS text
+FROM found
+UNION ALL SELECT question_id, dispatch_id, 'service_logs', CAST(dispatch_date AS VARCHAR),
+    format('Service {{}} on {{}} for {{}}: {{}} by {{}}, {{}} h, ${{}} labor, status {{}}. Resolution: {{}}', dispatch_id,
+        dispatch_date::VARCHAR, equipment_id, service_type, technician, hours_spent::VARCHAR, labor_cost::VARCHAR, status,
+        coalesce(resolution_summary, 'None')) FROM services
+UNION ALL SELECT question_id, claim_id, 'warranty_claims', CAST(claim_date AS VARCHAR),
+    format('Warranty claim {{}} on {{}} for {{}}: part {{}} ({{}}), dispatch {{}}, claimed ${{}}, approved ${{}}, status {{}}{{}}.',
+        claim_id, claim_date::VARCHAR, equipment_id, coalesce(part_id, 'n/a'), coalesce(part_name, 'n/a'),
+        coalesce(dispatch_id, 'n/a'), claim_amount::VARCHAR, coalesce(approved_amount::VARCHAR, 'None'), status,
+        CASE WHEN denial_reason IS NULL THEN '' ELSE ', denial reason: ' || denial_reason END) FROM claims
+UNION ALL SELECT question_id, 'no matching row', 'equipment_units', 'n/a',
+    'ERP lookup returned NO equipment_units record for ' || array_to_string(ids, ', ')
+    || '; this unit has no ERP service or warranty history on file.'
+FROM asked WHERE question_id NOT IN (SELECT question_id FROM found)"""
+SQL["evidence_model"] = _evidence("equipment_units", "service_logs", "warranty_claims") + f""",
+asked AS (SELECT question_id, intents, unnest(model[1:2]) AS model FROM routed WHERE use_sql),
+fleet AS ({_FLEET}), {_FAILURES}, {_CLAIMS}
+SELECT question_id, 'aggregate model=' || model AS record_id, 'equipment_units' AS document,
+    coalesce(first_install::VARCHAR, 'None') || '..' || coalesce(last_install::VARCHAR, 'None') AS "timestamp",
+    format('ERP fleet for model {{}}: {{}} units, {{}} in service, {{}} still under warranty.{{}}', model, coalesce(units, 0),
+        coalesce(in_service, 0), coalesce(under_warranty, 0), CASE WHEN units IS NULL
+        THEN ' (No ERP units of this model - it appears only in telemetry/docs.)' ELSE '' END) AS text
+FROM asked LEFT JOIN fleet USING (model)
+UNION ALL SELECT question_id, examples, 'service_logs', first_seen::VARCHAR || '..' || last_seen::VARCHAR,
+    format('{{}} repair/diagnostic dispatches: ''{{}}'' occurred {{}} times (e.g. {{}}).', model,
+        coalesce(resolution_summary, 'None'), n, examples)
+FROM asked JOIN failures USING (model) WHERE position <= 5 AND list_has_any(intents, ['failure_modes', 'telemetry', 'service'])
+UNION ALL SELECT question_id, examples, 'warranty_claims', 'aggregate',
+    format('{{}} warranty claims with status {{}}: {{}} claims, ${{:,.2f}} approved (e.g. {{}}).', model, status, n,
+        coalesce(approved, 0)::DOUBLE, examples)
+FROM asked JOIN claims USING (model) WHERE list_contains(intents, 'warranty')"""
+_WORDS = {
+    "lithium": "lithium", "cell": "cell", "battery": "cell", "inverter": "inverter", "fuse": "fus", "breaker": "breaker",
+    "sensor": "sensor", "cool": "cool", "contactor": "contactor", "cable": "cable", "transformer": "transformer",
+}
+_ASKED_WORDS = "list_filter([" + ", ".join(
+    f"CASE WHEN contains(lower(question), '{w}') THEN '{f}' END" for w, f in _WORDS.items()
+) + "], lambda x: x IS NOT NULL)"
+SQL["evidence_suppliers"] = _evidence() + ", " + _SUPPLIERS[5:] + f""", asked AS (
+    SELECT question_id, contains(lower(question), 'single') AS single, {_ASKED_WORDS} AS words
+    FROM routed WHERE use_sql AND list_contains(intents, 'supply')),
+kinds AS (SELECT DISTINCT single, words FROM asked),
+best AS (SELECT single, words, by_part.* FROM kinds, by_part WHERE CASE WHEN single THEN n_suppliers = 1
+    WHEN len(words) = 0 THEN true ELSE len(list_filter(words, lambda w: contains(lower(part), w))) > 0 END
+    QUALIFY row_number() OVER (PARTITION BY single, words ORDER BY n_suppliers, part) <= 8)
+SELECT question_id, part_ids AS record_id, 'parts_inventory' AS document, 'current inventory' AS "timestamp",
+    format('Part ''{{}}'' ({{}}): supplied by {{}} [{{}}]; manufacturers {{}}; {{}} units in stock.', part, part_ids, suppliers,
+        CASE WHEN n_suppliers = 1 THEN 'SINGLE-SOURCE RISK' ELSE n_suppliers || ' suppliers' END, makers, stock) AS text
+FROM asked JOIN best USING (single, words)"""
+
+
+def _summaries(name: str, source: str, key: str, limit: int) -> str:
+    """CTEs ``<name>``: the most frequent faults per ``key`` of ``source`` with their texts."""
+    return f"""{name}_ids AS (SELECT {key}, fault_code, string_agg(log_id, ', ' ORDER BY ts DESC, log_id DESC) AS ids,
+        arg_max(notes, struct_pack(a := ts, b := log_id)) AS note FROM (SELECT * FROM {source}
+        QUALIFY row_number() OVER (PARTITION BY {key}, fault_code ORDER BY ts DESC, log_id DESC) <= 3) GROUP BY 1, 2),
+{name}_units AS (SELECT {key}, fault_code, string_agg(equipment_id, ', ' ORDER BY equipment_id) AS units, max(total) AS total
+    FROM (SELECT *, row_number() OVER (PARTITION BY {key}, fault_code ORDER BY equipment_id) AS rn,
+        count(*) OVER (PARTITION BY {key}, fault_code) AS total
+        FROM (SELECT DISTINCT {key}, fault_code, equipment_id FROM {source})) WHERE rn <= 200 GROUP BY 1, 2),
+{name}_parts AS (SELECT {key}, fault_code, string_agg(DISTINCT component, ', ' ORDER BY component) AS parts FROM (
+    SELECT {key}, fault_code, unnest([component_a, component_b]) AS component FROM {source}) WHERE component IS NOT NULL
+    GROUP BY 1, 2),
+{name} AS (SELECT {key}, fault_code, count(*) AS events, any_value(ids) AS ids,
+    strftime(min(ts), '%Y-%m-%d') || '..' || strftime(max(ts), '%Y-%m-%d') AS span,
+    format('fault {{}} logged {{}} times on units {{}}{{}}; temperature avg {{}} C / max {{}} C; components flagged: {{}}; '
+        || 'latest note: {{}} (e.g. {{}})', fault_code, count(*), any_value(units),
+        CASE WHEN any_value(total) > 200 THEN ' and ' || (any_value(total) - 200) || ' more' ELSE '' END,
+        CAST(CAST(avg(temperature_c) AS DECIMAL(18,9)) AS DECIMAL(18,1))::VARCHAR, max(temperature_c)::VARCHAR,
+        coalesce(any_value(parts), 'none'), any_value(note), any_value(ids)) AS body
+    FROM {source} JOIN {name}_ids USING ({key}, fault_code) JOIN {name}_units USING ({key}, fault_code)
+    LEFT JOIN {name}_parts USING ({key}, fault_code) GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, fault_code) <= {limit})"""
+
+
+_EVENT = """format('Telemetry {} at {} UTC, unit {} ({}): status {}, fault {}, severity {}; {} C, 800.0 V, 12.5 A, SoC {}%, '
+    || 'cell delta 3.0 mV; flagged components: {}. Notes: {}', log_id, strftime(ts, '%Y-%m-%d %H:%M'), equipment_id,
+    model_code, status, coalesce(fault_code, 'none'), severity, temperature_c::VARCHAR, soc_percent::VARCHAR,
+    coalesce(nullif(concat_ws(', ', component_a, component_b), ''), 'none'), notes)"""
+_AT = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
+SQL["evidence_telemetry"] = _evidence("telemetry_flat") + f""",
+faults AS (SELECT *, equipment_id AS unit, fault_code AS code FROM telemetry_flat WHERE fault_code IS NOT NULL),
+serials AS (SELECT question_id, unnest(serial[1:3]) AS unit FROM routed WHERE use_document),
+totals AS (SELECT equipment_id AS unit, count(*) AS total FROM telemetry_flat GROUP BY 1),
+{_summaries('by_unit', 'faults', 'unit', 3)},
+unit_logs AS (SELECT unit, log_id FROM (
+    SELECT equipment_id AS unit, log_id FROM telemetry_flat
+    QUALIFY row_number() OVER (PARTITION BY equipment_id ORDER BY ts DESC, log_id DESC) = 1
+    UNION SELECT unit, log_id FROM faults QUALIFY row_number() OVER (PARTITION BY unit ORDER BY ts DESC, log_id DESC) <= 2)
+    WHERE (unit, log_id) NOT IN (SELECT (unit, ids) FROM by_unit)),
+{_summaries('by_code', 'faults', 'code', 1)},
+codes AS (SELECT question_id, unnest(fault[1:2]) AS code FROM routed WHERE use_document),
+broad AS (SELECT question_id, list_contains(intents, 'hot') AS hot, array_to_string(model, '/') AS scope, model FROM routed
+    WHERE use_document AND len(serial) = 0 AND len(fault) = 0),
+scopes AS (SELECT DISTINCT scope, model FROM broad),
+scoped AS (SELECT scope, faults.* FROM scopes JOIN faults ON len(model) = 0 OR list_contains(model, model_code)),
+{_summaries('by_scope', 'scoped', 'scope', 5)},
+hot_logs AS (SELECT * FROM scoped QUALIFY row_number() OVER (PARTITION BY scope ORDER BY temperature_c DESC, log_id) <= 2)
+SELECT question_id, 'no matching document' AS record_id, 'telemetry' AS document, 'n/a' AS "timestamp",
+    'No telemetry documents exist for unit ' || unit || '.' AS text FROM serials WHERE unit NOT IN (SELECT unit FROM totals)
+UNION ALL SELECT question_id, ids, 'telemetry', span, format('Unit {{}} ({{}} telemetry logs): {{}}', unit, total, body)
+FROM serials JOIN totals USING (unit) JOIN by_unit USING (unit)
+UNION ALL SELECT question_id, log_id, 'telemetry', {_AT}, {_EVENT}
+FROM serials JOIN unit_logs USING (unit) JOIN telemetry_flat USING (log_id)
+UNION ALL SELECT question_id, ids, 'telemetry', span, 'Fault code ' || code || ': ' || body FROM codes JOIN by_code USING (code)
+UNION ALL SELECT question_id, log_id, 'telemetry', {_AT}, {_EVENT} FROM codes JOIN (SELECT * FROM faults
+    QUALIFY row_number() OVER (PARTITION BY code ORDER BY ts DESC, log_id DESC) <= 2) USING (code)
+UNION ALL SELECT question_id, ids, 'telemetry', span,
+    CASE WHEN scope = '' THEN 'Fleet-wide' ELSE scope END || ' telemetry: ' || body FROM broad JOIN by_scope USING (scope)
+UNION ALL SELECT question_id, log_id, 'telemetry', {_AT}, {_EVENT} FROM broad JOIN hot_logs USING (scope) WHERE hot"""
+SQL["evidence_vector"] = _evidence() + f""",
+chunks AS (SELECT conv_id || ':' || turn AS chunk_id, 'talk-' || conv_id || '.txt' AS source_file, turn + 1 AS page_number,
+    text || CASE WHEN role = 'system' THEN ' steps ERR_INV_404 fault code' ELSE '' END AS text, role = 'system' AS coded
+    FROM conversations),
+{_embedded('routed', 'question', 'question', 32).replace('routed_t', 'q_t').replace('routed_w', 'q_w')},
+{_embedded('chunks', 'chunk_id', 'text', 32)},
+texts AS (SELECT DISTINCT question, fault FROM routed),
+dots AS (SELECT q.k AS question, c.k AS chunk_id, sum(q.w * c.w) AS dot FROM q_w q JOIN chunks_w c USING (slot) GROUP BY 1, 2),
+qn AS (SELECT k AS question, sqrt(sum(w * w)) AS qn FROM q_w GROUP BY 1),
+cn AS (SELECT k AS chunk_id, sqrt(sum(w * w)) AS cn FROM chunks_w GROUP BY 1),
+scored AS (SELECT question, fault, chunk_id, coded, round(coalesce(dot / (qn * cn), 0), 6) AS score
+    FROM texts CROSS JOIN chunks LEFT JOIN dots USING (question, chunk_id) LEFT JOIN qn USING (question)
+    LEFT JOIN cn USING (chunk_id)),
+hits AS (SELECT question, chunk_id, score, 0 AS priority, 'contains ERR_INV_404' AS how,
+        row_number() OVER (PARTITION BY question ORDER BY score DESC, chunk_id) AS rk
+    FROM scored WHERE coded AND list_contains(fault, 'ERR_INV_404') QUALIFY rk <= 2
+    UNION ALL SELECT question, chunk_id, score, 2, 'semantic',
+        row_number() OVER (PARTITION BY question ORDER BY score DESC, chunk_id) AS rk FROM scored QUALIFY rk <= 4),
+firsts AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY question, chunk_id ORDER BY priority, rk) = 1),
+capped AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY question ORDER BY priority, rk, chunk_id) <= 5)
+SELECT question_id, chunk_id AS record_id, source_file || ' p.' || page_number AS document, 'n/a' AS "timestamp",
+    format('{{}} page {{}} ({{}}, similarity {{}}): {{}}', source_file, page_number, how,
+        CAST(CAST(score AS DECIMAL(12,6)) AS DECIMAL(12,2))::VARCHAR, text) AS text
+FROM routed JOIN capped USING (question) JOIN chunks USING (chunk_id)"""
+
+# ---- citations
+
+_STYLES = ["[VEC2]", "[MDB1]", "[SQL1]", "[SQL1]", "[SQL1][MDB2]", "[MDB1]", "[MDB2]", "[SQL9]", ""]
+_ANSWERS = f"""WITH styled AS (SELECT *, [{', '.join(f"'{s}'" for s in _STYLES)}][conv_id % 9 + 1] AS style
+    FROM conversations WHERE role = 'assistant'),
+answers AS (SELECT conv_id * 1000 + turn AS question_id, '**Summary:**' || chr(10)
+    || replace(text, chr(10), ' ' || style || chr(10)) || ' ' || style AS answer FROM styled)"""
+SQL["normalize_citations"] = _ANSWERS + " SELECT * FROM answers"
+_CHECKED = _ANSWERS + """, lines AS (SELECT question_id, generate_subscripts(ls, 1) AS i, trim(unnest(ls), ' ' || chr(9)) AS line
+    FROM (SELECT question_id, string_split(answer, chr(10)) AS ls FROM answers)),
+claims AS (SELECT *, list_has_any(regexp_extract_all(line, '\\[((?:SQL|MDB|VEC)\\d+)\\]', 1), ['SQL1', 'MDB1', 'MDB2', 'VEC2'])
+    AS ok FROM lines WHERE length(regexp_replace(line, '\\[[A-Z]+\\d+\\]|[*#\\-:\\s]', '', 'g')) > 15
+    AND NOT regexp_full_match(line, '[*#\\s]*(Summary|Recommended next step)[*:\\s]*')),
+totals AS (SELECT question_id, count(*) AS statements, count(*) FILTER (ok) AS cited_statements,
+    coalesce(string_agg(line, ' || ' ORDER BY i) FILTER (NOT ok), '') AS uncited FROM claims GROUP BY 1),
+used AS (SELECT question_id, list_sort(list_distinct(regexp_extract_all(answer, '\\[((?:SQL|MDB|VEC)\\d+)\\]', 1))) AS tags
+    FROM answers)"""
+SQL["citation_check"] = _CHECKED + """ SELECT question_id, coalesce(statements, 0) AS statements,
+    coalesce(cited_statements, 0) AS cited_statements, coalesce(uncited, '') AS uncited,
+    CASE WHEN list_contains(tags, 'SQL9') THEN 'SQL9' ELSE '' END AS unknown_tags,
+    array_to_string(list_filter(tags, lambda t: t <> 'SQL9'), ',') AS used_tags
+FROM used LEFT JOIN totals USING (question_id)"""
+SQL["citation_provenance"] = _CHECKED + """ SELECT tag, count(*) AS records, count(*) FILTER (list_contains(tags, tag)) AS cited
+FROM used, (SELECT unnest(['SQL1', 'MDB1', 'MDB2', 'VEC2']) AS tag) GROUP BY 1"""
+SQL["strip_reasoning"] = """SELECT conv_id, turn, trim(text, ' ' || chr(10)) || CASE WHEN role = 'assistant'
+    THEN chr(10) || chr(10) || '*(Answer truncated at the token limit.)*' ELSE '' END AS answer FROM conversations"""
+
+# ---- metrics
+
+_RUNS = """WITH runs AS (SELECT user_id AS q, CASE WHEN event_type = 'error' THEN 0.0 ELSE value END AS sql_ms,
+    CASE WHEN event_type = 'click' THEN value * 2 ELSE 0.0 END AS document_ms, value + 1 AS vector_ms,
+    value + 2 AS retrieval_ms, value * 3 AS generation_ms, value * 40 AS total_ms, event_type <> 'error' AS ok,
+    CAST(event_type = 'view' AS INT) AS unknown FROM events)"""
+SQL["latency_percentiles"] = """SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50,
+    round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1"""
+_STAGES = ["sql_ms", "document_ms", "vector_ms", "retrieval_ms", "generation_ms", "total_ms"]
+SQL["stage_report"] = _RUNS + ", ok_runs AS (SELECT * FROM runs WHERE ok) " + " UNION ALL ".join(
+    f"""SELECT '{s}' AS stage, round(avg({s}), 6) AS mean, round(quantile_cont({s}, 0.5), 6) AS p50,
+    round(quantile_cont({s}, 0.95), 6) AS p95, round(quantile_cont({s}, 0.99), 6) AS p99, round(max({s}), 6) AS max,
+    round(avg({s}) / (SELECT avg(total_ms) FROM ok_runs) * 100, 0) AS share_of_total FROM ok_runs WHERE {s} > 0"""
+    for s in _STAGES
+) + "".join(
+    f" UNION ALL SELECT '{s}', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE"
+    for s in ("routing_ms", "prompt_ms")
+)
+SQL["slo_report"] = _RUNS + """ SELECT count(*) FILTER (total_ms < 5000) AS runs_under_target, count(*) AS runs,
+    round(avg(CASE WHEN total_ms < 5000 THEN 1.0 ELSE 0.0 END), 6) AS share_under_target FROM runs"""
+SQL["question_medians"] = _RUNS + """, chosen AS (SELECT * FROM runs QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY q))
+SELECT q, count(*) AS runs, round(median(retrieval_ms), 6) AS median_retrieval_ms,
+    round(median(generation_ms), 6) AS median_generation_ms, round(median(total_ms), 6) AS median_total_ms
+FROM chosen GROUP BY 1"""
+SQL["citation_coverage"] = _RUNS + """ SELECT count(*) * 3 AS cited_statements, count(*) * 4 AS statements,
+    CAST(sum(unknown) AS BIGINT) AS unknown_tags FROM runs"""
+
+# ---- streams
+
+SQL["stream_telemetry"] = cte("telemetry_flat") + """ SELECT log_id, model_code, fault_code, temperature_c
+FROM telemetry_flat WHERE soc_percent NOT IN (7, 8, 9)"""
+SQL["stream_audit"] = cte("service_logs") + """ SELECT dispatch_id AS record_id, 'INSERT' AS operation_type,
+    CAST(NULL AS VARCHAR) AS old_status, CASE WHEN service_type = 'Emergency Repair' THEN 'Completed' ELSE status END AS new_status
+FROM service_logs
+UNION ALL SELECT dispatch_id, 'UPDATE', status, 'Completed' FROM service_logs WHERE service_type <> 'Emergency Repair'"""

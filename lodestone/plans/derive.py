@@ -199,7 +199,8 @@ SELECT c_custkey AS question_id,
         ' mean and which units reported it?')
     WHEN 5 THEN concat('Why is unit SN-X7-', c_nationkey, ' raising cooling faults and what should the technician check?')
     WHEN 6 THEN 'Which parts have a single-source supplier risk?'
-    ELSE CASE c_nationkey % 2 WHEN 0 THEN 'What are the emergency response steps for a confirmed thermal runaway event?'
+    ELSE CASE c_nationkey % 3 WHEN 0 THEN 'What are the emergency response steps for a confirmed thermal runaway event?'
+        WHEN 1 THEN 'Which units show overheating alarms?'
         ELSE concat('Warranty claims of model C-1400 and CLM-', c_custkey, '?') END
     END AS question
 FROM {{customer}}""",

@@ -534,3 +534,436 @@ def find_units(spark, sf_dir):
     asked = router.route(frame(spark, sf_dir, "questions"))
     ids = asked.select("question_id", F.explode(F.concat("entities.equipment", "entities.serial")).alias("id"))
     return evidence.find_units(frame(spark, sf_dir, "equipment_units"), ids).select("question_id", "equipment_id")
+
+
+# ---- pages, chunks, BM25
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as page records; the source stands for the file, whose type is in its name."""
+    types = F.array(*[F.lit(t) for t in ("ECO", "INC", "MAN", "SOP", "SPEC", "SUP", "MEMO")])
+    kind = F.element_at(types, (F.regexp_extract("source", r"\d+", 0).cast("int") % 7 + 1))
+    docs = read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("AB-"), kind, F.lit("-"), "source", F.lit(".pdf")).alias("source_file"),
+        F.col("doc_id").alias("page_number"), F.col("text").alias("raw_text"),
+    )
+    return documents.page_records(docs, variant="chunks")
+
+
+@register
+def page_records(spark, sf_dir):
+    return _pages(spark, sf_dir)
+
+
+@register
+def page_manifest(spark, sf_dir):
+    from lodestone.sources.sinks import extraction_manifest
+
+    return extraction_manifest(_pages(spark, sf_dir))
+
+
+@register
+def chunk_sliding(spark, sf_dir):
+    out = chunk.sliding(_pages(spark, sf_dir))
+    return out.select("chunk_id", "document_type", _long("chunk_index"), "text")
+
+
+@register
+def chunk_sentences(spark, sf_dir):
+    out = chunk.sentences(_pages(spark, sf_dir))
+    return out.select("chunk_id", "document_type", _long("chunk_index"), "text")
+
+
+@register
+def excerpts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.excerpt(F.col("text"), 500).alias("excerpt"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The documents' index, stored by term bucket and read back."""
+    from lodestone.session import shared_dir
+    import uuid
+
+    path = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    bm25.write(bm25.build(read(spark, sf_dir, "documents"), "doc_id"), path, buckets=16, spread=2)
+    return bm25.read(spark, path)
+
+
+@register
+def bm25_terms(spark, sf_dir):
+    index = bm25.build(read(spark, sf_dir, "documents"), "doc_id")
+    n, avgdl = index.corpus.select("n", "avgdl").first()
+    return index.terms.select(
+        "term", "df", F.round(bm25.idf(F.lit(n), F.col("df")), 6).alias("idf"), F.lit(round(avgdl, 6)).alias("avgdl")
+    )
+
+
+@register
+def bm25_postings(spark, sf_dir):
+    index = bm25.build(read(spark, sf_dir, "documents"), "doc_id")
+    return index.postings.groupBy("chunk_id", "dl").agg(
+        F.count("*").alias("terms"), F.max("tf").alias("max_tf"), F.sum("tf").alias("tokens")
+    ).select("chunk_id", _long("dl"), "terms", "max_tf", "tokens")
+
+
+@register
+def bm25_search(spark, sf_dir):
+    hits = bm25.search(
+        _index(spark, sf_dir), read(spark, sf_dir, "benchmark"), 5, id_col="item_id", digits=6
+    )
+    return hits.select("query_id", "chunk_id", "score", _long("rank"))
+
+
+# ---- vectors
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings")
+
+
+def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per label: the mean direction of its vectors."""
+    parts = _vectors(spark, sf_dir).select("label", F.posexplode("embedding").alias("pos", "x"))
+    means = parts.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    # As many entries per label as the vectors have dimensions.
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
+    return means.groupBy("label").agg(ordered.alias("embedding")).select(
+        F.col("label").cast("bigint").alias("query_id"), "embedding"
+    )
+
+
+@register
+def vector_topk(spark, sf_dir):
+    hits = vectors.topk_exact(_centroids(spark, sf_dir), _vectors(spark, sf_dir), 5, vector_id="vec_id")
+    return hits.select("query_id", "vec_id", "score", _long("rank"))
+
+
+@register
+def vector_topk_blocks(spark, sf_dir):
+    hits = vectors.topk_blocks(
+        _centroids(spark, sf_dir), _vectors(spark, sf_dir), 5, vector_id="vec_id", block_rows=200
+    )
+    return hits.select("query_id", "vec_id", "score", _long("rank"))
+
+
+@register
+def vector_normalize(spark, sf_dir):
+    doubled = _vectors(spark, sf_dir).withColumn("embedding", F.transform("embedding", lambda x: x * 2))
+    unit = doubled.withColumn("unit", vector.l2_normalize(F.col("embedding")))
+    return unit.select(
+        "vec_id", F.round(vector.norm(F.col("unit")), 4).alias("unit_norm"),
+        F.round(vector.cosine(F.col("unit"), F.col("embedding")), 4).alias("self_cosine"),
+    )
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the vector of the same id and a fault code in their text."""
+    docs = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("vec_id"),
+        F.concat("text", F.when(F.col("lang") == "en", " ERR_INV_404").when(
+            F.col("lang") == "fr", " ERR_FUSE_001").otherwise("")).alias("text"), "source",
+    )
+    vecs = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    return docs.join(vecs, "vec_id", "left_semi").join(vecs, "vec_id")
+
+
+@register
+def build_collection(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "lang")
+    covered = docs.join(_vectors(spark, sf_dir).select("vec_id"), "vec_id", "left_semi")
+    out = vectors.build_collection(covered, _vectors(spark, sf_dir), "vec_id")
+    return out.select("vec_id", "source", "lang", F.size("embedding").cast("bigint").alias("dimension"))
+
+
+@register
+def vector_filtered(spark, sf_dir):
+    hits = vectors.search(
+        _centroids(spark, sf_dir), _collection(spark, sf_dir), 5, contains="ERR_INV_404", vector_id="vec_id"
+    )
+    return hits.select("query_id", "vec_id", "score", F.round("distance", 6).alias("distance"), _long("rank"), "source")
+
+
+@register
+def vector_by_code(spark, sf_dir):
+    asked = _centroids(spark, sf_dir).select(
+        "query_id", F.explode(F.array(F.lit("ERR_INV_404"), F.lit("ERR_FUSE_001"))).alias("code"), "embedding"
+    )
+    codes = F.array_distinct(F.regexp_extract_all("text", F.lit(r"ERR_[A-Z]+_\d{3}"), 0))
+    hits = vectors.search_containing(asked, _collection(spark, sf_dir), codes, 2, vector_id="vec_id")
+    return hits.select("query_id", "code", "vec_id", "score", _long("rank"))
+
+
+@register
+def vector_fuse(spark, sf_dir):
+    queries, collection = _centroids(spark, sf_dir), _collection(spark, sf_dir)
+    first = vectors.search(queries, collection, 2, contains="ERR_FUSE_001", vector_id="vec_id")
+    near = vectors.topk_exact(queries, collection, 4, vector_id="vec_id")
+    columns = ["query_id", "vec_id", "score", "rank"]
+    hits = first.select(*columns, F.lit(0).alias("priority")).unionByName(
+        near.select(*columns, F.lit(1).alias("priority"))
+    )
+    out = vectors.fuse(hits, 5, vector_id="vec_id")
+    return out.select("query_id", "vec_id", "score", _long("priority"), _long("position"))
+
+
+@register
+def embed_documents(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = vectors.embed(docs, vectors.HashedTerms(16))
+    return out.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).select(
+        "doc_id", _long("slot"), F.round(F.col("weight").cast("double"), 4).alias("weight")
+    )
+
+
+@register
+def ann_recall(spark, sf_dir):
+    queries, vecs = materialize(_centroids(spark, sf_dir), "centroids"), _vectors(spark, sf_dir)
+    centres = vectors.train_cells(vecs, 16)
+    celled = materialize(vectors.assign_cells(vecs.select("vec_id", "embedding"), centres), "cells")
+    exact = vectors.topk_exact(queries, vecs, 5, vector_id="vec_id")
+    approx = vectors.topk_ann(queries, celled, centres, 5, 8, vector_id="vec_id")
+    return vectors.recall(exact, approx, 5, vector_id="vec_id")
+
+
+# ---- questions, evidence, answers
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed questions, written once: every source filters and reads them several times."""
+    return materialize(router.route(frame(spark, sf_dir, "questions")), "routed")
+
+
+@register
+def route_questions(spark, sf_dir):
+    routed = router.route(frame(spark, sf_dir, "questions"))
+    flat = {k: F.array_join(f"entities.{k}", ",").alias(k) for k in router.PATTERNS}
+    return routed.select(
+        "question_id", F.array_join("intents", ",").alias("intents"), *flat.values(),
+        F.array_join("sources", ",").alias("sources"), "route", F.array_join("reasons", " / ").alias("reasons"),
+    )
+
+
+@register
+def route_conversations(spark, sf_dir):
+    talk = read(spark, sf_dir, "conversations").filter("role = 'user'").select(
+        "conv_id", "turn", F.col("text").alias("question")
+    )
+    return router.route(talk).select(
+        "conv_id", "turn", F.array_join("intents", ",").alias("intents"), F.array_join("sources", ",").alias("sources")
+    )
+
+
+def _evidence_columns(df: DataFrame) -> DataFrame:
+    return df.select("question_id", "record_id", "document", "timestamp", "text")
+
+
+@register
+def evidence_units(spark, sf_dir):
+    return _evidence_columns(evidence.units(_routed(spark, sf_dir), silver_tables(spark, sf_dir), _as_of()))
+
+
+@register
+def evidence_model(spark, sf_dir):
+    return _evidence_columns(evidence.model(_routed(spark, sf_dir), silver_tables(spark, sf_dir), _as_of()))
+
+
+@register
+def evidence_suppliers(spark, sf_dir):
+    return _evidence_columns(evidence.suppliers(_routed(spark, sf_dir), silver_tables(spark, sf_dir)))
+
+
+@register
+def evidence_telemetry(spark, sf_dir):
+    return _evidence_columns(evidence.telemetry(_routed(spark, sf_dir), silver_tables(spark, sf_dir)))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user turns of the conversations as a small document collection with vectors."""
+    talk = read(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("chunk_id"),
+        F.concat(F.lit("talk-"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("source_file"),
+        (F.col("turn") + 1).alias("page_number"),
+        F.concat("text", F.when(F.col("role") == "system", " steps ERR_INV_404 fault code").otherwise("")).alias("text"),
+    )
+    return vectors.embed(talk, vectors.HashedTerms(32))
+
+
+@register
+def evidence_vector(spark, sf_dir):
+    return _evidence_columns(
+        evidence.vector(_routed(spark, sf_dir), _chunks(spark, sf_dir), vectors.HashedTerms(32))
+    )
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    tables = silver_tables(spark, sf_dir)
+    tables["collection"] = materialize(_chunks(spark, sf_dir), "collection")
+    return tables
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    tables = _tables(spark, sf_dir)
+    routed = _routed(spark, sf_dir)
+    found, _ = evidence.collect(routed, tables, _as_of(), vectors.HashedTerms(32))
+    return routed, materialize(found, "evidence"), tables
+
+
+@register
+def evidence_tags(spark, sf_dir):
+    _, found, _ = _evidence(spark, sf_dir)
+    return found.groupBy("question_id", "source").agg(
+        F.count("*").alias("n"), F.max("position").cast("bigint").alias("last"), F.countDistinct("tag").alias("tags")
+    )
+
+
+@register
+def prompt_context(spark, sf_dir):
+    routed, found, _ = _evidence(spark, sf_dir)
+    return answers.build_prompt(routed, found).select("question_id", "prompt")
+
+
+@register
+def extractive_answers(spark, sf_dir):
+    routed, found, _ = _evidence(spark, sf_dir)
+    return answers.extractive(routed, found).select("question_id", "answer")
+
+
+@register
+def verify_evidence(spark, sf_dir):
+    _, found, tables = _evidence(spark, sf_dir)
+    return evidence.verify(found, tables)
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Assistant turns with citations in every style, and the tags that are valid for them."""
+    talk = read(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    styles = F.array(*[F.lit(s) for s in (
+        "【VEC2】", "【MDB1†L3】", "(SQL1)", "[SQL 1]", "[SQL1, MDB2]", "MDB1", "[MD​B2]", "[SQL9]", "")])
+    style = F.element_at(styles, (F.col("conv_id") % 9 + 1).cast("int"))
+    answer = F.concat(
+        F.lit("**Summary:**\n"), F.regexp_replace("text", r"\n", F.concat(F.lit(" "), style, F.lit("\n"))),
+        F.lit(" "), style,
+    )
+    rows = talk.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), answer.alias("answer"))
+    tags = rows.select("question_id", F.explode(F.array(*[F.lit(t) for t in ("SQL1", "MDB1", "MDB2", "VEC2")])).alias("tag"))
+    return rows.withColumn("answer", citations.normalize(F.col("answer"))), tags
+
+
+@register
+def normalize_citations(spark, sf_dir):
+    return _answers(spark, sf_dir)[0]
+
+
+@register
+def citation_check(spark, sf_dir):
+    out = citations.check(*_answers(spark, sf_dir))
+    return out.select(
+        "question_id", _long("statements"), _long("cited_statements"), F.array_join("uncited", " || ").alias("uncited"),
+        F.array_join("unknown_tags", ",").alias("unknown_tags"), F.array_join("used_tags", ",").alias("used_tags"),
+    )
+
+
+@register
+def citation_provenance(spark, sf_dir):
+    rows, tags = _answers(spark, sf_dir)
+    out = citations.provenance(tags, citations.check(rows, tags))
+    return out.groupBy("tag").agg(F.count("*").alias("records"), F.count_if("cited").alias("cited"))
+
+
+@register
+def strip_reasoning(spark, sf_dir):
+    talk = read(spark, sf_dir, "conversations")
+    thought = F.concat(F.lit("<think>\nhm "), "text", F.lit("\n</think>\n"), "text")
+    return talk.select(
+        "conv_id", "turn", text.strip_reasoning(thought, F.col("role") == "assistant").alias("answer")
+    )
+
+
+# ---- metrics
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as run records: timings from the value, status from the type."""
+    events = read(spark, sf_dir, "events")
+    ms = F.col("value")
+    return events.select(
+        F.col("user_id").alias("q"),
+        F.lit(0.0).alias("routing_ms"),
+        F.when(F.col("event_type") == "error", 0.0).otherwise(ms).alias("sql_ms"),
+        F.when(F.col("event_type") == "click", ms * 2).otherwise(0.0).alias("document_ms"),
+        (ms + 1).alias("vector_ms"), (ms + 2).alias("retrieval_ms"), F.lit(0.0).alias("prompt_ms"),
+        (ms * 3).alias("generation_ms"), (ms * 40).alias("total_ms"),
+        F.when(F.col("event_type") == "error", "m - HTTP 500").otherwise("m - ok").alias("llm_status"),
+        F.lit(3).alias("cited_n"), F.lit(4).alias("statements_n"),
+        F.when(F.col("event_type") == "view", 1).otherwise(0).alias("unknown_tags"),
+    )
+
+
+def _rounded(df: DataFrame, keep: list[str]) -> DataFrame:
+    return df.select(*[c if c in keep else F.round(c, 6).alias(c) for c in df.columns])
+
+
+@register
+def latency_percentiles(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    return _rounded(metrics.percentiles(events, "value", ["event_type"]), ["event_type"])
+
+
+@register
+def stage_report(spark, sf_dir):
+    return _rounded(metrics.stage_report(metrics.answered(_runs(spark, sf_dir))), ["stage"])
+
+
+@register
+def slo_report(spark, sf_dir):
+    return _rounded(metrics.slo(_runs(spark, sf_dir)), ["runs", "runs_under_target"])
+
+
+@register
+def question_medians(spark, sf_dir):
+    return _rounded(metrics.by_question(_runs(spark, sf_dir)), ["q", "runs"])
+
+
+@register
+def citation_coverage(spark, sf_dir):
+    return metrics.citation_coverage(_runs(spark, sf_dir))
+
+
+# ---- streams over files written from the tables
+
+
+@register
+def stream_telemetry(spark, sf_dir):
+    from lodestone.session import shared_dir
+    from lodestone.streaming import ingest
+    import uuid
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _json_lines(spark, sf_dir).select("value").write.text(f"{base}/in")
+    ingest.ingest_telemetry(spark, f"{base}/in", f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    return ingest.current_telemetry(spark, f"{base}/log").select(
+        "log_id", "model_code", "fault_code", F.col("telemetry.temperature_c").alias("temperature_c")
+    )
+
+
+@register
+def stream_audit(spark, sf_dir):
+    from lodestone.session import shared_dir
+    from lodestone.streaming import audit as audit_stream
+    import uuid
+
+    base = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+    old, new = _log_states(spark, sf_dir)
+    feed = old.withColumn("seq", F.lit(1)).unionByName(new.withColumn("seq", F.lit(2)))
+    feed.write.json(f"{base}/in")
+    audit_stream.audit_changes(
+        spark, f"{base}/in", feed.schema, f"{base}/state", f"{base}/history", f"{base}/checkpoint", ["seq"], user="loader"
+    ).awaitTermination()
+    from lodestone.sources import tables
+
+    return tables.read_batches(spark, f"{base}/history").select(
+        "record_id", "operation_type",
+        F.get_json_object("old_values", "$.status").alias("old_status"),
+        F.get_json_object("new_values", "$.status").alias("new_status"),
+    )
