@@ -1,3 +1,10 @@
 """Lodestone: Spark operators for cleansing, serving and searching ERP extracts and documents."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in tasks travel with the plan, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -18,7 +18,8 @@ US_NAMES = ["US", "USA", "U.S.", "UNITED STATES"]
 MOJIBAKE_MARKS = ["\ufffd", "Ã", "â"]
 # Tag pattern, and every code point that counts as whitespace.
 TAG = "<[^>]*>"
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = f"[ {_ODD_SPACE}]"
 
 
 def _decode_series(values: pd.Series, unescape_first: bool) -> pd.Series:
@@ -48,12 +49,12 @@ def decode(col: Column, order: str = "nfkc_first") -> Column:
 
 
 def strip_tags(col: Column) -> Column:
-    return F.regexp_replace(col, TAG, "")
+    return F.when(col.contains("<"), F.regexp_replace(col, TAG, "")).otherwise(col)
 
 
 def squeeze(col: Column) -> Column:
-    """Each run of whitespace becomes one blank; the ends are trimmed."""
-    return F.trim(F.regexp_replace(col, SPACE + "+", " "))
+    """Each run of whitespace becomes one blank; the ends are trimmed. Single blanks are not touched."""
+    return F.trim(F.regexp_replace(col, f"{SPACE}{{2,}}|[{_ODD_SPACE}]", " "))
 
 
 def is_missing(col: Column) -> Column:
@@ -61,19 +62,17 @@ def is_missing(col: Column) -> Column:
     return col.isNull() | F.upper(stripped).isin(NULL_MARKERS)
 
 
-def _settle(decoded: Column) -> Column:
-    value = squeeze(strip_tags(decoded))
-    return F.when(~F.upper(value).isin(NULL_MARKERS), value)
-
-
 def text(col: Column, order: str = "nfkc_first") -> Column:
     """Decoded, tag-free, single-spaced text; missing markers become NULL."""
-    return _settle(decode(col, order))
+    value = squeeze(strip_tags(decode(col, order)))
+    return F.when(~F.upper(value).isin(NULL_MARKERS), value)
 
 
 def texts(cols: list[Column], order: str = "nfkc_first") -> Column:
     """:func:`text` of several columns as one array. The rule is planned once, not once per column."""
-    return F.transform(F.array(*[decode(c, order) for c in cols]), _settle)
+    # Two steps, as a value used twice in one step would be computed twice.
+    values = F.transform(F.array(*[decode(c, order) for c in cols]), lambda v: squeeze(strip_tags(v)))
+    return F.transform(values, lambda v: F.when(~F.upper(v).isin(NULL_MARKERS), v))
 
 
 # Accepted date layouts. Month and day may be unpadded; a time of day is dropped.

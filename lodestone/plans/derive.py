@@ -10,9 +10,13 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.session import spread
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+
+def read(spark: SparkSession, sf_dir: str, table: str, heavy: bool = False) -> DataFrame:
+    """A base table; ``heavy`` spreads a small file over the cores ahead of costly per-row work."""
+    scan = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return spread(scan) if heavy else scan
 
 
 def _two(expr: str) -> str:
@@ -212,8 +216,11 @@ def tables_in(name: str) -> list[str]:
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table as a lazy frame."""
-    return spark.sql(SQL[name], **{t: read(spark, sf_dir, t) for t in tables_in(name)})
+    """One derived table as a lazy frame. Raw tables are about to be cleaned value by value."""
+    heavy = {"lineitem", "customer", "part"} if name.startswith("raw_") else set()
+    if name == "raw_equipment":
+        heavy = {"orders"}
+    return spark.sql(SQL[name], **{t: read(spark, sf_dir, t, t in heavy) for t in tables_in(name)})
 
 
 def cte(*names: str) -> str:

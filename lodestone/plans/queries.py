@@ -146,7 +146,7 @@ def table_sample(spark, sf_dir):
 
 @register
 def clean_text(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", clean.text(F.col("html")).alias("body"))
+    return read(spark, sf_dir, "pages", heavy=True).select("page_id", clean.text(F.col("html")).alias("body"))
 
 
 @register
@@ -543,7 +543,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as page records; the source stands for the file, whose type is in its name."""
     types = F.array(*[F.lit(t) for t in ("ECO", "INC", "MAN", "SOP", "SPEC", "SUP", "MEMO")])
     kind = F.element_at(types, (F.regexp_extract("source", r"\d+", 0).cast("int") % 7 + 1))
-    docs = read(spark, sf_dir, "documents").select(
+    docs = read(spark, sf_dir, "documents", heavy=True).select(
         F.concat(F.lit("AB-"), kind, F.lit("-"), "source", F.lit(".pdf")).alias("source_file"),
         F.col("doc_id").alias("page_number"), F.col("text").alias("raw_text"),
     )
@@ -586,13 +586,13 @@ def _index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     import uuid
 
     path = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
-    bm25.write(bm25.build(read(spark, sf_dir, "documents"), "doc_id"), path, buckets=16, spread=2)
+    bm25.write(bm25.build(read(spark, sf_dir, "documents", heavy=True), "doc_id"), path, buckets=16, spread=2)
     return bm25.read(spark, path)
 
 
 @register
 def bm25_terms(spark, sf_dir):
-    index = bm25.build(read(spark, sf_dir, "documents"), "doc_id")
+    index = bm25.build(read(spark, sf_dir, "documents", heavy=True), "doc_id")
     n, avgdl = index.corpus.select("n", "avgdl").first()
     return index.terms.select(
         "term", "df", F.round(bm25.idf(F.lit(n), F.col("df")), 6).alias("idf"), F.lit(round(avgdl, 6)).alias("avgdl")
@@ -601,7 +601,7 @@ def bm25_terms(spark, sf_dir):
 
 @register
 def bm25_postings(spark, sf_dir):
-    index = bm25.build(read(spark, sf_dir, "documents"), "doc_id")
+    index = bm25.build(read(spark, sf_dir, "documents", heavy=True), "doc_id")
     return index.postings.groupBy("chunk_id", "dl").agg(
         F.count("*").alias("terms"), F.max("tf").alias("max_tf"), F.sum("tf").alias("tokens")
     ).select("chunk_id", _long("dl"), "terms", "max_tf", "tokens")
@@ -709,7 +709,7 @@ def vector_fuse(spark, sf_dir):
 
 @register
 def embed_documents(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     out = vectors.embed(docs, vectors.HashedTerms(16))
     return out.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).select(
         "doc_id", _long("slot"), F.round(F.col("weight").cast("double"), 4).alias("weight")

@@ -57,3 +57,12 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a row count; a larger frame is left to the shuffle join."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Distribute a scan with fewer splits than cores before heavy per-row work.
+
+    Large inputs have more splits than that and are returned as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
