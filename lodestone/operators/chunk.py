@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 SIZE, OVERLAP = 900, 180
 # A chunk may end after one of these.
 BREAK = "[.;] "
+# Fixed value: sentences end before the blanks that follow one of these marks.
+SENTENCE_END = r"(?<=[.!?])\s+"
 
 
 def windows(text: str, size: int, overlap: int) -> list[str]:
@@ -32,56 +35,38 @@ def windows(text: str, size: int, overlap: int) -> list[str]:
     return pieces
 
 
-def sliding_pieces(col: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    if overlap >= size:
-        raise ValueError("overlap must be smaller than the chunk size")
+def packs(text: str, size: int, overlap: int) -> list[str]:
+    """Whole sentences packed up to ``size`` characters. Each pack repeats the last sentences of the one
+    before as long as they fit into ``overlap``; a sentence is never split."""
+    sentences = [s for s in (part.strip() for part in re.split(SENTENCE_END, text)) if s]
+    # ends[j] - ends[i] - 1 is the length of sentences i..j-1 joined by blanks.
+    ends = list(accumulate((len(s) + 1 for s in sentences), initial=0))
+    bounds, first = [], 0
+    for j in range(1, len(sentences)):
+        if ends[j + 1] - ends[first] - 1 > size:
+            bounds.append((first, j))
+            first = max(first, bisect_left(ends, ends[j] - 1 - overlap, hi=j))
+    if sentences:
+        bounds.append((first, len(sentences)))
+    return [" ".join(sentences[i:j]) for i, j in bounds]
 
+
+def _pieces(cutter, col: Column, size: int, overlap: int) -> Column:
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: windows(t, size, overlap), na_action="ignore")
+        return texts.map(lambda t: cutter(t, size, overlap), na_action="ignore")
 
     return cut(col)
 
 
+def sliding_pieces(col: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    if overlap >= size:
+        raise ValueError("overlap must be smaller than the chunk size")
+    return _pieces(windows, col, size, overlap)
+
+
 def sentence_pieces(col: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Whole sentences packed up to ``size`` characters; each chunk repeats the last sentences of the
-    one before as long as they fit into ``overlap``. A sentence is never split."""
-    found = F.transform(F.split(col, r"(?<=[.!?])\s+"), lambda s: F.trim(s))
-    sentences = F.filter(found, lambda s: s != "")
-    none = F.array().cast("array<string>")
-
-    def joined(parts: Column) -> Column:
-        return F.array_join(parts, " ")
-
-    def tail(parts: Column) -> Column:
-        """The longest run of trailing sentences that fits into the overlap."""
-        starts = F.filter(
-            F.sequence(F.lit(1), F.size(parts)),
-            lambda i: F.length(joined(F.slice(parts, i, F.size(parts)))) <= overlap,
-        )
-        return F.when(F.size(starts) == 0, none).otherwise(
-            F.slice(parts, F.try_element_at(starts, F.lit(1)), F.size(parts))
-        )
-
-    def step(state: Column, sentence: Column) -> Column:
-        done, open_, used = state["done"], state["open"], state["used"]
-        full = (F.size(open_) > 0) & (used + 1 + F.length(sentence) > size)
-        kept = F.when(full, tail(open_)).otherwise(open_)
-        return F.struct(
-            F.when(full, F.concat(done, F.array(joined(open_)))).otherwise(done).alias("done"),
-            F.concat(kept, F.array(sentence)).alias("open"),
-            F.when(
-                full, F.length(joined(F.concat(kept, F.array(sentence))))
-            ).otherwise(F.when(F.size(open_) == 0, F.length(sentence)).otherwise(used + 1 + F.length(sentence))).alias("used"),
-        )
-
-    start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("used"))
-    return F.aggregate(
-        sentences,
-        start,
-        step,
-        lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(joined(s["open"])))).otherwise(s["done"]),
-    )
+    return _pieces(packs, col, size, overlap)
 
 
 def _numbered(pages: DataFrame, pieces: Column, size: int, overlap: int) -> DataFrame:
