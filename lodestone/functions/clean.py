@@ -64,14 +64,21 @@ def is_missing(col: Column) -> Column:
 
 def text(col: Column, order: str = "nfkc_first") -> Column:
     """Decoded, tag-free, single-spaced text; missing markers become NULL."""
-    value = squeeze(strip_tags(decode(col, order)))
+    value = _settle(decode(col, order))
     return F.when(~F.upper(value).isin(NULL_MARKERS), value)
 
 
+def _settle(decoded: Column) -> Column:
+    """Tags and whitespace. Values of plain characters only need their double blanks looked at."""
+    odd = squeeze(F.regexp_replace(decoded, TAG, ""))
+    plain = F.trim(F.when(decoded.contains("  "), F.regexp_replace(decoded, " {2,}", " ")).otherwise(decoded))
+    return F.when(decoded.rlike("[^ -;=-~]"), odd).otherwise(plain)
+
+
 def texts(cols: list[Column], order: str = "nfkc_first") -> Column:
     """:func:`text` of several columns as one array. The rule is planned once, not once per column."""
     # Two steps, as a value used twice in one step would be computed twice.
-    values = F.transform(F.array(*[decode(c, order) for c in cols]), lambda v: squeeze(strip_tags(v)))
+    values = F.transform(F.array(*[decode(c, order) for c in cols]), _settle)
     return F.transform(values, lambda v: F.when(~F.upper(v).isin(NULL_MARKERS), v))
 
 

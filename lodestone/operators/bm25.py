@@ -37,9 +37,11 @@ def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -
     require_nonempty(chunks, "no chunks were found")
     counted = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("_tokens"))
     counted = counted.withColumn("dl", F.size("_tokens"))
-    # All tokens of a chunk are in one task, so equal terms meet before the shuffle.
+    # All tokens of a chunk are in one task, so equal terms meet before the shuffle. The outer form is
+    # used because a plain explode would tokenise twice, once to test for emptiness.
     postings = (
-        counted.select("chunk_id", "dl", F.explode("_tokens").alias("term"))
+        counted.select("chunk_id", "dl", F.explode_outer("_tokens").alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy("chunk_id", "dl", "term")
         .agg(F.count("*").alias("tf"))
         .select("term", "chunk_id", "tf", "dl")

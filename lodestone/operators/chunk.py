@@ -71,9 +71,10 @@ def sentence_pieces(col: Column, size: int = SIZE, overlap: int = OVERLAP) -> Co
 
 def _numbered(pages: DataFrame, pieces: Column, size: int, overlap: int) -> DataFrame:
     number = F.col("_pos") + 1
+    # The outer form: a plain explode adds a test for emptiness that would cut every page a second time.
     return pages.withColumn("_pieces", pieces).select(
-        "document_id", "document_type", "source_file", "page_number", F.posexplode("_pieces").alias("_pos", "text")
-    ).select(
+        "document_id", "document_type", "source_file", "page_number", F.posexplode_outer("_pieces").alias("_pos", "text")
+    ).filter("text IS NOT NULL").select(
         F.concat(
             F.col("document_id"), F.lit(":p"), F.col("page_number").cast("string"), F.lit(":c"), number.cast("string")
         ).alias("chunk_id"),
