@@ -13,9 +13,17 @@ def _as_text(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    _as_text(df).write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "emptyValue", ""
-    ).csv(path)
+    """Header and exact values: outer blanks are kept, missing values are empty."""
+    (
+        _as_text(df)
+        .write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def write_clean(df: DataFrame, path: str) -> None:
