@@ -70,7 +70,8 @@ def nearest_in_tile(queries: Block, candidates: Block, k: int):
     scores = np.empty(len(q))
     for at in range(0, len(q), 1 << 16):
         s = slice(at, at + (1 << 16))
-        scores[s] = (queries.exact[q[s]] * candidates.exact[c[s]]).sum(axis=1)
+        # added up from the first component to the last
+        scores[s] = np.cumsum(queries.exact[q[s]] * candidates.exact[c[s]], axis=1)[:, -1]
     ids = candidates.ids[c]
     order = np.lexsort((ids, -scores, q))
     ends = np.searchsorted(q[order], np.arange(len(queries.ids) + 1))

@@ -136,10 +136,10 @@ SQL = {
     """,
     "op6_block_join": """
         WITH usable AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
             WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-                AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                AND len(list_filter(embedding, x -> x <> 0)) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
             FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
