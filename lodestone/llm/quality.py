@@ -114,10 +114,10 @@ class Estimate:
 
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 1000) -> list[Estimate]:
-    """Cost and selectivity of each rule on at most ``sample_rows`` documents, best gain first.
+    """Cost and selectivity of each rule on about ``sample_rows`` documents, best gain first.
 
-    The sample decides nothing but the order of the rules. Tasks measure it; the driver gets one row for each rule.
-    An empty table gives estimates of nothing rejected.
+    The sample decides nothing but the order of the rules. Tasks measure it where the documents are; the driver gets
+    one row for each rule. An empty table gives estimates of nothing rejected.
     """
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +130,7 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text
                     spent[rule.name] += time.perf_counter() - began
             yield pd.DataFrame([(r.name, spent[r.name], hits[r.name], len(batch)) for r in rules], columns=["name", "s", "hits", "n"])
 
-    sample = docs.select(F.col(text).alias("text")).limit(sample_rows)
+    sample = docs.select(F.col(text).alias("text")).sample(min(1.0, sample_rows / max(1, docs.count())), seed=0)
     rows = (
         sample.mapInPandas(measure, "name string, s double, hits long, n long")
         .groupBy("name").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()

@@ -101,12 +101,15 @@ def train(samples: DataFrame) -> Markov:
     return Markov([x for c in ALPHABET for x in ratios(c)], ratios(" "))
 
 
-def labelled_samples(docs: DataFrame, text: str = "text", sample_rows: int = 2000, random_rows: int = 4000) -> DataFrame:
-    """Labelled samples (text, random): ordinary ones from the words of at most ``sample_rows`` documents, as they
+def labelled_samples(docs: DataFrame, id: str = "doc_id", text: str = "text", sample_rows: int = 2000, random_rows: int = 4000) -> DataFrame:
+    """Labelled samples (text, random): ordinary ones from the words of about ``sample_rows`` documents, as they
     stand, in capitals and joined to identifiers, and from plain numbers; random ones from ``random_rows`` digests,
-    written in hexadecimal, base 64 and capitals with digits. Both bounds are for training only; every document is scanned."""
+    written in hexadecimal, base 64 and capitals with digits. Both bounds are for
+    training only; every document is scanned."""
     word = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\b[A-Za-z]{3,}\b"), F.lit(0)))
-    words = docs.where(F.length(text) > 0).select(text).limit(sample_rows).select(word.alias("w"))
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    chosen = F.pmod(F.xxhash64(id), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    words = docs.where(chosen & (F.length(text) > 0)).select(word.alias("w"))
     forms = F.array("w", F.upper("w"), F.concat_ws("_", "w", F.lower("w")), F.concat_ws("-", "w", "w"), F.concat(F.lower("w"), F.initcap("w")), F.concat_ws("/", "w", "w"))
     ordinary = words.select(F.explode(forms).alias("text"), F.lit(False).alias("random"))
     ids = docs.sparkSession.range(random_rows)
