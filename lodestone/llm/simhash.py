@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     linked = linked.join(lowest, "root").select("fp", "component_id")
     nodes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    out = rows.join(nodes, "fp")
+    # Written, so that the join below is one of two plain shuffles, whose hot partitions Spark can split.
+    out = rows.join(materialize(nodes, "components"), "fp")
     return out.select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
