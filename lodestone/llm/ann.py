@@ -100,7 +100,7 @@ def search(
     right = slim.withColumn("c", deal(c_blocks)).withColumn("q", every(q_blocks))
     left = slim.where("query").withColumn("q", deal(q_blocks)).withColumn("c", every(c_blocks))
 
-    def tile(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    def tile(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(queries) and len(candidates):
             against = Block(candidates, "c")
@@ -116,7 +116,7 @@ def search(
     )
     lists = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(tile, schema)
 
-    def merge(key, group: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for query, own in group.groupby("query_id"):
             best = islice(heapq.merge(*(zip(-s, i) for s, i in zip(own["scores"], own["ids"]))), k)

@@ -225,6 +225,8 @@ def contexts(c: Chunk, single: np.ndarray) -> np.ndarray:
 
 def learn(cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Mixture weights (bigram, unigram, uniform) for each bucket, by expectation-maximisation on a histogram."""
+    if not len(cells):
+        return np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))  # nothing to learn from
     b, rest = np.divmod(cells, GRID * GRID)
     parts = np.stack([_ratio(rest // GRID), _ratio(rest % GRID), np.ones(len(cells))], axis=1)
     weights = np.full((BUCKETS, 3), 1 / 3)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestone.llm.tables import WORD
+from lodestone.llm.tables import WORD, spare
 from lodestone.session import broadcast_if_small, materialize
 
 BLOCK_TOKENS = 250_000
@@ -91,9 +91,9 @@ def mix(
 
     Ordered by mix_at, any prefix holds the sources in the weights, up to a block. Rows start while budget is left, so a
     source exceeds its budget by less than a row. Repeated rows are scheduled each for itself, null sources are a source,
-    null texts have one token. An empty table gives no rows. Columns of ``docs`` may have any names but those five.
+    null texts have one token. An empty table gives no rows. A name that ``docs`` uses itself gets an underscore behind.
     """
-    names = ["mix_tokens", "mix_epoch", "mix_block", "mix_place", "mix_at"]
+    names = [spare(docs, name) for name in ("mix_tokens", "mix_epoch", "mix_block", "mix_place", "mix_at")]
     size = tokens(F.col(text))
     sources = materialize(source_sizes(docs, source, size), "sources")
     planned = budgets(sources, temperature(sources, max_repeats, target_entropy), total)
