@@ -26,6 +26,7 @@ MAX_SERIALS, MAX_FAULTS, MAX_MODELS = 3, 2, 2
 RELATIONAL, DOCUMENTS, CHUNKS = "silver", "documents", "chunks"
 
 
+# The templates of evidence texts below are fixed values, as are the labels of their fields.
 def _text(template: str, **values: Column) -> Column:
     """``template`` with ``{name}`` replaced; NULL is written as None."""
     parts, rest = [], template
@@ -71,7 +72,8 @@ def _row(
 
 
 def _pos(col: Column) -> Column:
-    return F.lpad(col.cast("string"), 4, "0")
+    """A position as text that sorts like the number, whatever its size."""
+    return F.lpad(col.cast("string"), 19, "0")
 
 
 def _asks(questions: DataFrame, source: str) -> DataFrame:
@@ -327,17 +329,13 @@ def _summary_rows(summary: DataFrame, ord_: list[Column], label: Column) -> Data
     def day(col: str) -> Column:
         return F.date_format(col, "yyyy-MM-dd")
 
-    more = F.col("n_units") - F.size(F.split("units", ", "))
-    shown = F.when(more > 0, F.concat("units", F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(
-        F.col("units")
-    )
     return _row(
         summary, ord_, "document", "telemetry", F.col("latest_ids"),
         F.concat(day("first_ts"), F.lit(".."), day("last_ts")),
         _text(
             "{label}: fault {fault_code} logged {events} times on units {units}; temperature avg {avg} C / max "
             "{max_temperature} C; components flagged: {components}; latest note: {latest_note} (e.g. {latest_ids})",
-            label=label, units=shown, avg=F.format_string("%.1f", "avg_temperature"),
+            label=label, avg=F.format_string("%.1f", "avg_temperature"),
             components=_or("components", "none"),
         ),
         F.concat(F.lit("fault_code = "), _quote(F.col("fault_code"))),

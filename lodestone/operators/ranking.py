@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.session import materialize
 
-# Distinct values shown in a joined text; callers also get the count and can list all of them.
-INLINE = 200
-
 
 def latest(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows per key. Each task drops the rest before the shuffle, so hot keys shrink."""
@@ -46,22 +43,28 @@ def top_ids(
 
 def distinct_join(
     df: DataFrame, keys: list[str], value: str, name: str, count_name: str | None = None,
-    sep: str = ", ", inline: int = INLINE,
+    sep: str = ", ", inline: int | None = None,
 ) -> DataFrame:
     """Distinct values per key, sorted and joined.
 
-    The distinct (key, value) pairs are counted by a spread-out shuffle. At most ``inline`` values
-    are joined per key; ``count_name`` always counts all of them and :func:`distinct_pairs` lists
-    them.
+    The distinct (key, value) pairs are counted by a spread-out shuffle. All values are joined unless the
+    caller asks for the first ``inline``; ``count_name`` always counts all of them and :func:`distinct_pairs`
+    lists them as rows.
     """
     pairs = distinct_pairs(df, keys, value)
-    few = latest(pairs, keys, [F.col(value).asc()], inline, "_rank")
-    joined = ordered_join(few, keys, value, "_rank", name, sep)
+    shown = pairs if inline is None else latest(pairs, keys, [F.col(value).asc()], inline)
+    joined = sorted_join(shown, keys, value, name, sep)
     if count_name is None:
         return joined
     return pairs.groupBy(*keys).agg(F.count("*").alias(count_name)).join(joined, keys)
 
 
+def sorted_join(df: DataFrame, keys: list[str], value: str, name: str, sep: str = ", ") -> DataFrame:
+    """All values per key as one sorted text, one value at most for each row of the key."""
+    values = F.array_sort(F.collect_list(F.col(value).cast("string")))
+    return df.groupBy(*keys).agg(F.array_join(values, sep).alias(name))
+
+
 def distinct_pairs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.operators import router, suppliers
 from lodestone.plans.derive import cte
 from lodestone.plans.queries import AS_OF, COUNTED
 from lodestone.sources.schemas import RAW_COLUMNS, RULES
@@ -20,9 +21,9 @@ FROM {source} GROUP BY 1, 2, 3"""
 
 SQL["service_rollup"] = _rollup("lineitem", "l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice", True)
 SQL["snapshot_rollup"] = cte("service_logs") + _rollup(
-    "service_logs, generate_series(1, 10)", "service_type", "dispatch_date", "hours_spent", "labor_cost", False
+    "service_logs, generate_series(1, 100)", "service_type", "dispatch_date", "hours_spent", "labor_cost", False
 )
-SQL["snapshot_verify"] = cte("service_logs") + """, s AS (SELECT count(*) * 10 AS n, CAST(sum(labor_cost) * 10 AS DOUBLE) AS c
+SQL["snapshot_verify"] = cte("service_logs") + """, s AS (SELECT count(*) * 100 AS n, CAST(sum(labor_cost) * 100 AS DOUBLE) AS c
     FROM service_logs)
 SELECT n AS original_rows, n AS copy_rows, c AS original_total_labor, c AS copy_total_labor, true AS matches FROM s"""
 
@@ -231,10 +232,10 @@ SQL["cleaning_summary"] = _cleansed(*_RAW) + " " + " UNION ALL ".join(
     f"""SELECT '{t}' AS table_name, count(*) AS input_rows, count(*) FILTER (rejection_reason IS NULL) AS clean_rows,
     count(rejection_reason) AS rejected_rows FROM {t}_final""" for t in _RAW
 )
-SQL["rejection_reasons"] = _cleansed("customers", "equipment", "parts") + " " + " UNION ALL ".join(
+SQL["rejection_reasons"] = _cleansed(*_RAW) + " " + " UNION ALL ".join(
     f"""SELECT '{t}' AS table_name, split_part(rejection_reason, ': ', 1)
     || CASE WHEN rejection_reason LIKE 'missing required%' THEN '' ELSE '' END AS reason, count(*) AS rejected_rows
-    FROM {t}_final WHERE rejection_reason IS NOT NULL GROUP BY 1, 2""" for t in ("customers", "equipment", "parts")
+    FROM {t}_final WHERE rejection_reason IS NOT NULL GROUP BY 1, 2""" for t in _RAW
 )
 SQL["reconcile"] = _cleansed(*_RAW) + " " + " UNION ALL ".join(
     f"""SELECT '{t}' AS table_name, count(*) AS bronze_rows, count(*) FILTER (rejection_reason IS NULL) AS silver_rows,
@@ -331,8 +332,7 @@ _PARTS_OF = """(SELECT {k} fault_code, component_a AS component FROM faults WHER
     UNION SELECT {k} fault_code, component_b FROM faults WHERE component_b IS NOT NULL)"""
 SQL["fault_summary"] = _TEL + f""",
 u AS (SELECT fault_code, string_agg(equipment_id, ', ' ORDER BY equipment_id) AS units FROM (
-    SELECT DISTINCT fault_code, equipment_id FROM faults
-    QUALIFY dense_rank() OVER (PARTITION BY fault_code ORDER BY equipment_id) <= 200) GROUP BY 1),
+    SELECT DISTINCT fault_code, equipment_id FROM faults) GROUP BY 1),
 i AS (SELECT fault_code, string_agg(log_id, ', ' ORDER BY ts DESC, log_id DESC) AS latest_ids FROM (
     SELECT * FROM faults QUALIFY row_number() OVER (PARTITION BY fault_code ORDER BY ts DESC, log_id DESC) <= 3)
     GROUP BY 1),
@@ -395,7 +395,7 @@ FROM (SELECT *, CASE soc_percent WHEN 7 THEN 'missing log_id' WHEN 8 THEN 'bad t
 _SUPPLIERS = cte("parts_inventory") + """, by_part AS (SELECT trim(part_name) AS part,
     count(DISTINCT supplier) AS n_suppliers, string_agg(DISTINCT supplier, ', ' ORDER BY supplier) AS suppliers,
     string_agg(DISTINCT manufacturer, ', ' ORDER BY manufacturer) AS makers,
-    array_to_string(list_sort(list(part_id))[1:200], ', ') AS part_ids, count(*) AS n_parts,
+    array_to_string(list_sort(list(part_id)), ', ') AS part_ids, count(*) AS n_parts,
     CAST(sum(stock_quantity) AS BIGINT) AS stock FROM parts_inventory GROUP BY 1)"""
 SQL["supplier_risk"] = _SUPPLIERS + " SELECT * FROM by_part"
 SQL["supplier_risk_words"] = _SUPPLIERS + """ SELECT * FROM by_part WHERE part ILIKE '%cell%' OR part ILIKE '%fus%'
@@ -545,20 +545,8 @@ SQL["embedding_manifest"] = """SELECT 'given' AS model, 'L2 normalized' AS norma
 
 # ---- questions
 
-_KINDS = {
-    "serial": "\\bSN-[A-Z0-9]+(?:-[A-Z0-9]+)*\\b", "equipment": "\\bEQ-\\d{3,6}\\b", "model": "\\b[XCG]-?\\d{4,5}\\b",
-    "fault": "\\bERR_[A-Z]+_\\d{3}\\b", "dispatch": "\\bDISP-\\d+\\b", "claim": "\\bCLM-\\d+\\b", "part": "\\bPRT-\\d+\\b",
-}
-_INTENTS = {
-    "failure_modes": "failure mode|common failure|cause|root cause|why",
-    "hot": "high-temperature|high temperature|heat|hot|thermal|overheat|temperature",
-    "procedure": "steps|procedure|how do|how should|how to|sop|protocol|checklist",
-    "service": "service|history|dispatch|repair|maintenance|technician|visit|fix",
-    "supply": "supplier|supply|vendor|sourcing|single-source|single source|manufacturer|procure",
-    "telemetry": "fault|error|alarm|telemetry|sensor|temperature|thermal|overheat|voltage|trip|critical|bms|failure|"
-                 "failing|failed|raising|reading",
-    "warranty": "warranty|claim",
-}
+_KINDS = router.PATTERNS
+_INTENTS = {name: "|".join(words) for name, words in sorted(router.INTENT_WORDS.items())}
 
 
 def _found(kind: str) -> str:
@@ -595,14 +583,10 @@ SQL["route_questions"] = _QUESTIONS + f""" SELECT question_id, array_to_string(i
     {', '.join(f"array_to_string({k}, ',') AS {k}" for k in _KINDS)}, array_to_string(sources, ',') AS sources,
     'intents=' || {_shown("CASE WHEN len(intents) = 0 THEN ['general'] ELSE intents END")} || '; entities: '
         || CASE WHEN {_ENTITY_TEXT} = '' THEN 'none' ELSE {_ENTITY_TEXT} END || '; sources=' || {_shown('sources')} AS route,
-    concat_ws(' / ', CASE WHEN docs_only THEN
-        'Procedure question with no unit/model/fault ID -> documentation only (skip SQL + telemetry)' END,
-        CASE WHEN use_sql THEN
-        'SQL: entity IDs / model / service, warranty or supplier intent -> ERP metadata filters' END,
-        CASE WHEN use_document THEN
-        'Document: unit serial / fault code / failure intent -> telemetry documents' END,
-        'Vector: always ground the answer in manuals, SOPs and incident reports'
-        || CASE WHEN len(fault) > 0 THEN ' (+ exact-match filter on ' || {_shown('fault')} || ')' ELSE '' END) AS reasons
+    concat_ws(' / ', CASE WHEN docs_only THEN '{router.REASON_DOCS_ONLY}' END,
+        CASE WHEN use_sql THEN '{router.REASON_SQL}' END, CASE WHEN use_document THEN '{router.REASON_DOCUMENT}' END,
+        '{router.REASON_VECTOR}'
+        || CASE WHEN len(fault) > 0 THEN ', and those of the named codes first: ' || {_shown('fault')} ELSE '' END) AS reasons
 FROM routed"""
 SQL["route_conversations"] = f"""WITH talk AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
 {_routed('talk')} SELECT conv_id, turn, array_to_string(intents, ',') AS intents,
@@ -661,10 +645,7 @@ UNION ALL SELECT question_id, examples, 'warranty_claims', 'aggregate',
     format('{{}} warranty claims with status {{}}: {{}} claims, ${{:,.2f}} approved (e.g. {{}}).', model, status, n,
         coalesce(approved, 0)::DOUBLE, examples)
 FROM asked JOIN claims USING (model) WHERE list_contains(intents, 'warranty')"""
-_WORDS = {
-    "lithium": "lithium", "cell": "cell", "battery": "cell", "inverter": "inverter", "fuse": "fus", "breaker": "breaker",
-    "sensor": "sensor", "cool": "cool", "contactor": "contactor", "cable": "cable", "transformer": "transformer",
-}
+_WORDS = {word: fragment.lower() for word, fragment in suppliers.COMPONENT_WORDS.items()}
 _ASKED_WORDS = "list_filter([" + ", ".join(
     f"CASE WHEN contains(lower(question), '{w}') THEN '{f}' END" for w, f in _WORDS.items()
 ) + "], lambda x: x IS NOT NULL)"
@@ -686,18 +667,15 @@ def _summaries(name: str, source: str, key: str, limit: int) -> str:
     return f"""{name}_ids AS (SELECT {key}, fault_code, string_agg(log_id, ', ' ORDER BY ts DESC, log_id DESC) AS ids,
         arg_max(notes, struct_pack(a := ts, b := log_id)) AS note FROM (SELECT * FROM {source}
         QUALIFY row_number() OVER (PARTITION BY {key}, fault_code ORDER BY ts DESC, log_id DESC) <= 3) GROUP BY 1, 2),
-{name}_units AS (SELECT {key}, fault_code, string_agg(equipment_id, ', ' ORDER BY equipment_id) AS units, max(total) AS total
-    FROM (SELECT *, row_number() OVER (PARTITION BY {key}, fault_code ORDER BY equipment_id) AS rn,
-        count(*) OVER (PARTITION BY {key}, fault_code) AS total
-        FROM (SELECT DISTINCT {key}, fault_code, equipment_id FROM {source})) WHERE rn <= 200 GROUP BY 1, 2),
+{name}_units AS (SELECT {key}, fault_code, string_agg(equipment_id, ', ' ORDER BY equipment_id) AS units
+    FROM (SELECT DISTINCT {key}, fault_code, equipment_id FROM {source}) GROUP BY 1, 2),
 {name}_parts AS (SELECT {key}, fault_code, string_agg(DISTINCT component, ', ' ORDER BY component) AS parts FROM (
     SELECT {key}, fault_code, unnest([component_a, component_b]) AS component FROM {source}) WHERE component IS NOT NULL
     GROUP BY 1, 2),
 {name} AS (SELECT {key}, fault_code, count(*) AS events, any_value(ids) AS ids,
     strftime(min(ts), '%Y-%m-%d') || '..' || strftime(max(ts), '%Y-%m-%d') AS span,
-    format('fault {{}} logged {{}} times on units {{}}{{}}; temperature avg {{}} C / max {{}} C; components flagged: {{}}; '
+    format('fault {{}} logged {{}} times on units {{}}; temperature avg {{}} C / max {{}} C; components flagged: {{}}; '
         || 'latest note: {{}} (e.g. {{}})', fault_code, count(*), any_value(units),
-        CASE WHEN any_value(total) > 200 THEN ' and ' || (any_value(total) - 200) || ' more' ELSE '' END,
         CAST(CAST(avg(temperature_c) AS DECIMAL(18,9)) AS DECIMAL(18,1))::VARCHAR, max(temperature_c)::VARCHAR,
         coalesce(any_value(parts), 'none'), any_value(note), any_value(ids)) AS body
     FROM {source} JOIN {name}_ids USING ({key}, fault_code) JOIN {name}_units USING ({key}, fault_code)

@@ -22,6 +22,8 @@ QUERIES: dict[str, Query] = {}
 
 # Fixed reference day of warranty checks.
 AS_OF = "2000-06-30"
+# Fixed value: copies of the service log in the analytics snapshot.
+SNAPSHOT_COPIES = 100
 # Base tables of the row-count report.
 COUNTED = ["customer", "orders", "lineitem", "part", "supplier", "events", "documents"]
 
@@ -61,7 +63,7 @@ def service_rollup(spark, sf_dir):
 
 @register
 def snapshot_rollup(spark, sf_dir):
-    copies = marts.snapshot(frame(spark, sf_dir, "service_logs"), 10)
+    copies = marts.snapshot(frame(spark, sf_dir, "service_logs"), SNAPSHOT_COPIES)
     out = marts.service_rollup(copies)
     return out.select(
         "service_type", _long("service_year"), _long("service_month"), "dispatch_count", _double("total_hours"),
@@ -72,7 +74,8 @@ def snapshot_rollup(spark, sf_dir):
 @register
 def snapshot_verify(spark, sf_dir):
     logs = frame(spark, sf_dir, "service_logs")
-    out = marts.verify_copy(marts.snapshot(logs, 10), marts.snapshot(logs, 10))
+    original = marts.snapshot(logs, SNAPSHOT_COPIES)
+    out = marts.verify_copy(original, materialize(original, "snapshot"))
     return out.select(
         "original_rows", "copy_rows", _double("original_total_labor"), _double("copy_total_labor"), "matches"
     )
@@ -243,9 +246,9 @@ def cleaning_summary(spark, sf_dir):
 
 @register
 def rejection_reasons(spark, sf_dir):
-    result = _cleansed(spark, sf_dir, "customers", "equipment", "parts")
+    result = _cleansed(spark, sf_dir)
     out = None
-    for name in ("customers", "equipment", "parts"):
+    for name in result.marked:
         part = quality.reasons(result.marked[name]).select(F.lit(name).alias("table_name"), "*")
         out = part if out is None else out.unionByName(part)
     return out
