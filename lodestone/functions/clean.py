@@ -113,11 +113,27 @@ def _bare_number(col: Column) -> Column:
     return F.regexp_replace(col, "[$,]", "")
 
 
+def _shift_point(col: Column) -> Column:
+    """A number with an exponent, written without it: the point moves in the text, so no digit is lost."""
+    # As a function over an array of one value, the steps stay out of the generated code of the many plain numbers.
+    return F.get(F.transform(F.array(col), _without_exponent), F.lit(0))
+
+
+def _without_exponent(value: Column) -> Column:
+    parts = r"^([+-]?)(\d*)\.?(\d*)[eE]([+-]?\d+)$"
+    sign, whole, rest, power = (F.regexp_extract(value, parts, i) for i in range(1, 5))
+    power = F.coalesce(power.try_cast("int"), F.lit(0))
+    left = F.lpad(whole, F.greatest(F.length(whole), -power), "0")
+    digits = F.concat(left, F.rpad(rest, F.greatest(F.length(rest), power), "0"))
+    point = F.length(left) + power
+    return F.concat(sign, F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits)))
+
+
 def number(col: Column) -> Column:
     """Plain decimal notation without ``$``, ``,`` and idle zeros; NULL when it is not a number."""
     bare = F.trim(F.regexp_replace(col, "[$,_]", ""))
     power = bare.rlike("[eE]")
-    digits = F.when(power, bare.try_cast("decimal(38,12)").cast("string")).otherwise(bare)
+    digits = F.when(power, _shift_point(bare)).otherwise(bare)
     split = F.regexp_replace(digits, r"^\+?(-?)0*(\d*?)(?:\.(\d*?)0*)?$", "$1$2.$3")
     short = F.regexp_replace(F.regexp_replace(split, r"\.$", ""), r"^(-?)(?=\.|$)", "$10")
     return F.when(bare.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d{1,3})?$"), short)

@@ -27,5 +27,6 @@ def read_csv(spark: SparkSession, path: str | list[str], table: str, multiline:
 
 
 def with_source_row(df: DataFrame) -> DataFrame:
-    """Number the logical records of each file from 2, the header being row 1."""
-    return number_rows(df, "source_row", start=2).drop("_file")
+    """Number the logical records from 2, the header being row 1. Later files go on counting, in the order of their
+    paths, so a number names one record of the table."""
+    return number_rows(df, "source_row", start=2, per_file=False).drop("_file")

@@ -74,3 +74,12 @@ def test_any_contains(spark):
 @pytest.mark.parametrize("value", ["a b", "tidy", "x"])
 def test_tidy_values_stay(spark, value):
     assert apply(spark, clean.squeeze, [value]) == [value]
+
+
+def test_exponents_keep_every_digit(spark):
+    cases = {
+        "1e-13": "0.0000000000001", "1e30": "1" + "0" * 30, "-2.50e1": "-25", "1.2345e2": "123.45", ".5e1": "5", "5.e-1": "0.5",
+        "+12e0": "12", "123456789012345678901234567890e2": "12345678901234567890123456789000", "1e": None, "e5": None,
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "v string").select("v", clean.number(F.col("v")).alias("n"))
+    assert {r.v: r.n for r in frame.collect()} == cases
