@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
@@ -87,21 +87,21 @@ def train(
     docs: DataFrame, training: Column, id: str = "doc_id", text: str = "text", lang: str = "lang",
     per_language: int = 400, landmarks: int = 16, ridge: float = 0.1,
 ) -> Model | None:
-    """A model from at most ``per_language`` labelled rows of each language for which ``training`` holds, whole texts,
-    chosen by a hash of the id; None without any. ``landmarks`` of them for each language are landmarks.
+    """A model from about ``per_language`` labelled rows of each language for which ``training`` holds, whole texts,
+    chosen by a hash of the id; None without any. The first ``landmarks`` of each language are landmarks.
 
     Rows with a null or empty text or label are left out. The sample's bound is the only one; predictions cover all rows.
     """
     slim = docs.where(training).select(F.col(lang).alias("lang"), F.xxhash64(F.col(id)).alias("h"), F.col(text).alias("text"))
     slim = slim.where("lang is not null and length(text) > 0")
-    # The limit of the rank is applied in each task, before the shuffle.
-    ranked = slim.select("lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    ends = ranked.where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    if not ends:
+    # Counts say which share of a language to take, so that no task sees all rows of one.
+    counts = slim.groupBy("lang").count().collect()
+    if not counts:
         return None
     inside = F.lit(False)
-    for row in ends:
-        inside = inside | ((F.col("lang") == row["lang"]) & (F.col("h") <= row["h"]))
+    for row in counts:
+        share = min(1.0, per_language / row["count"])
+        inside = inside | ((F.col("lang") == row["lang"]) & (F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))))
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,6 +110,8 @@ def train(
 
     sample = slim.where(inside).mapInPandas(marked, "lang string, h long, grams binary")
     found = sample.groupBy("lang", "h").agg(F.min("grams").alias("grams")).toPandas().sort_values(["lang", "h"])
+    if found.empty:
+        return None
     present = np.unpackbits(np.stack([np.frombuffer(g, np.uint8) for g in found["grams"]]), axis=1, count=WIDTH).astype(bool)
     return fit(found["lang"].to_numpy(str), present, landmarks, ridge)
 
