@@ -46,30 +46,38 @@ def turns(
     """
     slim = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), _plain(F.col(text)).alias("text"))
     order = ["conv", "turn", "role", "text"]
-    ranged = slim.repartitionByRange(shuffle_partitions(messages.sparkSession), *order).withColumn("range", F.spark_partition_id())
-    ranged = materialize(ranged, "turns")  # written, so that ranges stay what they are
+    ranged = slim.repartitionByRange(shuffle_partitions(messages.sparkSession), *order).sortWithinPartitions(*order)
+    # Written, so that ranges and numbers stay what they are. Numbers grow in the order of the dialogue.
+    ranged = materialize(ranged.select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("number")), "turns")
     people = ranged.where(F.col("role").isNotNull() & ~F.col("role").isin(*system)).select(F.col("conv").alias("of"), F.col("role").alias("participant")).distinct()
-    each = ranged.join(people, F.col("conv").eqNullSafe(F.col("of"))).drop("of")
-    each = each.withColumn("head", header(F.col("role"), F.col("participant"), system))
-    each = each.withColumn("piece", F.concat("head", "text", F.lit(END))).withColumn("size", F.length("piece").cast("long"))
+
+    # Offsets are worked out without the texts.
+    each = ranged.select("range", "number", "conv", "role", F.length("text").cast("long").alias("chars"))
+    each = each.join(people, F.col("conv").eqNullSafe(F.col("of"))).drop("of")
+    each = each.withColumn("head", F.length(header(F.col("role"), F.col("participant"), system)).cast("long"))
+    each = each.withColumn("size", F.col("head") + F.col("chars") + len(END)).drop("chars")
     sums = each.groupBy("range", "conv", "participant").agg(F.sum("size").alias("sum"), F.count("*").alias("count"))
     earlier = Window.partitionBy("conv", "participant").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
         F.col("range").alias("r"), F.col("conv").alias("c"), F.col("participant").alias("p"),
         F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("chars_before"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("turns_before"),
     )
-    inside = Window.partitionBy("range", "conv", "participant").orderBy("turn", "role", "text")
+    inside = Window.partitionBy("range", "conv", "participant").orderBy("number")
     placed = each.withColumn("row", F.row_number().over(inside)).withColumn(
         "chars", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     placed = placed.join(sums, (F.col("range") == F.col("r")) & F.col("conv").eqNullSafe(F.col("c")) & (F.col("participant") == F.col("p")))
     start = F.col("chars_before") + F.col("chars")
     own = F.col("role") == F.col("participant")
-    return placed.select(
-        F.col("conv").alias(conv), "participant", (F.col("turns_before") + F.col("row") - 1).alias("n"), "piece", start.alias("start"),
-        F.when(own, start + F.length("head")).alias("mask_start"),
+    placed = placed.select(
+        "number", "participant", (F.col("turns_before") + F.col("row") - 1).alias("n"), start.alias("start"),
+        F.when(own, start + F.col("head")).alias("mask_start"),
         F.when(own, start + F.col("size") - 1).alias("mask_end"),  # the line break after the end mark is not learned
     )
+    piece = F.concat(header(F.col("role"), F.col("participant"), system), "text", F.lit(END))
+    return ranged.join(placed, "number").select(
+        F.col("conv").alias(conv), "participant", "n", piece.alias("piece"), "start", "mask_start", "mask_end"
+    )
 
 
 def dialogues(rendered: DataFrame, conv: str = "conv_id", part_chars: int = PART_CHARS) -> DataFrame:
