@@ -15,8 +15,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Similarity; for unit vectors this is the dot product and distance is ``1 - cosine``."""
-    return dot(a, b) / (norm(a) * norm(b))
+    """Similarity, 0 with an all-zero vector; for unit vectors it is the dot product and distance is ``1 - cosine``."""
+    lengths = norm(a) * norm(b)
+    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.when(lengths.isNotNull(), F.lit(0.0)))
 
 
 def l2_normalize(a: Column) -> Column:

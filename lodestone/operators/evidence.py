@@ -527,7 +527,7 @@ def verify(evidence: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Look the records of evidence rows up again: records named, records found, and the verdict.
 
     Rows that report an absence are verified by finding nothing. Aggregates over a model are checked
-    by the model's units.
+    by the model's units. Rows of a table that is not given are reported as not verified.
     """
     keys = {
         "equipment_units": "equipment_id", "service_logs": "dispatch_id", "warranty_claims": "claim_id",
@@ -562,10 +562,12 @@ def verify(evidence: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     for mine, source in lookups:
         asked = broadcast_if_small(mine.select("_id").distinct())
         present = source.join(asked, "_id", "left_semi").distinct().withColumn("_hit", F.lit(1))
-        checked.append(mine.join(present, "_id", "left"))
+        checked.append(mine.join(present, "_id", "left").withColumn("_known", F.lit(True)))
+    unknown = wanted.filter(~F.col("_table").isin([name for name in keys if name in tables]))
+    checked.append(unknown.select("*", F.lit(None).cast("int").alias("_hit"), F.lit(False).alias("_known")))
     rows = union(*checked).groupBy("question_id", "tag", "_absence", "_aggregate").agg(
-        F.count("*").alias("records"), F.count("_hit").alias("found")
+        F.count("*").alias("records"), F.count("_hit").alias("found"), F.bool_and("_known").alias("_known")
     )
     fleet_empty = F.col("_aggregate") & (F.col("found") == 0)
     verdict = F.when(F.col("_absence"), F.col("found") == 0).otherwise(F.col("found") == F.col("records"))
-    return rows.select("question_id", "tag", "records", "found", (verdict | fleet_empty).alias("verified"))
+    return rows.select("question_id", "tag", "records", "found", (F.col("_known") & (verdict | fleet_empty)).alias("verified"))

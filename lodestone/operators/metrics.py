@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from lodestone.session import materialize
 
 # Timed stages and the response-time target in milliseconds.
 STAGES = [
@@ -16,21 +18,43 @@ def percentiles(
     df: DataFrame, value: str, by: list[str] | None = None, probabilities: dict[str, float] = PROBABILITIES,
     approximate: bool = False,
 ) -> DataFrame:
-    """Exact percentiles with linear interpolation.
+    """Exact percentiles with linear interpolation; NULL for a group without values.
 
-    Equal values are counted before the final step, so its input is the distinct values of a group:
-    timings kept to a tenth of a millisecond have some ten thousand per second of range. For values
-    without such a bound ``approximate`` uses a sketch of fixed size.
+    Equal values are counted, the counts are sorted by range, and each range learns how many values of the
+    group lie before it. So the wanted ranks are picked where they are, and no task holds a group.
+    ``approximate`` uses a sketch of fixed size instead.
     """
     by = by or []
-    wanted = list(probabilities.values())
     if approximate:
-        points = F.approx_percentile(value, wanted, 10_000)
+        points = F.approx_percentile(value, list(probabilities.values()), 10_000)
         grouped = df.groupBy(*by).agg(points.alias("_p"))
-    else:
-        counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-        grouped = counted.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(p) for p in wanted]), F.col("_n")).alias("_p"))
-    return grouped.select(*by, *[F.col("_p")[i].alias(n) for i, n in enumerate(probabilities)])
+        return grouped.select(*by, *[F.col("_p")[i].alias(n) for i, n in enumerate(probabilities)])
+    counted = df.groupBy(*by, F.col(value).cast("double").alias("_value")).agg(F.count(value).alias("_n"))
+    ranged = counted.repartitionByRange(*by, "_value").select("*", F.spark_partition_id().alias("_range"))
+    ranged = materialize(ranged, "ranges")
+    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum")).select(
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_at"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"), F.sum("_sum").over(whole).alias("_total"),
+    )
+    same = F.col("_range") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    up_to = Window.partitionBy("_range", *by).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("_end", F.sum("_n").over(up_to)).join(sums, same)
+    end = F.col("_earlier") + F.col("_end")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < end) & (rank >= end - F.col("_n")), F.col("_value")))
+
+    cells = []
+    for name, p in probabilities.items():
+        rank = (F.col("_total") - 1) * F.lit(p)
+        cells += [at(F.floor(rank)).alias(f"_low_{name}"), at(F.ceil(rank)).alias(f"_high_{name}"), F.max(rank - F.floor(rank)).alias(f"_part_{name}")]
+    found = placed.groupBy(*by).agg(*cells)
+    mixed = [(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")).alias(n) for n in probabilities]
+    return found.select(*by, *mixed)
 
 
 def long_stages(runs: DataFrame, stages: list[str] = STAGES) -> DataFrame:
@@ -56,7 +80,8 @@ def stage_report(runs: DataFrame, stages: list[str] = STAGES, total: str = "tota
     report = names.join(totals, "stage", "left").join(percentiles(timed, "ms", ["stage"]), "stage", "left")
     mean_total = runs.agg(F.avg(total)).first()[0]
     numbers = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "p50", "p95", "p99", "max")]
-    share = F.round(F.coalesce("mean", F.lit(0.0)) / F.lit(mean_total) * 100, 0)
+    # From six places, so that the order of summation does not decide a tie.
+    share = F.round(F.round(F.coalesce("mean", F.lit(0.0)) / F.lit(mean_total) * 100, 6), 0)
     return report.select("stage", *numbers, share.alias("share_of_total"))
 
 
@@ -89,7 +114,3 @@ def citation_coverage(runs: DataFrame) -> DataFrame:
         F.sum("statements_n").alias("statements"),
         F.sum("unknown_tags").alias("unknown_tags"),
     )
-
-
-def ratio(part: Column, whole: Column) -> Column:
-    return F.try_divide(part, whole)

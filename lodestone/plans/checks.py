@@ -788,7 +788,7 @@ _STAGES = ["sql_ms", "document_ms", "vector_ms", "retrieval_ms", "generation_ms"
 SQL["stage_report"] = _RUNS + ", ok_runs AS (SELECT * FROM runs WHERE ok) " + " UNION ALL ".join(
     f"""SELECT '{s}' AS stage, round(avg({s}), 6) AS mean, round(quantile_cont({s}, 0.5), 6) AS p50,
     round(quantile_cont({s}, 0.95), 6) AS p95, round(quantile_cont({s}, 0.99), 6) AS p99, round(max({s}), 6) AS max,
-    round(avg({s}) / (SELECT avg(total_ms) FROM ok_runs) * 100, 0) AS share_of_total FROM ok_runs WHERE {s} > 0"""
+    round(round(avg({s}) / (SELECT avg(total_ms) FROM ok_runs) * 100, 6), 0) AS share_of_total FROM ok_runs WHERE {s} > 0"""
     for s in _STAGES
 ) + "".join(
     f" UNION ALL SELECT '{s}', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE"

@@ -158,3 +158,23 @@ def test_collection(spark, space):
     once = vectors.embed(chunks, vectors.HashedTerms(8))
     assert vectors.upsert_collection(once, once.filter("chunk_id < 10")).count() == 300
     assert vectors.upsert_collection(once, once.filter("chunk_id < 10"), rebuild=True).count() == 10
+
+
+def test_percentiles_without_a_task_per_group(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import metrics
+
+    rng = np.random.default_rng(8)
+    values = {"a": rng.normal(size=997), "b": rng.integers(0, 5, 400).astype(float), "one": np.array([3.0]), None: rng.random(50)}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("none", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    found = {r.k: (r.p50, r.p95, r.p99) for r in metrics.percentiles(frame, "v", ["k"]).collect()}
+    assert found.pop("none") == (None, None, None) and set(found) == set(values)
+    for k, vs in values.items():
+        assert np.allclose(found[k], np.quantile(vs, [0.5, 0.95, 0.99]), rtol=1e-12)
+    whole = metrics.percentiles(frame, "v").first()
+    assert np.allclose(tuple(whole), np.quantile(np.concatenate(list(values.values())), [0.5, 0.95, 0.99]))
+    plan = metrics.percentiles(frame, "v", ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
