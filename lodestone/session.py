@@ -42,9 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+# Folders written by this process and not yet removed.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables written so far; frames that read them must not be used afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: stable under executor loss."""
+    """Write ``df`` once to the shared folder and read it back: stable under executor loss.
+
+    The folder stays until :func:`release`, since frames derived from it are lazy.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from lodestone.session import get_session
+    from lodestone.session import get_session, release
 
     session = get_session(
         "tests", "local[4]",
@@ -16,4 +16,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
