@@ -8,7 +8,6 @@ it from the rest. Batches of documents are scored by two matrix products: presen
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 # Hashed positions for n-grams of one, two and three characters.
 SIZES = (1 << 10, 1 << 12, 1 << 14)
@@ -127,7 +125,7 @@ def predict(docs: DataFrame, model: Model | None, id: str = "doc_id", text: str
                 part = batch.iloc[at : at + BATCH]
                 texts = part["text"].tolist()
                 names, scores = np.full(len(part), UNDETERMINED, object), np.zeros(len(part))
-                known = np.array([bool(model and t and LETTER.search(t)) for t in texts])
+                known = np.array([bool(model and t and any(map(str.isalpha, t))) for t in texts])
                 if known.any():
                     best, share = model.predict(presence([t for t, k in zip(texts, known) if k]), marks)
                     names[known], scores[known] = np.array(model.languages, object)[best], share

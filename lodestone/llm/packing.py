@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -42,14 +43,16 @@ class Encoder(dict):
     """Ids of a text as little-endian 32-bit bytes. Remembers the ids of up to ``room`` words.
 
     ``path`` is a file of ranks, which hold the vocabulary of the ``tokenizers`` file of the same name; a test compares
-    the ids. Texts with characters from U+0250 on go through the general pattern.
+    the ids. Texts with characters from U+0250 on go through the general pattern. Texts are cut into words here, as the
+    matcher of ``tiktoken`` fails on runs of a million blanks; it sees one word at a time and takes it whole.
     """
 
     def __init__(self, path: str, room: int = 300_000):
         super().__init__()
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, open(path, "rb"))}
-        self.bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words, self.wide, self.room = re.compile(NARROW).findall, re.compile("[^\x00-\u024f]").search, room
+        self.bpe = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.words, self.all_words = re.compile(NARROW).findall, regex.compile(public_tokenizers.PATTERN).findall
+        self.wide, self.room = re.compile("[^\x00-\u024f]").search, room
 
     def __missing__(self, word: str) -> bytes:
         found = np.array(self.bpe.encode_ordinary(word), "<u4").tobytes()
@@ -57,11 +60,10 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
-        if self.wide(text):
-            return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
         if len(self) > self.room:
             self.clear()
-        return b"".join(map(self.__getitem__, self.words(text)))
+        words = self.all_words if self.wide(text) else self.words
+        return b"".join(map(self.__getitem__, words(text)))
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:

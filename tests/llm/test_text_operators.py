@@ -230,7 +230,8 @@ def test_encoder_matches_tokenizer():
     for n in range(400):
         text = "".join(rng.choice(narrow if n % 2 else [" ", "\n", "a", "É", "'s", "'LL", "1", "²", "\xa0", "\x85", "_", ".", "\x1c", "  "], 30))
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
-    for text in ("日本語 text", "a\u2003b", "<|endoftext|>", "naïve ﬁ \U0001f600!"):
+    blanks = " " * 2_000_000
+    for text in ("日本語 text", "a\u2003b", "<|endoftext|>", "naïve ﬁ \U0001f600!", "語\x1f\x85 \u3000 '語", blanks + "a", blanks + "語"):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
