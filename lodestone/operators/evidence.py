@@ -91,6 +91,35 @@ def find_units(equipment: DataFrame, ids: DataFrame) -> DataFrame:
     return by_id.unionByName(by_serial).dropDuplicates(["question_id", "equipment_id"])
 
 
+def _service_rows(services: DataFrame, ord_: list[Column]) -> DataFrame:
+    return _row(
+        services, ord_, "sql", "service_logs", F.col("dispatch_id"), F.col("dispatch_date"),
+        _text(
+            "Service {dispatch_id} on {dispatch_date} for {equipment_id}: {service_type} by {technician}, "
+            "{hours_spent} h, ${labor_cost} labor, status {status}. Resolution: {resolution_summary}"
+        ),
+        F.concat(F.lit("dispatch_id = "), _quote(F.col("dispatch_id"))),
+    )
+
+
+def _claim_rows(claims: DataFrame, tables: dict[str, DataFrame], ord_: list[Column]) -> DataFrame:
+    parts = tables["parts_inventory"].select("part_id", "part_name")
+    claims = claims.join(parts, "part_id", "left")
+    denial = F.when(
+        F.coalesce(F.col("denial_reason"), F.lit("")) != "", F.concat(F.lit(", denial reason: "), "denial_reason")
+    ).otherwise("")
+    return _row(
+        claims, ord_, "sql", "warranty_claims", F.col("claim_id"), F.col("claim_date"),
+        _text(
+            "Warranty claim {claim_id} on {claim_date} for {equipment_id}: part {part} ({name}), dispatch "
+            "{dispatch}, claimed ${claim_amount}, approved ${approved_amount}, status {status}{denial}.",
+            part=_or("part_id", "n/a"), name=_or("part_name", "n/a"), dispatch=_or("dispatch_id", "n/a"),
+            denial=denial,
+        ),
+        F.concat(F.lit("claim_id = "), _quote(F.col("claim_id"))),
+    )
+
+
 def units(questions: DataFrame, tables: dict[str, DataFrame], as_of: Column) -> DataFrame:
     """Units asked for by id, with their latest services and claims; or one row saying none exists."""
     asked = _asks(questions, "sql").withColumn("ids", F.concat("entities.equipment", "entities.serial"))
@@ -118,32 +147,9 @@ def units(questions: DataFrame, tables: dict[str, DataFrame], as_of: Column) ->
         return latest(own, ["question_id", "equipment_id"], order, 5, "_rank")
 
     services = newest(tables["service_logs"], "dispatch_date", "dispatch_id")
-    service_rows = _row(
-        services, [F.lit(0), F.col("equipment_id"), F.lit(1), _pos(F.col("_rank"))], "sql", "service_logs",
-        F.col("dispatch_id"), F.col("dispatch_date"),
-        _text(
-            "Service {dispatch_id} on {dispatch_date} for {equipment_id}: {service_type} by {technician}, "
-            "{hours_spent} h, ${labor_cost} labor, status {status}. Resolution: {resolution_summary}"
-        ),
-        F.concat(F.lit("dispatch_id = "), _quote(F.col("dispatch_id"))),
-    )
+    service_rows = _service_rows(services, [F.lit(0), F.col("equipment_id"), F.lit(1), _pos(F.col("_rank"))])
     claims = newest(tables["warranty_claims"], "claim_date", "claim_id")
-    parts = tables["parts_inventory"].select("part_id", "part_name")
-    claims = claims.join(parts, "part_id", "left")
-    denial = F.when(
-        F.coalesce(F.col("denial_reason"), F.lit("")) != "", F.concat(F.lit(", denial reason: "), "denial_reason")
-    ).otherwise("")
-    claim_rows = _row(
-        claims, [F.lit(0), F.col("equipment_id"), F.lit(2), _pos(F.col("_rank"))], "sql", "warranty_claims",
-        F.col("claim_id"), F.col("claim_date"),
-        _text(
-            "Warranty claim {claim_id} on {claim_date} for {equipment_id}: part {part} ({name}), dispatch "
-            "{dispatch}, claimed ${claim_amount}, approved ${approved_amount}, status {status}{denial}.",
-            part=_or("part_id", "n/a"), name=_or("part_name", "n/a"), dispatch=_or("dispatch_id", "n/a"),
-            denial=denial,
-        ),
-        F.concat(F.lit("claim_id = "), _quote(F.col("claim_id"))),
-    )
+    claim_rows = _claim_rows(claims, tables, [F.lit(0), F.col("equipment_id"), F.lit(2), _pos(F.col("_rank"))])
     # Absence is per question: none of its ids matched.
     absent = asked.join(found.select("question_id").distinct(), "question_id", "left_anti")
     listed = F.array_join(F.transform("ids", _quote), ", ")
@@ -160,6 +166,35 @@ def units(questions: DataFrame, tables: dict[str, DataFrame], as_of: Column) ->
     return union(unit_rows, service_rows, claim_rows, absent_rows)
 
 
+def records(questions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Dispatches, claims and parts that a question names by id, one row for each id, also if it is unknown."""
+    asked = _asks(questions, "sql")
+    frames = []
+    for n, (kind, table) in enumerate((("dispatch", "service_logs"), ("claim", "warranty_claims"), ("part", "parts_inventory"))):
+        key = f"{kind}_id"
+        ids = asked.select("question_id", F.explode(f"entities.{kind}").alias(key))
+        own = tables[table].join(broadcast_if_small(ids), key)
+        place = [F.lit(3), F.lit(n), F.col(key), F.lit(0)]
+        if kind == "dispatch":
+            frames.append(_service_rows(own, place))
+        elif kind == "claim":
+            frames.append(_claim_rows(own, tables, place))
+        else:
+            frames.append(_row(
+                own, place, "sql", table, F.col(key), F.lit("current inventory"),
+                _text("Part {part_id} '{name}': supplier {supplier}, manufacturer {manufacturer}, {stock_quantity} units in stock.",
+                      name=F.trim("part_name")),
+                F.concat(F.lit(f"{key} = "), _quote(F.col(key))),
+            ))
+        absent = ids.join(own.select("question_id", key), ["question_id", key], "left_anti")
+        frames.append(_row(
+            absent, place, "sql", table, F.lit("no matching row"), F.lit("n/a"),
+            _text(f"ERP lookup returned NO {table} record for {{{key}}}."),
+            F.concat(F.lit(f"{key} = "), _quote(F.col(key))),
+        ))
+    return union(*frames)
+
+
 def fleet(equipment: DataFrame, as_of: Column) -> DataFrame:
     """Units, units in service and units under warranty per model."""
     return equipment.groupBy("model").agg(
@@ -512,7 +547,8 @@ def collect(
     frames = []
     if "sql" not in errors:
         frames += [
-            units(questions, tables, as_of), model(questions, tables, as_of), suppliers(questions, tables)
+            units(questions, tables, as_of), model(questions, tables, as_of), suppliers(questions, tables),
+            records(questions, tables),
         ]
     if "document" not in errors:
         frames.append(telemetry(questions, tables))
@@ -550,14 +586,15 @@ def verify(evidence: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
             continue
         mine = wanted.filter((F.col("_table") == name) & ~F.col("_absence") & ~F.col("_aggregate"))
         lookups.append((mine, tables[name].select(F.col(key).alias("_id"))))
+        gone = wanted.filter((F.col("_table") == name) & F.col("_absence"))
         if name == "equipment_units":
-            gone = wanted.filter((F.col("_table") == name) & F.col("_absence"))
             either = tables[name].select(F.explode(F.array("equipment_id", "serial_number")).alias("_id"))
             lookups.append((gone, either))
             lookups.append((wanted.filter("_aggregate"), tables[name].select(F.col("model").alias("_id"))))
-        if name == "telemetry":
-            gone = wanted.filter((F.col("_table") == name) & F.col("_absence"))
+        elif name == "telemetry":
             lookups.append((gone, tables[name].select(F.col("equipment_id").alias("_id"))))
+        else:
+            lookups.append((gone, tables[name].select(F.col(key).alias("_id"))))
     checked = []
     for mine, source in lookups:
         asked = broadcast_if_small(mine.select("_id").distinct())

@@ -68,23 +68,29 @@ def _present(df: DataFrame, names: list[str]) -> DataFrame:
     return _long(df, names).filter(~clean.is_missing(F.col("value")))
 
 
-def date_formats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """How often each date layout occurs in the date-like columns."""
+def date_formats(df: DataFrame, names: list[str] | None = None) -> DataFrame | None:
+    """How often each date layout occurs in the date-like columns; None without such a column, as in the next two."""
     names = names or [c for c in df.columns if "date" in c.lower() or "expiration" in c.lower()]
+    if not names:
+        return None
     classed = _present(df, names).withColumn("format", clean.date_format_class(F.col("value")))
     return classed.groupBy("column_name", "format").agg(F.count("*").alias("occurrences"))
 
 
-def statuses(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+def statuses(df: DataFrame, names: list[str] | None = None) -> DataFrame | None:
     names = names or [c for c in df.columns if c.lower() == "status"]
+    if not names:
+        return None
     trimmed = F.regexp_replace("value", f"^{clean.SPACE}+|{clean.SPACE}+$", "").alias("value")
     return _present(df, names).select("column_name", trimmed).groupBy("column_name", "value").agg(
         F.count("*").alias("occurrences")
     )
 
 
-def currency_symbols(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+def currency_symbols(df: DataFrame, names: list[str] | None = None) -> DataFrame | None:
     names = names or [c for c in df.columns if c.lower() in MONEY_COLUMNS]
+    if not names:
+        return None
     sums = [F.count_if(clean.has_currency(F.col(n))).alias(n) for n in names]
     entries = [F.struct(F.lit(n).alias("column_name"), F.col(n).alias("with_symbol")) for n in names]
     return df.agg(*sums).select(F.inline(F.array(*entries)))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from lodestone.operators import router, suppliers
+from lodestone.operators.profile import MONEY_COLUMNS
 from lodestone.plans.derive import cte
 from lodestone.plans.queries import AS_OF, COUNTED
 from lodestone.sources.schemas import RAW_COLUMNS, RULES
@@ -69,18 +72,35 @@ _LAYOUT = """CASE WHEN regexp_full_match(v, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:
     WHEN regexp_full_match(v, '\\d{4}/\\d{2}/\\d{2}') THEN 'YYYY/MM/DD'
     WHEN regexp_full_match(v, '\\d{2}/\\d{2}/\\d{4}') THEN 'MM/DD/YYYY'
     WHEN regexp_full_match(v, '\\d{2}-\\d{2}-\\d{4}') THEN 'MM-DD-YYYY' ELSE 'Other' END"""
-SQL["date_formats"] = cte("raw_equipment") + f""" SELECT column_name, {_LAYOUT} AS format, count(*) AS occurrences FROM (
-    SELECT 'install_date' AS column_name, install_date AS v FROM raw_equipment
-    UNION ALL SELECT 'warranty_expiration', warranty_expiration FROM raw_equipment) GROUP BY 1, 2"""
-SQL["status_values"] = cte("raw_customers") + f""" SELECT 'status' AS column_name, trim(v) AS value, count(*) AS occurrences
-FROM (SELECT status AS v FROM raw_customers) WHERE NOT ({_MISSING}) GROUP BY 1, 2"""
-SQL["currency_symbols"] = cte("raw_dispatches") + """ SELECT 'labor_cost' AS column_name,
-    count(*) FILTER (contains(labor_cost, '$')) AS with_symbol FROM raw_dispatches"""
-SQL["untrimmed_rows"] = cte("raw_dispatches") + """ SELECT
-    count(*) FILTER (technician <> trim(technician) OR resolution_summary <> trim(resolution_summary))
-        AS rows_with_extra_whitespace,
-    count(*) FILTER (regexp_matches(technician, '<[^>]*>') OR regexp_matches(resolution_summary, '<[^>]*>'))
-        AS rows_with_html FROM raw_dispatches"""
+def _each(wanted: Callable[[str], bool], select: Callable[[str, str, str], str]) -> str:
+    """A SELECT for each column of the raw tables that is wanted, from (name of the table, its rows, column)."""
+    return cte(*_ALL_RAW) + " " + " UNION ALL ".join(
+        select(table, source, c) for table, (source, columns) in _RAW.items() for c in columns if wanted(c)
+    )
+
+
+SQL["date_formats"] = _each(
+    lambda c: "date" in c or "expiration" in c,
+    lambda table, source, c: f"""SELECT '{table}' AS table_name, '{c}' AS column_name, {_LAYOUT} AS format, count(*) AS occurrences
+    FROM (SELECT {c} AS v FROM {source}) WHERE NOT ({_MISSING}) GROUP BY 3""",
+)
+SQL["status_values"] = _each(
+    lambda c: c == "status",
+    lambda table, source, c: f"""SELECT '{table}' AS table_name, '{c}' AS column_name, trim(v) AS value, count(*) AS occurrences
+    FROM (SELECT {c} AS v FROM {source}) WHERE NOT ({_MISSING}) GROUP BY 3""",
+)
+SQL["currency_symbols"] = _each(
+    lambda c: c in MONEY_COLUMNS,
+    lambda table, source, c: f"""SELECT '{table}' AS table_name, '{c}' AS column_name,
+    count(*) FILTER (contains({c}, '$')) AS with_symbol FROM {source}""",
+)
+SQL["untrimmed_rows"] = cte(*_ALL_RAW) + " " + " UNION ALL ".join(
+    f"""SELECT '{table}' AS table_name,
+    count(*) FILTER ({' OR '.join(f"coalesce({c} <> trim({c}), false)" for c in columns)}) AS rows_with_extra_whitespace,
+    count(*) FILTER ({' OR '.join(f"coalesce(regexp_matches({c}, '<[^>]*>'), false)" for c in columns)}) AS rows_with_html
+    FROM {source}"""
+    for table, (source, columns) in _RAW.items()
+)
 SQL["table_sample"] = "SELECT * FROM customer ORDER BY c_name LIMIT 5"
 
 SQL["bronze_csv"] = cte("raw_parts") + " SELECT part_id, part_name, supplier, unit_cost, true AS numbered FROM raw_parts"
@@ -599,6 +619,13 @@ def _evidence(*tables: str) -> str:
     return cte("questions", *tables) + ", " + _routed("questions")
 
 
+_SERVICE_TEXT = """format('Service {} on {} for {}: {} by {}, {} h, ${} labor, status {}. Resolution: {}', dispatch_id,
+        dispatch_date::VARCHAR, equipment_id, service_type, technician, hours_spent::VARCHAR, labor_cost::VARCHAR, status,
+        coalesce(resolution_summary, 'None'))"""
+_CLAIM_TEXT = """format('Warranty claim {} on {} for {}: part {} ({}), dispatch {}, claimed ${}, approved ${}, status {}{}.',
+        claim_id, claim_date::VARCHAR, equipment_id, coalesce(part_id, 'n/a'), coalesce(part_name, 'n/a'),
+        coalesce(dispatch_id, 'n/a'), claim_amount::VARCHAR, coalesce(approved_amount::VARCHAR, 'None'), status,
+        CASE WHEN denial_reason IS NULL THEN '' ELSE ', denial reason: ' || denial_reason END)"""
 SQL["evidence_units"] = _evidence(
     "customers", "equipment_units", "service_logs", "warranty_claims", "parts_inventory"
 ) + f""", asked AS (SELECT question_id, list_concat(equipment, serial) AS ids FROM routed
@@ -616,18 +643,31 @@ SELECT question_id, equipment_id AS record_id, 'equipment_units' AS document, CA
         warranty_expiration::VARCHAR, CASE WHEN warranty_expiration >= DATE '{AS_OF}' THEN 'ACTIVE' ELSE 'EXPIRED' END) AS text
 FROM found
 UNION ALL SELECT question_id, dispatch_id, 'service_logs', CAST(dispatch_date AS VARCHAR),
-    format('Service {{}} on {{}} for {{}}: {{}} by {{}}, {{}} h, ${{}} labor, status {{}}. Resolution: {{}}', dispatch_id,
-        dispatch_date::VARCHAR, equipment_id, service_type, technician, hours_spent::VARCHAR, labor_cost::VARCHAR, status,
-        coalesce(resolution_summary, 'None')) FROM services
+    {_SERVICE_TEXT} FROM services
 UNION ALL SELECT question_id, claim_id, 'warranty_claims', CAST(claim_date AS VARCHAR),
-    format('Warranty claim {{}} on {{}} for {{}}: part {{}} ({{}}), dispatch {{}}, claimed ${{}}, approved ${{}}, status {{}}{{}}.',
-        claim_id, claim_date::VARCHAR, equipment_id, coalesce(part_id, 'n/a'), coalesce(part_name, 'n/a'),
-        coalesce(dispatch_id, 'n/a'), claim_amount::VARCHAR, coalesce(approved_amount::VARCHAR, 'None'), status,
-        CASE WHEN denial_reason IS NULL THEN '' ELSE ', denial reason: ' || denial_reason END) FROM claims
+    {_CLAIM_TEXT} FROM claims
 UNION ALL SELECT question_id, 'no matching row', 'equipment_units', 'n/a',
     'ERP lookup returned NO equipment_units record for ' || array_to_string(ids, ', ')
     || '; this unit has no ERP service or warranty history on file.'
 FROM asked WHERE question_id NOT IN (SELECT question_id FROM found)"""
+SQL["evidence_ids"] = _evidence("service_logs", "warranty_claims", "parts_inventory") + f""",
+d AS (SELECT question_id, unnest(dispatch) AS id FROM routed WHERE use_sql),
+c AS (SELECT question_id, unnest(claim) AS id FROM routed WHERE use_sql),
+p AS (SELECT question_id, unnest(part) AS id FROM routed WHERE use_sql),
+rows_ AS (
+    SELECT question_id, id, 'service_logs' AS document, dispatch_id AS found, CAST(dispatch_date AS VARCHAR) AS "timestamp",
+        {_SERVICE_TEXT} AS text
+    FROM d LEFT JOIN service_logs ON dispatch_id = id
+    UNION ALL SELECT question_id, id, 'warranty_claims', claim_id, CAST(claim_date AS VARCHAR), {_CLAIM_TEXT}
+    FROM c LEFT JOIN (SELECT w.*, part_name FROM warranty_claims w LEFT JOIN parts_inventory i ON i.part_id = w.part_id) ON claim_id = id
+    UNION ALL SELECT question_id, id, 'parts_inventory', part_id, 'current inventory',
+        format('Part {{}} ''{{}}'': supplier {{}}, manufacturer {{}}, {{}} units in stock.', part_id, trim(part_name), supplier,
+            manufacturer, stock_quantity)
+    FROM p LEFT JOIN parts_inventory ON part_id = id)
+SELECT question_id, coalesce(found, 'no matching row') AS record_id, document,
+    CASE WHEN found IS NULL THEN 'n/a' ELSE "timestamp" END AS "timestamp",
+    CASE WHEN found IS NULL THEN 'ERP lookup returned NO ' || document || ' record for ' || id || '.' ELSE text END AS text
+FROM rows_"""
 SQL["evidence_model"] = _evidence("equipment_units", "service_logs", "warranty_claims") + f""",
 asked AS (SELECT question_id, intents, unnest(model[1:2]) AS model FROM routed WHERE use_sql),
 fleet AS ({_FLEET}), {_FAILURES}, {_CLAIMS}
@@ -745,7 +785,7 @@ FROM routed JOIN capped USING (question) JOIN chunks USING (chunk_id)"""
 
 SQL["evidence_tags"] = "SELECT question_id, source, count(*) AS n, count(*) AS last, count(*) AS tags FROM (" + " UNION ALL ".join(
     f"SELECT question_id, '{source}' AS source FROM ({SQL[name]})" for name, source in {
-        "evidence_units": "sql", "evidence_model": "sql", "evidence_suppliers": "sql", "evidence_telemetry": "document",
+        "evidence_units": "sql", "evidence_model": "sql", "evidence_ids": "sql", "evidence_suppliers": "sql", "evidence_telemetry": "document",
         "evidence_vector": "vector"}.items()
 ) + ") GROUP BY 1, 2"
 

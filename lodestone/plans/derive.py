@@ -205,7 +205,8 @@ SELECT c_custkey AS question_id,
     WHEN 6 THEN 'Which parts have a single-source supplier risk?'
     ELSE CASE c_nationkey % 3 WHEN 0 THEN 'What are the emergency response steps for a confirmed thermal runaway event?'
         WHEN 1 THEN 'Which units show overheating alarms?'
-        ELSE concat('Warranty claims of model C-1400 and CLM-', c_custkey, '?') END
+        ELSE concat('Warranty claims of model C-1400, CLM-', c_custkey, ', DISP-', c_custkey * 10 + 1, ' and PRT-', c_custkey,
+            '?') END
     END AS question
 FROM {{customer}}""",
 }

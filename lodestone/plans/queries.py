@@ -119,24 +119,34 @@ def column_profile(spark, sf_dir):
     return out
 
 
+def _per_table(spark: SparkSession, sf_dir: str, report: Callable[[DataFrame], DataFrame | None]) -> DataFrame:
+    """A report on each raw table that has columns for it."""
+    reports = []
+    for name, df in raw_tables(spark, sf_dir).items():
+        found = report(df.drop("source_row"))
+        if found is not None:
+            reports.append(found.select(F.lit(name).alias("table_name"), "*"))
+    return evidence.union(*reports)
+
+
 @register
 def date_formats(spark, sf_dir):
-    return profile.date_formats(frame(spark, sf_dir, "raw_equipment"))
+    return _per_table(spark, sf_dir, profile.date_formats)
 
 
 @register
 def status_values(spark, sf_dir):
-    return profile.statuses(frame(spark, sf_dir, "raw_customers"))
+    return _per_table(spark, sf_dir, profile.statuses)
 
 
 @register
 def currency_symbols(spark, sf_dir):
-    return profile.currency_symbols(frame(spark, sf_dir, "raw_dispatches"))
+    return _per_table(spark, sf_dir, profile.currency_symbols)
 
 
 @register
 def untrimmed_rows(spark, sf_dir):
-    return profile.untrimmed_rows(frame(spark, sf_dir, "raw_dispatches"), ["technician", "resolution_summary"])
+    return _per_table(spark, sf_dir, lambda df: profile.untrimmed_rows(df, df.columns))
 
 
 @register
@@ -794,6 +804,11 @@ def evidence_model(spark, sf_dir):
     return _evidence_columns(evidence.model(_routed(spark, sf_dir), silver_tables(spark, sf_dir), _as_of()))
 
 
+@register
+def evidence_ids(spark, sf_dir):
+    return _evidence_columns(evidence.records(_routed(spark, sf_dir), silver_tables(spark, sf_dir)))
+
+
 @register
 def evidence_suppliers(spark, sf_dir):
     return _evidence_columns(evidence.suppliers(_routed(spark, sf_dir), silver_tables(spark, sf_dir)))
