@@ -15,7 +15,7 @@ from lodestone.functions.text import first_id
 from lodestone.operators import suppliers as supplier_ops, telemetry as tel, vectors
 from lodestone.operators.enrich import warranty_state
 from lodestone.operators.ranking import latest, rank, top_ids
-from lodestone.session import broadcast_if_small
+from lodestone.session import broadcast_if_small, materialize
 from lodestone.sources.schemas import EVIDENCE_COLUMNS
 
 # Service types that count as repairs.
@@ -23,6 +23,9 @@ REPAIR_TYPES = ["Emergency Repair", "Corrective Maintenance", "Diagnostic", "War
 # Tag prefix per source, and how many ids of a kind a question may use.
 TAGS = {"sql": "SQL", "document": "MDB", "vector": "VEC"}
 MAX_SERIALS, MAX_FAULTS, MAX_MODELS = 3, 2, 2
+# The most frequent faults shown for a unit, and for models or the fleet.
+UNIT_FAULTS, SCOPE_FAULTS = 3, 5
+FLEET = "fleet"
 RELATIONAL, DOCUMENTS, CHUNKS = "silver", "documents", "chunks"
 
 
@@ -378,23 +381,91 @@ def _summary_rows(summary: DataFrame, ord_: list[Column], label: Column) -> Data
 
 
 def telemetry(questions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Fault summaries and events by serial, by fault code, or by model or fleet."""
-    log = tables["telemetry"]
+    """Fault summaries and events by serial, by fault code, or by model or fleet.
+
+    Each of these is a scope: a unit, a fault code, the models of a question, the fleet. The log is read
+    twice whatever is asked: for the sums of all scopes, and for the few events that they show.
+    """
     asked = _asks(questions, "document")
+    serials = asked.select(
+        "question_id", F.posexplode(F.slice("entities.serial", 1, MAX_SERIALS)).alias("_n", "equipment_id")
+    ).withColumn("_scope", F.concat(F.lit("unit "), "equipment_id"))
+    codes = asked.select(
+        "question_id", F.posexplode(F.slice("entities.fault", 1, MAX_FAULTS)).alias("_n", "fault_code")
+    ).withColumn("_scope", F.concat(F.lit("code "), "fault_code"))
+    # Questions without serials and fault codes look at their models, or at the whole fleet.
+    models = F.array_join("entities.model", "/")
+    broad = asked.filter((F.size("entities.serial") == 0) & (F.size("entities.fault") == 0)).select(
+        "question_id", F.array_contains("intents", "hot").alias("_hot"), models.alias("_models"),
+        F.when(models == "", FLEET).otherwise(F.concat(F.lit("models "), models)).alias("_scope"),
+        F.col("entities.model").alias("_each"),
+    )
+    scoped = _scoped(tables["telemetry"], serials, codes, broad)
+    sums = materialize(tel.fault_sums(scoped, ["_scope", "fault_code"]), "fault-sums")
+    shown = materialize(_shown_events(scoped), "shown-events")
+
+    newest = shown.filter("_list = 'fault'")
+    keys = ["_scope", "fault_code"]
+    order = [F.col("events").desc(), F.col("fault_code").asc()]
+    best = latest(sums.filter("fault_code IS NOT NULL"), ["_scope"], order, SCOPE_FAULTS, "_place")
+    best = best.filter(~_of_unit() | (F.col("_place") <= UNIT_FAULTS))
+    summary = tel.add_newest(best, newest, keys)
     return union(
-        _by_serial(asked, log), _by_fault(asked, log), _by_model(asked, log)
+        _by_serial(serials, sums, summary, shown), _by_fault(codes, summary, newest), _by_model(broad, summary, shown)
     )
 
 
-def _by_serial(asked: DataFrame, log: DataFrame) -> DataFrame:
-    serials = asked.select(
-        "question_id", F.posexplode(F.slice("entities.serial", 1, MAX_SERIALS)).alias("_n", "equipment_id")
+def _of_unit() -> Column:
+    return F.col("_scope").startswith("unit ")
+
+
+def _scoped(log: DataFrame, serials: DataFrame, codes: DataFrame, broad: DataFrame) -> DataFrame:
+    """The events of each scope asked for; events without a fault belong to the scope of their unit only."""
+    def named(df: DataFrame, key: str, scope: str) -> DataFrame:
+        return broadcast_if_small(df.select(key, F.col("_scope").alias(scope)).distinct())
+
+    by_model = broad.select(F.explode("_each").alias("model_code"), "_scope").groupBy("model_code").agg(
+        F.collect_set("_scope").alias("_of_models")
     )
-    wanted = broadcast_if_small(serials.select("equipment_id").distinct())
-    own = log.join(wanted, "equipment_id", "left_semi")
-    totals = own.groupBy("equipment_id").agg(F.count("*").alias("total"))
-    known = serials.join(totals, "equipment_id")
-    absent = serials.join(totals, "equipment_id", "left_anti")
+    found = (
+        log.join(named(serials, "equipment_id", "_unit"), "equipment_id", "left")
+        .join(named(codes, "fault_code", "_code"), "fault_code", "left")
+        .join(broadcast_if_small(by_model), "model_code", "left")
+    )
+    fleet_asked = not broad.filter(F.col("_scope") == FLEET).isEmpty()
+    others = F.array_compact(F.array("_code", F.lit(FLEET if fleet_asked else None)))
+    others = F.concat(others, F.coalesce("_of_models", F.array().cast("array<string>")))
+    scopes = F.concat(
+        F.array_compact(F.array("_unit")),
+        F.when(F.col("fault_code").isNotNull(), others).otherwise(F.array().cast("array<string>")),
+    )
+    return found.select(*log.columns, F.explode(scopes).alias("_scope"))
+
+
+def _shown_events(scoped: DataFrame) -> DataFrame:
+    """The first events of each list: the newest of a scope's fault (3), the newest reading (1) and faults (2) of a
+    unit, the hottest of other scopes (2). Columns _list and _rank are added."""
+    fault = F.col("fault_code").isNotNull()
+    lists = F.array(
+        F.when(fault, F.lit("fault")), F.when(_of_unit(), F.lit("reading")),
+        F.when(_of_unit() & fault, F.lit("faults")), F.when(~_of_unit(), F.lit("hot")),
+    )
+    listed = scoped.withColumn("_list", F.explode(F.array_compact(lists)))
+    hot = F.col("_list") == "hot"
+    listed = listed.withColumn("_fault", F.when(F.col("_list") == "fault", F.col("fault_code")))
+    order = [
+        F.when(hot, F.col(tel.TEMPERATURE)).desc(), F.when(hot, F.col("log_id")).asc(),
+        F.when(~hot, F.col("timestamp")).desc(), F.when(~hot, F.col("log_id")).desc(),
+    ]
+    first = latest(listed, ["_scope", "_list", "_fault"], order, 3, "_rank").drop("_fault")
+    most = F.when(F.col("_list") == "fault", 3).when(F.col("_list") == "reading", 1).otherwise(2)
+    return first.filter(F.col("_rank") <= most)
+
+
+def _by_serial(serials: DataFrame, sums: DataFrame, summary: DataFrame, shown: DataFrame) -> DataFrame:
+    totals = sums.filter(_of_unit()).groupBy("_scope").agg(F.sum("events").alias("total"))
+    known = serials.join(totals, "_scope")
+    absent = serials.join(totals, "_scope", "left_anti")
 
     def at(part: Column, rank: Column) -> list[Column]:
         return [F.lit(0), _pos(F.col("_n")), part, rank]
@@ -404,74 +475,44 @@ def _by_serial(asked: DataFrame, log: DataFrame) -> DataFrame:
         _text("No telemetry documents exist for unit {equipment_id}."),
         F.concat(F.lit("equipment_id = "), _quote(F.col("equipment_id"))),
     )
-    summary = latest(
-        tel.fault_summary(own.withColumn("unit", F.col("equipment_id")), ["unit"], 3), ["unit"],
-        [F.col("events").desc(), F.col("fault_code").asc()], 3, "_rank",
-    )
-    summary = known.join(summary, known["equipment_id"] == summary["unit"])
+    own = summary.filter(_of_unit())
     summary_rows = _summary_rows(
-        summary, at(F.lit(1), _pos(F.col("_rank"))),
+        known.join(own, "_scope"), at(F.lit(1), _pos(F.col("_place"))),
         F.concat(F.lit("Unit "), "equipment_id", F.lit(" ("), F.col("total").cast("string"), F.lit(" telemetry logs)")),
     )
-    shown = summary.filter("events = 1").select("equipment_id", F.col("latest_ids").alias("log_id")).distinct()
-    newest = tel.newest_first()
-    reading = latest(own, ["equipment_id"], newest, 1, "_rank").withColumn("_rank", F.lit(0))
-    faults = latest(tel.with_faults(own), ["equipment_id"], newest, 2, "_rank")
-    events = latest(reading.unionByName(faults), ["equipment_id", "log_id"], [F.col("_rank").asc()], 1)
-    events = events.join(shown, ["equipment_id", "log_id"], "left_anti")
-    events = known.select("question_id", "_n", "equipment_id").join(events, "equipment_id")
+    # The one event of a summary is not shown again.
+    alone = own.filter("events = 1").select("_scope", F.col("latest_ids").alias("log_id")).distinct()
+    position = F.when(F.col("_list") == "reading", 0).otherwise(F.col("_rank")).cast("int")
+    events = shown.filter(F.col("_list").isin("reading", "faults")).withColumn("_rank", position)
+    events = latest(events, ["_scope", "log_id"], [F.col("_rank").asc()], 1).join(alone, ["_scope", "log_id"], "left_anti")
+    events = known.select("question_id", "_n", "_scope").join(events, "_scope")
     return union(absent_rows, summary_rows, _event_rows(events, at(F.lit(2), _pos(F.col("_rank")))))
 
 
-def _by_fault(asked: DataFrame, log: DataFrame) -> DataFrame:
-    codes = asked.select(
-        "question_id", F.posexplode(F.slice("entities.fault", 1, MAX_FAULTS)).alias("_n", "fault_code")
-    )
-    wanted = broadcast_if_small(codes.select("fault_code").distinct())
-    own = log.join(wanted, "fault_code", "left_semi")
-    summary = codes.join(tel.fault_summary(own), "fault_code")
-
+def _by_fault(codes: DataFrame, summary: DataFrame, newest: DataFrame) -> DataFrame:
     def at(part: Column, rank: Column) -> list[Column]:
         return [F.lit(1), _pos(F.col("_n")), part, rank]
 
-    summary_rows = _summary_rows(summary, at(F.lit(0), F.lit(0)), F.concat(F.lit("Fault code "), "fault_code"))
-    events = latest(own, ["fault_code"], tel.newest_first(), 2, "_rank")
-    return union(summary_rows, _event_rows(codes.join(events, "fault_code"), at(F.lit(1), _pos(F.col("_rank")))))
+    asked = codes.drop("fault_code")
+    summary_rows = _summary_rows(
+        asked.join(summary, "_scope"), at(F.lit(0), F.lit(0)), F.concat(F.lit("Fault code "), "fault_code")
+    )
+    events = asked.join(newest.filter("_rank <= 2"), "_scope")
+    return union(summary_rows, _event_rows(events, at(F.lit(1), _pos(F.col("_rank")))))
 
 
-def _by_model(asked: DataFrame, log: DataFrame) -> DataFrame:
-    """Questions without serials and fault codes look at their models, or at the whole fleet."""
-    broad = asked.filter((F.size("entities.serial") == 0) & (F.size("entities.fault") == 0)).select(
-        "question_id",
-        F.array_contains("intents", "hot").alias("_hot"),
-        F.array_join("entities.model", "/").alias("_scope"),
-        F.col("entities.model").alias("_models"),
-    )
-    # Questions share few scopes; each scope is computed once. An event belongs to the scopes that
-    # name its model and to the fleet scope.
-    scopes = broad.select("_scope", F.explode_outer("_models").alias("model_code")).distinct()
-    named = broadcast_if_small(scopes.filter("_scope <> ''"))
-    faults = tel.with_faults(log)
-    scoped = faults.join(named, "model_code").select("_scope", *faults.columns)
-    if not scopes.filter("_scope = ''").isEmpty():
-        scoped = scoped.unionByName(faults.withColumn("_scope", F.lit("")))
-    summary = latest(
-        tel.fault_summary(scoped, ["_scope"], 5), ["_scope"],
-        [F.col("events").desc(), F.col("fault_code").asc()], 5, "_rank",
-    )
-    label = F.when(F.col("_scope") == "", "Fleet-wide telemetry").otherwise(
-        F.concat("_scope", F.lit(" telemetry"))
-    )
-
-    def at(part: Column) -> list[Column]:
-        return [F.lit(2), part, _pos(F.col("_rank")), F.lit(0)]
-
-    summary_rows = _summary_rows(broad.drop("_models").join(summary, "_scope"), at(F.lit(0)), label)
-    hot = latest(
-        scoped, ["_scope"], [F.col(tel.TEMPERATURE).desc(), F.col("log_id").asc()], 2, "_rank"
-    )
-    hot_rows = _event_rows(broad.filter("_hot").drop("_models").join(hot, "_scope"), at(F.lit(1)))
-    return union(summary_rows, hot_rows)
+def _by_model(broad: DataFrame, summary: DataFrame, shown: DataFrame) -> DataFrame:
+    label = F.when(F.col("_scope") == FLEET, "Fleet-wide telemetry").otherwise(
+        F.concat("_models", F.lit(" telemetry"))
+    )
+
+    def at(part: Column, rank: str) -> list[Column]:
+        return [F.lit(2), part, _pos(F.col(rank)), F.lit(0)]
+
+    asked = broad.drop("_each")
+    summary_rows = _summary_rows(asked.join(summary, "_scope"), at(F.lit(0), "_place"), label)
+    hot = asked.filter("_hot").join(shown.filter("_list = 'hot'"), "_scope")
+    return union(summary_rows, _event_rows(hot, at(F.lit(1), "_rank")))
 
 
 def vector(

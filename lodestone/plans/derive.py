@@ -217,10 +217,10 @@ def tables_in(name: str) -> list[str]:
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table as a lazy frame. Raw tables are about to be cleaned value by value."""
+    """One derived table as a lazy frame. Raw tables are about to be cleaned value by value, questions to be matched with
+    many patterns, and events to be dealt to many lists."""
     heavy = {"lineitem", "customer", "part"} if name.startswith("raw_") else set()
-    if name == "raw_equipment":
-        heavy = {"orders"}
+    heavy = {"raw_equipment": {"orders"}, "questions": {"customer"}, "telemetry_flat": {"events"}}.get(name, heavy)
     return spark.sql(SQL[name], **{t: read(spark, sf_dir, t, t in heavy) for t in tables_in(name)})
 
 
