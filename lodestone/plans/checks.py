@@ -339,9 +339,10 @@ SQL["audit_capture"] = cte("service_logs") + f""" SELECT dispatch_id AS record_i
 FROM service_logs WHERE service_type = 'Emergency Repair' OR status = 'In Progress'"""
 SQL["audit_change_feed"] = cte("service_logs") + """ SELECT dispatch_id AS record_id,
     CASE WHEN service_type = 'Emergency Repair' THEN 'INSERT' ELSE 'UPDATE' END AS operation_type,
+    CAST(1 AS BIGINT) AS place, '2024-01-01' AS "at",
     CASE WHEN service_type = 'Emergency Repair' THEN NULL ELSE status END AS old_status,
     'Completed' AS new_status, resolution_summary AS new_resolution FROM service_logs
-UNION ALL SELECT dispatch_id, 'UPDATE', 'Completed', 'Completed', 'Closed on site' FROM service_logs
+UNION ALL SELECT dispatch_id, 'UPDATE', 2, '2024-01-01', 'Completed', 'Completed', 'Closed on site' FROM service_logs
 WHERE resolution_summary IS NULL"""
 SQL["surrogate_ids"] = """SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_id, o_orderkey FROM orders"""
 
@@ -848,6 +849,8 @@ SQL["citation_coverage"] = _RUNS + """ SELECT count(*) * 3 AS cited_statements,
 SQL["stream_telemetry"] = cte("telemetry_flat") + """ SELECT log_id, model_code, fault_code, temperature_c
 FROM telemetry_flat WHERE soc_percent NOT IN (7, 8, 9)"""
 SQL["stream_audit"] = cte("service_logs") + """ SELECT dispatch_id AS record_id, 'INSERT' AS operation_type,
+    CAST(CASE WHEN service_type = 'Emergency Repair' THEN 2 ELSE 1 END AS BIGINT) AS seq,
+    CAST(dispatch_date + CASE WHEN service_type = 'Emergency Repair' THEN 2 ELSE 1 END AS VARCHAR) AS "at",
     CAST(NULL AS VARCHAR) AS old_status, CASE WHEN service_type = 'Emergency Repair' THEN 'Completed' ELSE status END AS new_status
 FROM service_logs
-UNION ALL SELECT dispatch_id, 'UPDATE', status, 'Completed' FROM service_logs WHERE service_type <> 'Emergency Repair'"""
+UNION ALL SELECT dispatch_id, 'UPDATE', 2, CAST(dispatch_date + 2 AS VARCHAR), status, 'Completed' FROM service_logs WHERE service_type <> 'Emergency Repair'"""

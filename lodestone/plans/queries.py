@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lodestone.functions import clean, text, vector
 from lodestone.operators import (
@@ -391,8 +391,10 @@ def audit_change_feed(spark, sf_dir):
         )
     )
     entries = audit.capture_changes(old, feed, ["seq"], user=F.lit("loader"), ts=F.lit("2024-01-01").cast("date"))
-    return entries.select(
-        "record_id", "operation_type",
+    # The place of an entry in its record's history, by the numbers given to the entries.
+    place = F.row_number().over(Window.partitionBy("record_id").orderBy("audit_id")).cast("bigint")
+    return audit.number_entries(entries, order=["seq"]).select(
+        "record_id", "operation_type", place.alias("place"), F.col("event_timestamp").cast("string").alias("at"),
         F.get_json_object("old_values", "$.status").alias("old_status"),
         F.get_json_object("new_values", "$.status").alias("new_status"),
         F.get_json_object("new_values", "$.resolution_summary").alias("new_resolution"),
@@ -997,14 +999,16 @@ def stream_audit(spark, sf_dir):
     base = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
     old, new = _log_states(spark, sf_dir)
     feed = old.withColumn("seq", F.lit(1)).unionByName(new.withColumn("seq", F.lit(2)))
+    feed = feed.withColumn("changed_at", F.date_add("dispatch_date", F.col("seq")))
     feed.write.json(f"{base}/in")
     audit_stream.audit_changes(
-        spark, f"{base}/in", feed.schema, f"{base}/state", f"{base}/history", f"{base}/checkpoint", ["seq"], user="loader"
+        spark, f"{base}/in", feed.schema, f"{base}/state", f"{base}/history", f"{base}/checkpoint", ["seq"],
+        user="loader", time="changed_at",
     ).awaitTermination()
     from lodestone.sources import tables
 
     return tables.read_batches(spark, f"{base}/history").select(
-        "record_id", "operation_type",
+        "record_id", "operation_type", _long("seq"), F.col("event_timestamp").cast("string").alias("at"),
         F.get_json_object("old_values", "$.status").alias("old_status"),
         F.get_json_object("new_values", "$.status").alias("new_status"),
     )
