@@ -29,6 +29,7 @@ from lodestone.session import materialize
 
 CAPACITY = 1024
 END_ID = 2
+LONG_RUN = 10_000  # blanks in a row
 # The pre-tokenizer's pattern, spelled out for texts below U+0250: letters, digits and white space of that range.
 _LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _DIGIT = r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -43,16 +44,20 @@ class Encoder(dict):
     """Ids of a text as little-endian 32-bit bytes. Remembers the ids of up to ``room`` words.
 
     ``path`` is a file of ranks, which hold the vocabulary of the ``tokenizers`` file of the same name; a test compares
-    the ids. Texts with characters from U+0250 on go through the general pattern. Texts are cut into words here, as the
-    matcher of ``tiktoken`` fails on runs of a million blanks; it sees one word at a time and takes it whole.
+    the ids. Texts with characters from U+0250 on go through the general pattern. The matcher of ``tiktoken`` fails on
+    runs of a million blanks, so texts with long runs are cut into words here, which it then takes whole.
     """
 
     def __init__(self, path: str, room: int = 300_000):
         super().__init__()
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, open(path, "rb"))}
-        self.bpe = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        self.words, self.all_words = re.compile(NARROW).findall, regex.compile(public_tokenizers.PATTERN).findall
-        self.wide, self.room = re.compile("[^\x00-\u024f]").search, room
+        self.ranks, self.bpe = ranks, self.merges(ranks, public_tokenizers.PATTERN)
+        self.words, self.wide, self.room = re.compile(NARROW).findall, re.compile("[^\x00-\u024f]").search, room
+        self.long_run = re.compile(rf"\s{{{LONG_RUN}}}").search
+
+    @staticmethod
+    def merges(ranks: dict[bytes, int], pattern: str) -> tiktoken.Encoding:
+        return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, word: str) -> bytes:
         found = np.array(self.bpe.encode_ordinary(word), "<u4").tobytes()
@@ -60,10 +65,15 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
+        if len(text) >= LONG_RUN and self.long_run(text):
+            whole = self.merges(self.ranks, r"[\s\S]+")
+            words = regex.findall(public_tokenizers.PATTERN, text)
+            return b"".join(np.array(whole.encode_ordinary(word), "<u4").tobytes() for word in words)
+        if self.wide(text):
+            return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
         if len(self) > self.room:
             self.clear()
-        words = self.all_words if self.wide(text) else self.words
-        return b"".join(map(self.__getitem__, words(text)))
+        return b"".join(map(self.__getitem__, self.words(text)))
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
