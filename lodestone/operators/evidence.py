@@ -600,11 +600,35 @@ def collect(
     return tag(union(*frames)), errors
 
 
-def verify(evidence: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+# Where the text of a fleet row states its counts; follows the template in model().
+FLEET_COUNTS = r": (\d+) units, (\d+) in service, (\d+) still under warranty\."
+
+
+def _verify_fleets(rows: DataFrame, equipment: DataFrame, as_of: Column | None) -> DataFrame:
+    """Counts that fleet rows claim against counts taken again; a model without units must claim none."""
+    counts = ["units", "in_service", "under_warranty"]
+    claimed = rows.select(
+        "question_id", "tag", F.regexp_replace("record_id", "^aggregate model=", "").alias("model"),
+        *[F.regexp_extract("text", FLEET_COUNTS, i + 1).try_cast("bigint").alias(f"_{c}") for i, c in enumerate(counts)],
+    )
+    wanted = broadcast_if_small(claimed.select("model").distinct())
+    sizes = fleet(equipment.join(wanted, "model", "left_semi"), F.current_date() if as_of is None else as_of)
+    joined = claimed.join(sizes.select("model", *counts), "model", "left")
+    compared = counts if as_of is not None else counts[:2]
+    same = [F.coalesce(F.col(c), F.lit(0)).eqNullSafe(F.col(f"_{c}")) for c in compared]
+    found = (F.coalesce("units", F.lit(0)) > 0).cast("bigint")
+    return joined.select(
+        "question_id", "tag", F.lit(1).cast("bigint").alias("records"), found.alias("found"),
+        reduce(lambda a, b: a & b, same).alias("verified"),
+    )
+
+
+def verify(evidence: DataFrame, tables: dict[str, DataFrame], as_of: Column | None = None) -> DataFrame:
     """Look the records of evidence rows up again: records named, records found, and the verdict.
 
-    Rows that report an absence are verified by finding nothing. Aggregates over a model are checked
-    by the model's units. Rows of a table that is not given are reported as not verified.
+    Rows that report an absence are verified by finding nothing. The counts of a model's fleet are taken again and
+    must equal those the row states; units under warranty are compared if ``as_of``, the day of the evidence, is
+    given. Rows of a table that is not given are reported as not verified.
     """
     keys = {
         "equipment_units": "equipment_id", "service_logs": "dispatch_id", "warranty_claims": "claim_id",
@@ -612,26 +636,24 @@ def verify(evidence: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     }
     table = F.element_at(F.split("database", r"\."), -1)
     absence = F.col("record_id").startswith("no matching")
-    aggregate = F.col("record_id").startswith("aggregate model=")
+    fleets = F.col("record_id").startswith("aggregate model=") & F.lit("equipment_units" in tables)
     named = F.regexp_extract_all("verify", F.lit(r"'((?:[^']|'')+)'"), 1)
     ids = F.when(absence, F.array_distinct(named)).when(
-        aggregate, F.array(F.regexp_replace("record_id", "^aggregate model=", ""))
-    ).when(F.col("source") == "vector", F.array("record_id")).otherwise(F.split("record_id", ", "))
-    wanted = evidence.select(
-        "question_id", "tag", table.alias("_table"), absence.alias("_absence"), aggregate.alias("_aggregate"),
-        F.explode(ids).alias("_id"),
+        F.col("source") == "vector", F.array("record_id")
+    ).otherwise(F.split("record_id", ", "))
+    wanted = evidence.filter(~fleets).select(
+        "question_id", "tag", table.alias("_table"), absence.alias("_absence"), F.explode(ids).alias("_id"),
     )
     lookups = []
     for name, key in keys.items():
         if name not in tables:
             continue
-        mine = wanted.filter((F.col("_table") == name) & ~F.col("_absence") & ~F.col("_aggregate"))
+        mine = wanted.filter((F.col("_table") == name) & ~F.col("_absence"))
         lookups.append((mine, tables[name].select(F.col(key).alias("_id"))))
         gone = wanted.filter((F.col("_table") == name) & F.col("_absence"))
         if name == "equipment_units":
             either = tables[name].select(F.explode(F.array("equipment_id", "serial_number")).alias("_id"))
             lookups.append((gone, either))
-            lookups.append((wanted.filter("_aggregate"), tables[name].select(F.col("model").alias("_id"))))
         elif name == "telemetry":
             lookups.append((gone, tables[name].select(F.col("equipment_id").alias("_id"))))
         else:
@@ -643,9 +665,11 @@ def verify(evidence: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         checked.append(mine.join(present, "_id", "left").withColumn("_known", F.lit(True)))
     unknown = wanted.filter(~F.col("_table").isin([name for name in keys if name in tables]))
     checked.append(unknown.select("*", F.lit(None).cast("int").alias("_hit"), F.lit(False).alias("_known")))
-    rows = union(*checked).groupBy("question_id", "tag", "_absence", "_aggregate").agg(
+    rows = union(*checked).groupBy("question_id", "tag", "_absence").agg(
         F.count("*").alias("records"), F.count("_hit").alias("found"), F.bool_and("_known").alias("_known")
     )
-    fleet_empty = F.col("_aggregate") & (F.col("found") == 0)
     verdict = F.when(F.col("_absence"), F.col("found") == 0).otherwise(F.col("found") == F.col("records"))
-    return rows.select("question_id", "tag", "records", "found", (F.col("_known") & (verdict | fleet_empty)).alias("verified"))
+    out = rows.select("question_id", "tag", "records", "found", (F.col("_known") & verdict).alias("verified"))
+    if "equipment_units" not in tables:
+        return out
+    return out.unionByName(_verify_fleets(evidence.filter(fleets), tables["equipment_units"], as_of))

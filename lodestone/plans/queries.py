@@ -15,7 +15,7 @@ from lodestone.plans.cleanse import cleanse
 from lodestone.plans.derive import frame, raw_tables, read, silver_tables, telemetry
 from lodestone.session import materialize
 from lodestone.sources import documents, telemetry as telemetry_source
-from lodestone.sources.schemas import RULES, SILVER_FOREIGN_KEYS, ForeignKey
+from lodestone.sources.schemas import RAW_FOREIGN_KEYS, RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -289,16 +289,12 @@ def residual_checks(spark, sf_dir):
 
 @register
 def orphans(spark, sf_dir):
-    tables = silver_tables(spark, sf_dir)
-    # Parents are thinned so that every relationship has orphans.
-    tables["customers"] = frame(spark, sf_dir, "customers").join(
-        read(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_name").alias("company_name")),
-        "company_name", "left_semi",
-    )
-    tables["equipment_units"] = tables["equipment_units"].filter("status <> 'Standby'")
-    tables["service_logs"] = tables["service_logs"].filter("service_type <> 'Diagnostic'")
-    tables["parts_inventory"] = tables["parts_inventory"].filter("stock_quantity > 10")
-    return quality.orphans(tables, SILVER_FOREIGN_KEYS)
+    """All relationships of the raw tables, before anything is cleansed; ids are trimmed."""
+    tables = {
+        name: df.select(*[F.trim(c).alias(c) for c in df.columns if c.endswith("_id")])
+        for name, df in raw_tables(spark, sf_dir).items()
+    }
+    return quality.orphans(tables, RAW_FOREIGN_KEYS)
 
 
 @register
@@ -875,7 +871,7 @@ def extractive_answers(spark, sf_dir):
 @register
 def verify_evidence(spark, sf_dir):
     _, found, tables = _evidence(spark, sf_dir)
-    return evidence.verify(found, tables)
+    return evidence.verify(found, tables, _as_of())
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

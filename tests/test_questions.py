@@ -103,11 +103,55 @@ def test_answers_and_verification(asked):
         "- [SQL1] ERP lookup returned NO equipment_units record for SN-4829; this unit has no ERP service or warranty history on file.")
     checks = {r.question_id: r for r in result.citations.collect()}
     assert checks[2].used_tags[:2] == ["MDB1", "SQL1"] and checks[2].unknown_tags == []
-    verified = evidence.verify(result.evidence, data).collect()
-    assert len(verified) == result.evidence.count() and all(r.verified for r in verified)
+    day = F.lit("2025-01-01").cast("date")
+    for as_of in (day, None):
+        verified = evidence.verify(result.evidence, data, as_of).collect()
+        assert len(verified) == result.evidence.count() and all(r.verified for r in verified)
     assert result.runs("20250101-000000").count() == len(GOLDENS)
 
 
+def test_false_counts_and_absent_tables_are_not_verified(spark, asked):
+    result, data = asked
+    fleets = result.evidence.filter("record_id like 'aggregate model=%'")
+    assert fleets.count() > 0
+    day = F.lit("2025-01-01").cast("date")
+
+    def verdicts(rows, tables, as_of=day):
+        return {r.verified for r in evidence.verify(rows, tables, as_of).collect()}
+
+    assert verdicts(fleets, data) == {True}
+    for said, other in ((": 1 units", ": 12 units"), ("1 in service", "0 in service"), ("1 still", "3 still")):
+        wrong = fleets.withColumn("text", F.replace("text", F.lit(said), F.lit(other)))
+        assert wrong.exceptAll(fleets).count() == fleets.count() and verdicts(wrong, data) == {False}
+    later = fleets.withColumn("text", F.replace("text", F.lit("1 still"), F.lit("3 still")))
+    assert verdicts(later, data, None) == {True}  # warranties are not compared without the day
+    # A model that has no units verifies only if none are claimed.
+    none = data | {"equipment_units": data["equipment_units"].filter("false")}
+    assert verdicts(fleets, none) == {False}
+    assert verdicts(fleets.withColumn("text", F.regexp_replace("text", r": 1 units, 1 in service, 1 still", ": 0 units, 0 in service, 0 still")), none) == {True}
+    assert verdicts(fleets, {k: v for k, v in data.items() if k != "equipment_units"}) == {False}
+
+
+def test_expected_document_comes_first(spark):
+    """Each question finds the page that answers it."""
+    texts = {
+        "runaway.pdf": "Thermal runaway emergency: evacuate, isolate the battery cabinet and call the fire brigade.",
+        "inverter.pdf": "Inverter overcurrent fault: inspect the fuse and the inverter output cable.",
+        "warranty.pdf": "Warranty claims are approved when the equipment is within its coverage period.",
+    }
+    pages = spark.createDataFrame(
+        [(n, "manual", n, 1, t) for n, t in texts.items()],
+        "document_id string, document_type string, source_file string, page_number int, text string")
+    collection = index_documents(pages, vectors.HashedTerms(512))
+    questions = {
+        "thermal runaway emergency in a battery cabinet": "runaway.pdf", "inverter overcurrent fault fuse": "inverter.pdf",
+        "when are warranty claims approved": "warranty.pdf",
+    }
+    asked = vectors.embed(spark.createDataFrame([(q,) for q in questions], "text string"), vectors.HashedTerms(512))
+    best = vectors.topk_exact(asked.withColumnRenamed("text", "query_id"), collection, 1).join(collection, "chunk_id")
+    assert {r.query_id: r.source_file for r in best.collect()} == questions
+
+
 def test_missing_source_is_reported(spark, questions):
     data = tables(spark)
     del data["telemetry"]

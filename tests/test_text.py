@@ -135,6 +135,11 @@ def test_approximate_recall(space):
     centres = vectors.train_cells(v, 5)
     approx = vectors.topk_ann(q, vectors.assign_cells(v, centres), centres, 6, 2)
     assert vectors.recall(vectors.topk_exact(q, v, 6), approx, 6).first().recall_at_k >= 0.9
+    searches = {"exact": lambda some: vectors.topk_exact(some, v, 6), "none": lambda some: vectors.topk_exact(some, v.limit(0), 6)}
+    few = q.filter("query_id < 3")
+    report = {r.search: r for r in vectors.evaluate(few, searches, "exact", 6).collect()}
+    assert (report["exact"].recall_at_k, report["none"].recall_at_k, report["none"].queries) == (1.0, 0.0, 3)
+    assert all(0 < r.p50 <= r.p95 <= r.p99 for r in report.values())
 
 
 @pytest.mark.parametrize("limit", [8192, 0])
