@@ -7,8 +7,11 @@ are few against the tables: tables are reduced by the ids asked for before anyth
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.text import first_id
@@ -578,26 +581,34 @@ NEEDS = {
 
 def collect(
     questions: DataFrame, tables: dict[str, DataFrame], as_of: Column, embedder: vectors.Embedder | None = None, k: int = 4
-) -> tuple[DataFrame, dict[str, str]]:
-    """Tagged evidence of all sources and the sources that could not be used."""
-    errors = {
-        source: "missing tables: " + ", ".join(gone)
-        for source, needs in NEEDS.items()
-        if (gone := [t for t in needs if t not in tables])
+) -> tuple[DataFrame, dict[str, str], dict[str, float]]:
+    """Tagged evidence of all sources, the sources that could not be used, and the milliseconds of each source.
+
+    Each source is written once to the shared folder. One that lacks tables or fails is reported, and the others go on.
+    """
+    embedder = embedder or vectors.HashedTerms()
+    sources = {
+        "sql": lambda: union(
+            units(questions, tables, as_of), model(questions, tables, as_of), suppliers(questions, tables), records(questions, tables)
+        ),
+        "document": lambda: telemetry(questions, tables),
+        "vector": lambda: vector(questions, tables["collection"], embedder, k),
     }
-    frames = []
-    if "sql" not in errors:
-        frames += [
-            units(questions, tables, as_of), model(questions, tables, as_of), suppliers(questions, tables),
-            records(questions, tables),
-        ]
-    if "document" not in errors:
-        frames.append(telemetry(questions, tables))
-    if "vector" not in errors:
-        frames.append(vector(questions, tables["collection"], embedder or vectors.HashedTerms(), k))
+    frames, errors, timings = [], {}, {}
+    for source, gather in sources.items():
+        began = time.perf_counter()
+        gone = [t for t in NEEDS[source] if t not in tables]
+        if gone:
+            errors[source] = "missing tables: " + ", ".join(gone)
+        else:
+            try:
+                frames.append(materialize(gather(), f"evidence-{source}"))
+            except (PySparkException, Py4JError) as error:
+                errors[source] = "failed: " + (str(error).strip().splitlines() or [type(error).__name__])[0]
+        timings[f"{source}_ms"] = 1000 * (time.perf_counter() - began)
     if not frames:
-        raise ValueError("no source is available: " + "; ".join(errors.values()))
-    return tag(union(*frames)), errors
+        raise ValueError("no source is available: " + "; ".join(f"{s}: {e}" for s, e in errors.items()))
+    return tag(union(*frames)), errors, timings
 
 
 # Where the text of a fleet row states its counts; follows the template in model().

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,9 +18,11 @@ class Asked:
     answers: DataFrame
     citations: DataFrame
     errors: dict[str, str]
+    # Milliseconds by stage, with the names that the reports in ``metrics`` read.
+    timings: dict[str, float]
 
-    def runs(self, run_id: str) -> DataFrame:
-        """One nested record per question."""
+    def runs(self, run_id: str, llm_status: str = "extractive") -> DataFrame:
+        """One nested record per question. Timings are those of the whole batch of questions."""
         rows = self.evidence.groupBy("question_id").agg(
             F.collect_list(F.struct(*[c for c in self.evidence.columns if c != "question_id"])).alias("evidence")
         )
@@ -29,7 +32,10 @@ class Asked:
             self.answers.select("question_id", "question", "route", "sources", "reasons", "answer", "prompt")
             .join(rows, "question_id", "left")
             .join(cited, "question_id", "left")
-            .select(F.lit(run_id).alias("run_id"), "*", problems.alias("errors"))
+            .select(
+                F.lit(run_id).alias("run_id"), "*", problems.alias("errors"), F.lit(llm_status).alias("llm_status"),
+                *[F.lit(ms).alias(stage) for stage, ms in self.timings.items()],
+            )
         )
 
 
@@ -39,14 +45,27 @@ def ask(
 ) -> Asked:
     """Route, gather evidence, build prompts and answer from the evidence alone.
 
-    Evidence is written once to the shared folder: prompts, answers and checks all read it.
+    Every stage is written once to the shared folder and timed. A source that fails is reported, and the others go on.
     """
+    timings, began = {}, time.perf_counter()
+
+    def timed(stage: str, since: float) -> float:
+        now = time.perf_counter()
+        timings[stage] = 1000 * (now - since)
+        return now
+
     routed = materialize(router.route(questions), "routed")
-    found, errors = evidence.collect(routed, tables, as_of, embedder)
+    at = timed("routing_ms", began)
+    found, errors, by_source = evidence.collect(routed, tables, as_of, embedder)
     found = materialize(found, "evidence")
-    prompted = answers.build_prompt(routed, found)
-    answered = answers.extractive(prompted, found, reason)
-    return Asked(routed, found, answered, citations.check(answered, found), errors)
+    timings.update(by_source)
+    at = timed("retrieval_ms", at)
+    prompted = materialize(answers.build_prompt(routed, found), "prompts")
+    at = timed("prompt_ms", at)
+    answered = materialize(answers.extractive(prompted, found, reason), "answers")
+    timed("generation_ms", at)
+    timed("total_ms", began)
+    return Asked(routed, found, answered, citations.check(answered, found), errors, timings)
 
 
 def index_documents(

@@ -844,7 +844,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     tables = _tables(spark, sf_dir)
     routed = _routed(spark, sf_dir)
-    found, _ = evidence.collect(routed, tables, _as_of(), vectors.HashedTerms(32))
+    found, _, _ = evidence.collect(routed, tables, _as_of(), vectors.HashedTerms(32))
     return routed, materialize(found, "evidence"), tables
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import citations, evidence, router, suppliers, vectors
+from lodestone.operators import citations, evidence, metrics, router, suppliers, vectors
 from lodestone.plans.ask import ask, index_documents
 
 # The recorded questions. (question, intents, entities, sources)
@@ -107,7 +107,12 @@ def test_answers_and_verification(asked):
     for as_of in (day, None):
         verified = evidence.verify(result.evidence, data, as_of).collect()
         assert len(verified) == result.evidence.count() and all(r.verified for r in verified)
-    assert result.runs("20250101-000000").count() == len(GOLDENS)
+    runs = result.runs("20250101-000000")
+    assert runs.count() == len(GOLDENS)
+    report = {r.stage: r for r in metrics.stage_report(metrics.answered(runs)).collect()}
+    assert set(report) == set(metrics.STAGES)
+    assert report["total_ms"].p50 >= report["retrieval_ms"].p50 >= report["sql_ms"].p50 > 0
+    assert metrics.slo(runs).first().runs == len(GOLDENS)
 
 
 def test_false_counts_and_absent_tables_are_not_verified(spark, asked):
@@ -160,6 +165,15 @@ def test_missing_source_is_reported(spark, questions):
     assert result.evidence.filter("source = 'document'").count() == 0
 
 
+def test_failing_source_is_reported(spark, questions):
+    data = tables(spark)
+    data["telemetry"] = data["telemetry"].withColumn("fault_code", F.raise_error(F.lit("log store is down")).cast("string"))
+    result = ask(questions, data, F.lit("2025-01-01").cast("date"))
+    assert set(result.errors) == {"document"} and result.errors["document"].startswith("failed: ")
+    assert {r.source for r in result.evidence.select("source").distinct().collect()} == {"sql", "vector"}
+    assert result.answers.count() == len(GOLDENS)
+
+
 def test_units_are_found_by_both_ids_once(spark):
     units = spark.createDataFrame([("E1", "S1"), ("E2", "S2")], "equipment_id string, serial_number string")
     ids = spark.createDataFrame([(1, "E1"), (1, "S1"), (2, "S2"), (3, "zz")], "question_id long, id string")
