@@ -11,6 +11,8 @@ place from its rank among the pieces of its length, in parallel.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from bisect import bisect_right
@@ -40,16 +42,33 @@ NARROW = (
 )
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Id of each added token in the ``tokenizers`` file next to the ranks, none without such a file."""
+    file = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(file):
+        return {}
+    with open(file, encoding="utf-8") as f:
+        listed = json.load(f)["added_tokens"]
+    for token in listed:
+        if any(token[flag] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"only plain added tokens are matched, not {token}")
+    return {token["content"]: token["id"] for token in listed}
+
+
 class Encoder(dict):
     """Ids of a text as little-endian 32-bit bytes. Remembers the ids of up to ``room`` words.
 
     ``path`` is a file of ranks, which hold the vocabulary of the ``tokenizers`` file of the same name; a test compares
-    the ids. Texts with characters from U+0250 on go through the general pattern. The matcher of ``tiktoken`` fails on
+    the ids. Tokens of ``added`` have their own id wherever they stand in a text, which is cut there; without them a text
+    is words throughout. Texts with characters from U+0250 on go through the general pattern. The matcher of ``tiktoken`` fails on
     runs of a million blanks, so texts with long runs are cut into words here, which it then takes whole.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 300_000, added: dict[str, int] | None = None):
         super().__init__()
+        self.added = {token: np.array([n], "<u4").tobytes() for token, n in (added or {}).items()}
+        # The leftmost token counts, of several at one place the longest.
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))).join("()"))
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, open(path, "rb"))}
         self.ranks, self.bpe = ranks, self.merges(ranks, public_tokenizers.PATTERN)
         self.words, self.wide, self.room = re.compile(NARROW).findall, re.compile("[^\x00-\u024f]").search, room
@@ -65,6 +84,12 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> bytes:
+        if not any(token in text for token in self.added):
+            return self.plain(text)
+        parts = self.marks.split(text)
+        return b"".join(self.added[part] if i % 2 else self.plain(part) for i, part in enumerate(parts))
+
+    def plain(self, text: str) -> bytes:
         if len(text) >= LONG_RUN and self.long_run(text):
             whole = self.merges(self.ranks, r"[\s\S]+")
             words = regex.findall(public_tokenizers.PATTERN, text)
@@ -87,7 +112,7 @@ def pieces(docs: DataFrame, id: str, text: str, capacity: int, path: str) -> Dat
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, added=added_tokens(path))
         for batch in batches:
             rows = []
             for key, value in zip(batch["id"].to_numpy(dtype=object, na_value=None), batch["text"]):

@@ -235,6 +235,23 @@ def test_encoder_matches_tokenizer():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_takes_added_tokens_inside_texts(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, mark * 3, f"  {mark}  x\n{mark}", f"語 {mark}語", f"<{mark}|endoftext|>", "<|endoftext|", f"{' ' * 20_000}{mark}{' ' * 20_000}z", f"one {mark} two " * 700]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = set()
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
+        edges = [0, *range(first, len(ids) + 1, 1024)]
+        want |= {(i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for a, b in zip(edges, edges[1:])}
+    assert {(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+
+
 def test_best_two_fit_exchanges_the_smallest():
     counts = np.zeros(11, np.int64)
     for n in (6, 3, 2, 2):
