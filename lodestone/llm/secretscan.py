@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Both models are first-order chains over the characters of ALPHABET, estimated from labelled samples. A candidate is a
-run of such characters that overlaps no pattern's match; it is a secret if its log-likelihood ratio, random against
-ordinary, reaches ``min_ratio``. All steps are DataFrame functions, and texts are not shuffled. Positions are code
+run of such characters outside the patterns' matches, which cut longer runs; it is a secret if its log-likelihood ratio,
+random against ordinary, reaches ``min_ratio``. All steps are DataFrame functions, and texts are not shuffled. Positions are code
 points, ends are exclusive.
 """
 
@@ -120,25 +120,40 @@ def labelled_samples(docs: DataFrame, id: str = "doc_id", text: str = "text", sa
     return ordinary.unionByName(numbers).unionByName(ids.select(F.explode(forms).alias("text"), F.lit(True).alias("random")))
 
 
-def _overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def _blanked(text: Column, found: Column) -> Column:
+    """``text`` with a blank for each character of the spans, which are sorted by start. Positions stay."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        begin = F.greatest(state["at"], s["start"])
+        new = F.array(F.substring(text, state["at"] + 1, begin - state["at"]), F.repeat(F.lit(" "), s["end"] - begin))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], new).alias("out"))
+
+    def whole(state: Column) -> Column:
+        return F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+
+    return F.when(F.size(found) > 0, F.aggregate(found, zero, step, whole)).otherwise(text)
+
+
+def base_spans(text: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:
+    """Spans of ``kinds``, sorted by start and then in the order of ``kinds``."""
+    return F.array_sort(F.flatten(F.array(*(matches(text, kind, i) for i, kind in enumerate(kinds)))))
 
 
-def spans(text: Column, model: Markov, kinds: tuple[Kind, ...] = KINDS, min_ratio: float = MIN_RATIO) -> tuple[Column, Column]:
-    """(spans of ``kinds``, those the model adds), each sorted by start and then in the order of ``kinds``."""
-    base = F.array_sort(F.flatten(F.array(*(matches(text, kind, i) for i, kind in enumerate(kinds)))))
-    found = matches(text, CANDIDATE, len(kinds))
-    added = F.filter(found, lambda s: (model.ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"])) >= min_ratio))
-    return base, added
+def added_spans(text: Column, model: Markov, rank: int = len(KINDS), min_ratio: float = MIN_RATIO) -> Column:
+    """Spans the model adds in ``text``, whose pattern matches are blanked already."""
+    found = matches(text, CANDIDATE, rank)
+    return F.filter(found, lambda s: (model.ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"])) >= min_ratio))
 
 
 def _with_spans(docs: DataFrame, model: Markov, text: str, min_ratio: float) -> tuple[DataFrame, str, str]:
     """``docs`` with the columns of base and added spans, whose names are returned."""
     base_name, added_name = spare(docs, "base_spans"), spare(docs, "added_spans")
     value = F.coalesce(F.col(text), F.lit(""))
-    base, added = spans(value, model, min_ratio=min_ratio)
-    out = docs.withColumn(base_name, base).withColumn(added_name, added)
-    return out.withColumn(added_name, F.filter(added_name, lambda s: ~_overlaps(s, F.col(base_name)))), base_name, added_name
+    out = docs.withColumn(base_name, base_spans(value))
+    # The column of added spans holds the blanked text first.
+    out = out.withColumn(added_name, _blanked(value, F.col(base_name)))
+    return out.withColumn(added_name, added_spans(F.col(added_name), model, min_ratio=min_ratio)), base_name, added_name
 
 
 def _joined(found: Column) -> Column:
