@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.llm.tables import LOWER, spare
-from lodestone.session import materialize
+from lodestone.session import broadcast_if_small, materialize
 
 SEED = 42  # of the hash in the contract, and of the random references
 REFERENCES = np.random.default_rng(SEED).integers(0, 2**64, 8, dtype=np.uint64)
@@ -199,6 +199,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def grouped(docs: DataFrame, id: str, text: str, width: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every row, written; and fp, id, root and component_id of every row. The root names the component."""
+    rows = materialize(fingerprints(docs, id, text, width), "fingerprints")
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("low"))
+    found = components(links(nodes.select("fp"), max_bits)).withColumnsRenamed({"node": "fp"})
+    linked = nodes.join(found, "fp")
+    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    linked = linked.join(lowest, "root").select("fp", "root", "component_id")
+    nodes = nodes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id")
+    )
+    # Written, so that the join below is one of two plain shuffles, whose hot partitions Spark can split.
+    return rows, rows.join(materialize(nodes, "components"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
     """One row for each row of ``docs``: the id, fingerprint (16 hex digits) and component_id, the smallest id that
     links of at most ``max_bits`` differing bits reach, its own included.
@@ -207,22 +222,29 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     share fingerprint 0. A row without an id gets the smallest id of its component, null if that has none. An empty
     table gives no rows.
     """
-    rows = materialize(fingerprints(docs, id, text, width), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("low"))
-    found = components(links(nodes.select("fp"), max_bits)).withColumnsRenamed({"node": "fp"})
-    linked = nodes.join(found, "fp")
-    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = linked.join(lowest, "root").select("fp", "component_id")
-    nodes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    # Written, so that the join below is one of two plain shuffles, whose hot partitions Spark can split.
-    out = rows.join(materialize(nodes, "components"), "fp")
+    _, out = grouped(docs, id, text, width, max_bits)
     return out.select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row of each component, that of the smallest id, with the columns of ``docs``. Of rows that share an id one
-    stays. Rows without an id stay as they are, since nothing names them."""
-    groups = near_duplicates(docs.where(F.col(id).isNotNull()), id, text, width, max_bits)
-    winners = groups.where(F.col(id) == F.col("component_id")).select(id).distinct()
-    kept = docs.join(winners, id, "left_semi").dropDuplicates([id])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id).isNull()))
+    """One row of each component, that of the smallest id, with the columns of ``docs``. Of rows of the component that
+    share this id, the smallest fingerprint's stays, one of them; rows of other components that share it are theirs.
+    Rows without an id stay as they are, since nothing names them."""
+    rows, groups = grouped(docs.where(F.col(id).isNotNull()), id, text, width, max_bits)
+    winners = groups.where("id = component_id").groupBy("root").agg(F.min("fp").alias("fp"), F.min("id").alias("id"))
+    winners = materialize(winners.select("id", "fp"), "winners")
+    # Ids of several fingerprints say too little about a row; the fingerprint is worked out again for their rows only.
+    several = rows.groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("id")
+    several = materialize(winners.join(several, "id", "left_semi"), "several")
+    key, fp = F.col("id").alias(id), spare(docs, "fp")
+    if several.isEmpty():
+        kept = docs.join(winners.select(key), id, "left_semi").dropDuplicates([id]).select(*docs.columns)
+    else:
+        single = winners.join(several, "id", "left_anti").select(key)
+        kept = docs.join(single, id, "left_semi").dropDuplicates([id]).select(*docs.columns)
+        marked = docs.join(broadcast_if_small(several.select(key).distinct()), id, "left_semi")
+        again = F.pandas_udf(lambda texts: pd.Series([fingerprint(t, width) for t in texts], dtype="int64"), "long")
+        marked = marked.withColumn(fp, again(F.col(text)))
+        marked = marked.join(several.select(key, F.col("fp").alias(fp)), [id, fp], "left_semi").dropDuplicates([id, fp])
+        kept = kept.unionByName(marked.select(*docs.columns))
+    return kept.unionByName(docs.where(F.col(id).isNull()))

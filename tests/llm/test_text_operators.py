@@ -130,6 +130,19 @@ def test_simhash_groups(docs, nothing):
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x)) == [*want, None]
 
 
+def test_keep_one_decides_rows_that_share_an_id(spark):
+    a, b, c = (brute_fingerprint(t) for t in (PROSE[0], PROSE[2], PROSE[4]))
+    assert len(set(brute_components([a, b, c]))) == 3
+    rows = [
+        (5, PROSE[0]), (5, PROSE[2]), (5, PROSE[2]),  # unrelated texts, one of them twice
+        (7, PROSE[4]), (9, PROSE[4]), (9, " ".join(f"apart{i}" for i in range(90))),  # 9 has a copy of 7 and a text of its own
+        (11, "nothing like the others " + " ".join(map(str, range(50)))), (None, PROSE[0]),
+    ]
+    kept = simhash.keep_one(crowded(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    found = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    assert found == sorted((i or 0, t) for i, t in [rows[0], rows[1], rows[3], rows[5], rows[6], rows[7]])
+
+
 def test_simhash_links_chains_and_crowded_cells(spark):
     rng = np.random.default_rng(5)
     prints = [int(x) for x in rng.integers(0, 2**64, 60, dtype=np.uint64)]
