@@ -22,6 +22,13 @@ SYMBOLS = b"#*$%&|<>"
 # From the start of a word to its first letter.
 HAS_LETTER = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?[^\W\d_]")
 
+# Scripts that are written without spaces between words, and their punctuation: Thai to Tibetan, Myanmar, Khmer, and
+# Chinese and Japanese.
+UNSPACED = re.compile(
+    "[\u0e00-\u109f\u1780-\u17ff\u19e0-\u19ff\u2e80-\u312f\u31a0-\u4dbf\u4e00-\ua4cf\ua9e0-\ua9ff\uaa60-\uaa7f"
+    "\uf900-\ufaff\ufe30-\ufe4f\uff00-\uff9f\uffe0-\uffee\U0001aff0-\U0001b16f\U00020000-\U0003ffff]+"
+)
+
 
 class Measures:
     """What the rules look at in one text; each measure is computed when first asked for. A null text counts as empty."""
@@ -46,6 +53,10 @@ class Measures:
         """Code points in words: all but the white space between them."""
         return len(self.text) - (len(self.data) - len(self.data.translate(None, SPACES)))
 
+    @cached_property
+    def n_unspaced(self) -> int:
+        return sum(map(len, UNSPACED.findall(self.text)))
+
     @cached_property
     def n_symbols(self) -> int:
         return len(self.data) - len(self.data.translate(None, SYMBOLS))
@@ -92,11 +103,20 @@ BASE_RULES = (
     Rule("few_words", lambda m: m.n_words < 50),
     Rule("repeated_words", lambda m: 100 * m.n_repeat_words > 50 * m.n_words),
 )
+
+
+def word_length(m: Measures) -> bool:
+    """The upper limit is on scripts with spaces; in the others, what stands between spaces is no word."""
+    if 2 * m.n_words > m.word_chars:
+        return True
+    return m.word_chars > 15 * m.n_words and m.word_chars - m.n_unspaced > 15 * m.n_words
+
+
 # Limits lie far outside what prose in any of the alphabets reaches, so that clean documents stay.
 RULES = BASE_RULES + (
     Rule("symbols", lambda m: 10 * m.n_symbols > m.n_words),
     Rule("repeated_lines", lambda m: 10 * m.n_dup_lines > 4 * len(m.lines)),
-    Rule("word_length", lambda m: not 2 * m.n_words <= m.word_chars <= 15 * m.n_words),
+    Rule("word_length", word_length),
     Rule("unlettered_words", lambda m: 10 * m.n_lettered < 6 * m.n_words),
     Rule("capitals", lambda m: 2 * m.n_upper > m.word_chars),
 )

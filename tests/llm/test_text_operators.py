@@ -82,6 +82,18 @@ def test_quality_cascade_keeps_columns_and_verdicts(docs, nothing):
     assert quality.apply_rules(nothing).count() == 0 and quality.judge(nothing).count() == 0
 
 
+def test_quality_keeps_prose_in_scripts_without_spaces(spark):
+    rng = np.random.default_rng(6)
+    prose = lambda first, last, n: " ".join("".join(map(chr, rng.integers(first, last, n))) for _ in range(80))
+    texts = [
+        prose(0x4E00, 0x9FA5, 40) + "。", prose(0x3041, 0x3094, 30) + "、", prose(0xE01, 0xE2F, 25), prose(0x1780, 0x17A2, 25),
+        prose(0x61, 0x7A, 40), prose(0x430, 0x44F, 25), prose(0xAC00, 0xD7A3, 20), prose(0x4E00, 0x9FA5, 4) + prose(0x61, 0x7A, 40),
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in quality.apply_rules(frame).collect()) == [0, 1, 2, 3]
+    assert {r["doc_id"] for r in quality.judge(frame).collect() if r["kept"]} == {0, 1, 2, 3}
+
+
 def test_quality_order_is_gain():
     rules = quality.RULES[:3]
     found = [quality.Estimate(rules[0].name, 1.0, 0.1), quality.Estimate(rules[2].name, 0.1, 0.1), quality.Estimate(rules[1].name, 10.0, 0.9)]
