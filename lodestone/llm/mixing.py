@@ -91,7 +91,7 @@ def mix(
 
     Ordered by mix_at, any prefix holds the sources in the weights, up to a block. Rows start while budget is left, so a
     source exceeds its budget by less than a row. Repeated rows are scheduled each for itself, null sources are a source,
-    null texts have one token. An empty table gives no rows. A name that ``docs`` uses itself gets an underscore behind.
+    null texts have one token. Blocks are dealt by id and text, so only rows that are equal in both share a block. An empty table gives no rows. A name that ``docs`` uses itself gets an underscore behind.
     """
     names = [spare(docs, name) for name in ("mix_tokens", "mix_epoch", "mix_block", "mix_place", "mix_at")]
     size = tokens(F.col(text))
@@ -102,13 +102,15 @@ def mix(
     )
     planned = broadcast_if_small(materialize(planned, "budgets"))
     row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
-    dealt = docs.select(row, F.col(id).alias("id"), source_key(source).alias("key"), size.alias("size"))
+    # By text as well, so that null and repeated ids spread over the blocks.
+    card = F.xxhash64(F.col(id), F.col(text), F.lit(seed)).alias("card")
+    dealt = docs.select(row, F.col(id).alias("id"), card, source_key(source).alias("key"), size.alias("size"))
     dealt = dealt.join(planned.select("key", "blocks"), "key")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks"))).drop("blocks")
+    dealt = dealt.withColumn("block", F.pmod("card", "blocks")).drop("blocks")
 
     # Blocks are rows of their own: which passes they take part in, and the tokens of the schedule before them.
-    narrow = docs.select(F.col(id).alias("id"), source_key(source).alias("key"), size.alias("size")).join(planned.select("key", "blocks"), "key")
-    narrow = narrow.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")))
+    narrow = docs.select(card, source_key(source).alias("key"), size.alias("size")).join(planned.select("key", "blocks"), "key")
+    narrow = narrow.withColumn("block", F.pmod("card", "blocks"))
     blocks = narrow.groupBy("key", "block").agg(F.sum("size").alias("tokens"))
     passes = F.explode(F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("size")).cast("int"))).alias("epoch")
     blocks = blocks.join(planned, "key").select("key", "block", "tokens", "size", "budget", passes)
@@ -119,7 +121,7 @@ def mix(
         (F.col("epoch") * F.col("size") + earlier).alias("before"),
     ).where("before < budget")
 
-    inside = Window.partitionBy("key", "block", "epoch").orderBy(F.xxhash64("id", "epoch", F.lit(seed + 2)), "id", "size")
+    inside = Window.partitionBy("key", "block", "epoch").orderBy(F.xxhash64("card", "epoch", F.lit(seed + 2)), "id", "size")
     spent = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = dealt.join(blocks, ["key", "block"]).select(
         "row", "size", "epoch", "mix_block", "budget", (F.row_number().over(inside) - 1).cast("long").alias("place"),

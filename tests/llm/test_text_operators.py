@@ -418,6 +418,14 @@ def test_mixing_meets_the_limit_and_keeps_all(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_spreads_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 else 1, f"text number {i}", "s") for i in range(600)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_tokens=100).collect()
+    assert sorted(r["text"] for r in mixed) == sorted(t for _, t, _ in rows)
+    largest = max(collections.Counter((r["mix_epoch"], r["mix_block"]) for r in mixed).values())
+    assert largest < 60  # of 25 on average
+
+
 def test_temperature_targets(spark):
     sources = spark.createDataFrame([("a", 0.7), ("b", 0.2), ("c", 0.1)], "key string, share double")
     found = mixing.temperature(sources, target_entropy=1.0)
