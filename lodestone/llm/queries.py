@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with production parameters over whole tables, and their SQL."""
+"""Registered queries of the operators, with production parameters over whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodestone.llm import ann, chat, langid, lm, mixing, packing, quality, secretscan, simhash, urlfilter
+from lodestone.llm import ann, chat, codes, langid, lm, mixing, negatives, packing, quality, secretscan, simhash, urlfilter, warc
 from lodestone.llm.tables import crc_mod, read
+from lodestone.session import broadcast_if_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,11 +72,32 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op11_adaptive_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    sums = found.rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return found.rows.join(broadcast_if_small(sums), F.col("label").eqNullSafe(F.col("of")), "left").select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256")
+    )
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    return warc.read(warc.write(pages)).select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_perspectives, op3_url_filter, op4_best_two_fit, op5_deleted_interpolation, op6_block_join,
-        op7_temperature_mix, op8_secret_scan, op9_simhash, op10_quality,
+        op7_temperature_mix, op8_secret_scan, op9_simhash, op10_quality, op11_adaptive_codes, op12_warc, op13_hard_negatives,
     )
 }
 
@@ -91,6 +113,54 @@ def _rule_case(value: Callable[[urlfilter.Rule], str]) -> str:
     return "CASE " + " ".join(whens) + " END"
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_GRID = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+_ROUNDS = 2
+
+
+def _nearest(book: str) -> str:
+    """The nearest entry of every part: (row, part, entry, distance)."""
+    return f"""(
+        SELECT n, part, d // 64 AS distance, d % 64 AS entry FROM (
+            SELECT p.n, p.part, min(64 * list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + b.entry) AS d
+            FROM parts p JOIN {book} b ON p.part = b.part GROUP BY p.n, p.part
+        )
+    )"""
+
+
+def _codes_sql() -> str:
+    """Every round as CTEs of its own: assignments a1, a2, ..., books b0, b1, ..."""
+    steps = []
+    for r in range(_ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED {_nearest(f'b{r}')}")
+        if r < _ROUNDS:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+                SELECT part, entry, list(v ORDER BY j) AS v FROM (
+                    SELECT b.part, b.entry, b.j, coalesce((s.total - ((s.total % s.n) + s.n) % s.n) // s.n, b.v) AS v
+                    FROM (SELECT part, entry, unnest(v) AS v, unnest(range(len(v))) AS j FROM b{r}) b LEFT JOIN (
+                        SELECT part, entry, j, sum(x)::BIGINT AS total, count(*) AS n FROM (
+                            SELECT a.part, a.entry, unnest(p.v) AS x, unnest(range(len(p.v))) AS j
+                            FROM a{r} a JOIN parts p ON a.n = p.n AND a.part = p.part
+                        ) GROUP BY ALL
+                    ) s USING (part, entry, j)
+                ) GROUP BY part, entry
+            )""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, {_GRID}) AS n, vec_id, label, {_GRID} AS g FROM embeddings WHERE {_FINITE}
+        ), parts AS MATERIALIZED (
+            SELECT n, part, g[part * (len(g) // 16) + 1 : (part + 1) * (len(g) // 16)] AS v FROM kept, range(16) t(part)
+        ), b0 AS MATERIALIZED (SELECT part, n - 1 AS entry, v FROM parts WHERE n <= 64), {", ".join(steps)},
+        coded AS (
+            SELECT n, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(distance)::BIGINT AS error FROM a{_ROUNDS} GROUP BY n
+        ), digest AS (
+            SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{_ROUNDS}
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM kept JOIN coded USING (n), digest
+    """
+
+
 SQL = {
     "op2_perspectives": rf"""
         WITH m AS (
@@ -148,4 +218,35 @@ SQL = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op11_adaptive_codes": _codes_sql(),
+    "op12_warc": """
+        WITH records AS (
+            SELECT page_id, coalesce(html, '') AS body, row_number() OVER () AS n FROM pages
+        ), placed AS (
+            SELECT *, octet_length(encode(body)) AS payload_bytes,
+                row_number() OVER (PARTITION BY body ORDER BY page_id DESC NULLS LAST, n DESC) = 1 AS newest,
+                max(page_id) OVER (PARTITION BY body) AS top
+            FROM records
+        )
+        SELECT page_id, payload_bytes, sha1(body) AS payload_digest,
+            CASE WHEN newest OR payload_bytes < 1000 THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN newest OR payload_bytes < 1000 THEN NULL ELSE top END AS refers_to
+        FROM placed
+    """,
+    "op13_hard_negatives": f"""
+        WITH rows_ AS MATERIALIZED (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_GRID} AS g, row_number() OVER () AS n
+            FROM embeddings WHERE label IS NOT NULL AND {_FINITE}
+        ), scored AS MATERIALIZED (
+            SELECT a.n AS anchor, a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, list_sum(list_transform(list_zip(a.g, c.g), lambda z: z[1] * z[2]))::BIGINT AS score
+            FROM rows_ a JOIN rows_ c ON a.vec_id % 100 = 0 AND a.n <> c.n AND len(a.g) = len(c.g)
+        ), positives AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS place FROM scored WHERE same) WHERE place <= 5
+        ), ranked AS (
+            SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                CAST(row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id NULLS LAST) AS INT) AS rank
+            FROM positives p JOIN scored s ON p.anchor = s.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+    """,
 }
