@@ -974,13 +974,17 @@ def citation_coverage(spark, sf_dir):
 
 @register
 def stream_telemetry(spark, sf_dir):
-    from lodestone.session import shared_dir
+    """Outdated documents first, then all documents in five files, a file a batch; the later ones win."""
+    from lodestone.session import scratch
     from lodestone.streaming import ingest
-    import uuid
 
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    _json_lines(spark, sf_dir).select("value").write.text(f"{base}/in")
-    ingest.ingest_telemetry(spark, f"{base}/in", f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    base = scratch(spark, "stream")
+    lines = _json_lines(spark, sf_dir).select("value")
+    stale = lines.where(F.get_json_object("value", "$.telemetry.soc_percent").cast("double") > 50)
+    stale = stale.select(F.regexp_replace("value", '"temperature_c":[^,}]*', '"temperature_c":-1').alias("value"))
+    for files in (stale.repartition(2), lines.repartition(5)):
+        files.write.mode("append").text(f"{base}/in")
+        ingest.ingest_telemetry(spark, f"{base}/in", f"{base}/log", f"{base}/checkpoint", max_files=1).awaitTermination()
     return ingest.current_telemetry(spark, f"{base}/log").select(
         "log_id", "model_code", "fault_code", F.col("telemetry.temperature_c").alias("temperature_c")
     )
