@@ -103,7 +103,9 @@ SQL["untrimmed_rows"] = cte(*_ALL_RAW) + " " + " UNION ALL ".join(
 )
 SQL["table_sample"] = "SELECT * FROM customer ORDER BY c_name LIMIT 5"
 
-SQL["bronze_csv"] = cte("raw_parts") + " SELECT part_id, part_name, supplier, unit_cost, true AS numbered FROM raw_parts"
+SQL["bronze_csv"] = cte("raw_parts") + """ SELECT part_id,
+    CASE WHEN source_row % 7 = 0 THEN part_name || chr(10) || 'and "more",' || chr(10) ELSE part_name END AS part_name,
+    supplier, unit_cost, row_number() OVER (ORDER BY source_row) + 1 AS source_row FROM raw_parts"""
 
 # ---- cleaners
 

@@ -156,16 +156,16 @@ def table_sample(spark, sf_dir):
 
 @register
 def bronze_csv(spark, sf_dir):
-    """Parts written as CSV and read back as text, with row numbers that start at 2 in every file."""
-    import uuid
-
-    from lodestone.session import shared_dir
+    """Parts written as CSV files, some names with line breaks and quotes, and read back as text with their numbers."""
+    from lodestone.session import scratch
     from lodestone.sources import bronze, sinks
 
-    path = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
-    sinks.write_csv(frame(spark, sf_dir, "raw_parts").drop("source_row"), path)
-    rows = bronze.with_source_row(bronze.read_csv(spark, path, "parts", multiline=False))
-    return rows.select("part_id", "part_name", "supplier", "unit_cost", (F.col("source_row") > 1).alias("numbered"))
+    path = scratch(spark, "parts")
+    broken = F.when(F.col("source_row") % 7 == 0, F.concat(F.col("part_name"), F.lit('\nand "more",\n'))).otherwise(F.col("part_name"))
+    parts = frame(spark, sf_dir, "raw_parts").withColumn("part_name", broken)
+    sinks.write_csv(parts.repartitionByRange(4, "source_row").sortWithinPartitions("source_row").drop("source_row"), path)
+    rows = bronze.read_csv(spark, path, "parts")
+    return rows.select("part_id", "part_name", "supplier", "unit_cost", _long("source_row"))
 
 
 # ---- cleaners
