@@ -73,24 +73,34 @@ def span(col: str, prefix: str) -> list[Column]:
     return [F.min(col).alias(f"first_{prefix}"), F.max(col).alias(f"last_{prefix}")]
 
 
-def surrogate_id(df: DataFrame, order: list[str], name: str, start: int = 1, partitions: int | None = None) -> DataFrame:
-    """Consecutive ids in key order, without a window over the whole table.
+def ranged(df: DataFrame, order: list[str], partitions: int | None = None, name: str = "ranged") -> DataFrame:
+    """Rows in ranges of ``order``, written once: ``_part`` is the range, ``_at`` the place in it from 0.
 
-    Rows are range-partitioned and sorted, written once, and each partition gets the number of rows
-    before it. Only one count per partition is gathered.
+    Rows that are equal in ``order`` share a range, whatever their number.
     """
-    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    placed = ranged.sortWithinPartitions(*order).select(
+    ranges = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    placed = ranges.sortWithinPartitions(*order).select(
         "*",
         F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
     )
-    placed = materialize(placed, "ids")
+    return materialize(placed, name)
+
+
+def surrogate_id(df: DataFrame, order: list[str], name: str, start: int = 1, partitions: int | None = None) -> DataFrame:
+    """Consecutive ids in key order, without a window over the whole table.
+
+    Rows are range-partitioned and sorted, written once, and each partition gets the number of rows
+    before it. Only one count per partition is gathered. Equal keys are spread by a random number, so that copies of one
+    key do not share a task.
+    """
+    spread = df.withColumn("_spread", F.rand(seed=1))
+    placed = ranged(spread, [*order, "_spread"], partitions, "ids").drop("_spread")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_part").agg(F.count("*").alias("_rows")).select(
         "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
-    numbered = placed.join(F.broadcast(offsets), "_part")
+    numbered = placed.join(F.broadcast(offsets), "_part")  # a row for each partition
     return numbered.withColumn(name, F.col("_offset") + F.col("_at") + F.lit(start)).drop(
         "_part", "_at", "_offset"
     )

@@ -8,7 +8,7 @@ from lodestone.operators import router, suppliers
 from lodestone.operators.profile import MONEY_COLUMNS
 from lodestone.plans.derive import cte
 from lodestone.plans.queries import AS_OF, COUNTED
-from lodestone.sources.schemas import RAW_COLUMNS, RAW_FOREIGN_KEYS, RULES
+from lodestone.sources.schemas import AUDIT_FIELDS, RAW_COLUMNS, RAW_FOREIGN_KEYS, RULES
 
 SQL: dict[str, str] = {}
 
@@ -323,14 +323,15 @@ SELECT dispatch_id, equipment_id, model AS equipment_model, serial_number, dispa
 FROM logs JOIN equipment_units USING (equipment_id)"""
 _KEYS = ("[dispatch_id, equipment_id, dispatch_date, technician, service_type, hours_spent, labor_cost, "
          "resolution_summary, status]")
+_FRESH = "service_type = 'Emergency Repair'"
 SQL["audit_capture"] = cte("service_logs") + f""" SELECT dispatch_id AS record_id, 'loader' AS database_user,
-    'service_logs' AS table_name,
-    CASE WHEN service_type = 'Emergency Repair' THEN 'INSERT' ELSE 'UPDATE' END AS operation_type,
-    CASE WHEN service_type = 'Emergency Repair' THEN 'New service log created'
+    'service_logs' AS table_name, CASE WHEN {_FRESH} THEN 'INSERT' ELSE 'UPDATE' END AS operation_type,
+    CASE WHEN {_FRESH} THEN 'New service log created'
         ELSE 'Service log changed; pre-change and post-change values captured' END AS change_description,
-    CASE WHEN service_type = 'Emergency Repair' THEN NULL ELSE status END AS old_status,
-    'Completed' AS new_status, resolution_summary AS new_resolution, '{_KEYS}' AS keys
-FROM service_logs WHERE service_type = 'Emergency Repair' OR status = 'In Progress'"""
+    {", ".join(f"CASE WHEN {_FRESH} THEN NULL ELSE CAST({f} AS VARCHAR) END AS old_{f}" for f in AUDIT_FIELDS)},
+    {", ".join(f"CAST({f} AS VARCHAR) AS new_{f}" for f in AUDIT_FIELDS if f != "status")},
+    'Completed' AS new_status, '{_KEYS}' AS keys
+FROM service_logs WHERE {_FRESH} OR status = 'In Progress'"""
 SQL["audit_change_feed"] = cte("service_logs") + """ SELECT dispatch_id AS record_id,
     CASE WHEN service_type = 'Emergency Repair' THEN 'INSERT' ELSE 'UPDATE' END AS operation_type,
     CAST(1 AS BIGINT) AS place, '2024-01-01' AS "at",

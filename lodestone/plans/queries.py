@@ -15,7 +15,7 @@ from lodestone.plans.cleanse import cleanse
 from lodestone.plans.derive import frame, raw_tables, read, silver_tables, telemetry
 from lodestone.session import materialize
 from lodestone.sources import documents, telemetry as telemetry_source
-from lodestone.sources.schemas import RAW_FOREIGN_KEYS, RULES
+from lodestone.sources.schemas import AUDIT_FIELDS, RAW_FOREIGN_KEYS, RULES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -370,9 +370,8 @@ def audit_capture(spark, sf_dir):
     entries = audit.capture(old, new, user=F.lit("loader"), ts=F.lit("2024-01-01").cast("date"))
     return entries.select(
         "record_id", "database_user", "table_name", "operation_type", "change_description",
-        F.get_json_object("old_values", "$.status").alias("old_status"),
-        F.get_json_object("new_values", "$.status").alias("new_status"),
-        F.get_json_object("new_values", "$.resolution_summary").alias("new_resolution"),
+        *(F.get_json_object("old_values", f"$.{f}").alias(f"old_{f}") for f in AUDIT_FIELDS),
+        *(F.get_json_object("new_values", f"$.{f}").alias(f"new_{f}") for f in AUDIT_FIELDS),
         F.json_object_keys("new_values").cast("string").alias("keys"),
     )
 
