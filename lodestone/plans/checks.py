@@ -323,13 +323,17 @@ SELECT dispatch_id, equipment_id, model AS equipment_model, serial_number, dispa
 FROM logs JOIN equipment_units USING (equipment_id)"""
 _KEYS = ("[dispatch_id, equipment_id, dispatch_date, technician, service_type, hours_spent, labor_cost, "
          "resolution_summary, status]")
+def _plain(field: str) -> str:
+    return "DOUBLE" if field in ("hours_spent", "labor_cost") else "VARCHAR"
+
+
 _FRESH = "service_type = 'Emergency Repair'"
 SQL["audit_capture"] = cte("service_logs") + f""" SELECT dispatch_id AS record_id, 'loader' AS database_user,
     'service_logs' AS table_name, CASE WHEN {_FRESH} THEN 'INSERT' ELSE 'UPDATE' END AS operation_type,
     CASE WHEN {_FRESH} THEN 'New service log created'
         ELSE 'Service log changed; pre-change and post-change values captured' END AS change_description,
-    {", ".join(f"CASE WHEN {_FRESH} THEN NULL ELSE CAST({f} AS VARCHAR) END AS old_{f}" for f in AUDIT_FIELDS)},
-    {", ".join(f"CAST({f} AS VARCHAR) AS new_{f}" for f in AUDIT_FIELDS if f != "status")},
+    {", ".join(f"CASE WHEN {_FRESH} THEN NULL ELSE CAST({f} AS {_plain(f)}) END AS old_{f}" for f in AUDIT_FIELDS)},
+    {", ".join(f"CAST({f} AS {_plain(f)}) AS new_{f}" for f in AUDIT_FIELDS if f != "status")},
     'Completed' AS new_status, '{_KEYS}' AS keys
 FROM service_logs WHERE {_FRESH} OR status = 'In Progress'"""
 SQL["audit_change_feed"] = cte("service_logs") + """ SELECT dispatch_id AS record_id,

@@ -370,8 +370,10 @@ def audit_capture(spark, sf_dir):
     entries = audit.capture(old, new, user=F.lit("loader"), ts=F.lit("2024-01-01").cast("date"))
     return entries.select(
         "record_id", "database_user", "table_name", "operation_type", "change_description",
-        *(F.get_json_object("old_values", f"$.{f}").alias(f"old_{f}") for f in AUDIT_FIELDS),
-        *(F.get_json_object("new_values", f"$.{f}").alias(f"new_{f}") for f in AUDIT_FIELDS),
+        *(
+            F.get_json_object(f"{when}_values", f"$.{f}").cast("double" if f in ("hours_spent", "labor_cost") else "string").alias(f"{when}_{f}")
+            for when in ("old", "new") for f in AUDIT_FIELDS
+        ),
         F.json_object_keys("new_values").cast("string").alias("keys"),
     )
 
