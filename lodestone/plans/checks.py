@@ -524,27 +524,6 @@ _TOPK = _CENTROIDS + f""" SELECT query_id, vec_id, {_SCORE} AS score,
 FROM q, embeddings QUALIFY rank <= 5"""
 SQL["vector_topk"] = SQL["vector_topk_blocks"] = _TOPK
 SQL["vector_normalize"] = """SELECT vec_id, CAST(1 AS DOUBLE) AS unit_norm, CAST(1 AS DOUBLE) AS self_cosine FROM embeddings"""
-SQL["build_collection"] = """SELECT vec_id, source, lang, CAST(len(embedding) AS BIGINT) AS dimension
-FROM embeddings JOIN documents ON doc_id = vec_id"""
-_COLLECTION = _CENTROIDS + """, c AS (SELECT vec_id, embedding, source, CASE lang WHEN 'en' THEN 'ERR_INV_404'
-    WHEN 'fr' THEN 'ERR_FUSE_001' END AS code FROM documents JOIN embeddings ON doc_id = vec_id)"""
-SQL["vector_filtered"] = _COLLECTION + f""" SELECT query_id, vec_id, {_SCORE} AS score, round(1 - {_SCORE}, 6) AS distance,
-    row_number() OVER (PARTITION BY query_id ORDER BY {_SCORE} DESC, vec_id) AS rank, source
-FROM q, c WHERE code = 'ERR_INV_404' QUALIFY rank <= 5"""
-SQL["vector_by_code"] = _COLLECTION + f""" SELECT query_id, code, vec_id, {_SCORE} AS score,
-    row_number() OVER (PARTITION BY query_id, code ORDER BY {_SCORE} DESC, vec_id) AS rank
-FROM q, c WHERE code IS NOT NULL QUALIFY rank <= 2"""
-SQL["vector_fuse"] = _COLLECTION + f""", hits AS (
-    SELECT query_id, vec_id, {_SCORE} AS score, 0 AS priority,
-        row_number() OVER (PARTITION BY query_id ORDER BY {_SCORE} DESC, vec_id) AS rk
-    FROM q, c WHERE code = 'ERR_FUSE_001' QUALIFY rk <= 2
-    UNION ALL SELECT query_id, vec_id, {_SCORE}, 1, row_number() OVER (PARTITION BY query_id ORDER BY {_SCORE} DESC, vec_id)
-        AS rk FROM q, c QUALIFY rk <= 4),
-firsts AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, vec_id ORDER BY priority, rk) = 1)
-SELECT query_id, vec_id, score, CAST(priority AS BIGINT) AS priority,
-    row_number() OVER (PARTITION BY query_id ORDER BY priority, rk, vec_id) AS position FROM firsts QUALIFY position <= 5"""
-
-
 def _embedded(source: str, key: str, text: str, dim: int) -> str:
     """CTEs ``<source>_w``: (key, slot, weight) of the hashed-term vectors."""
     return f"""{source}_t AS (SELECT {key} AS k, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % {dim} AS slot, count(*) AS n
@@ -554,6 +533,31 @@ def _embedded(source: str, key: str, text: str, dim: int) -> str:
     FROM {source}_t)"""
 
 
+SQL["build_collection"] = "SELECT doc_id AS vec_id, source, lang, CAST(16 AS BIGINT) AS dimension FROM documents"
+_COLLECTION = f"""WITH docs AS (SELECT doc_id AS vec_id, source,
+    CASE lang WHEN 'en' THEN 'ERR_INV_404' WHEN 'fr' THEN 'ERR_FUSE_001' END AS code,
+    text || CASE lang WHEN 'en' THEN ' ERR_INV_404' WHEN 'fr' THEN ' ERR_FUSE_001' ELSE '' END AS text FROM documents),
+{_embedded('docs', 'vec_id', 'text', 16)},
+norms AS (SELECT k, sqrt(sum(w * w)) AS n FROM docs_w GROUP BY 1),
+dots AS (SELECT q.k AS query_id, c.k AS vec_id, sum(q.w * c.w) AS dot FROM docs_w q JOIN docs_w c USING (slot) WHERE q.k % 100 = 0
+    GROUP BY 1, 2),
+c AS (SELECT q.vec_id AS query_id, c.vec_id, c.source, c.code, round(coalesce(dot / (qn.n * cn.n), 0), 6) AS score
+    FROM docs q JOIN docs c ON q.vec_id % 100 = 0 LEFT JOIN dots ON dots.query_id = q.vec_id AND dots.vec_id = c.vec_id
+    LEFT JOIN norms qn ON qn.k = q.vec_id LEFT JOIN norms cn ON cn.k = c.vec_id)"""
+SQL["vector_filtered"] = _COLLECTION + """ SELECT query_id, vec_id, score, round(1 - score, 6) AS distance,
+    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, source
+FROM c WHERE code = 'ERR_INV_404' QUALIFY rank <= 5"""
+SQL["vector_by_code"] = SQL["vector_by_code_blocks"] = _COLLECTION + """ SELECT query_id, code, vec_id, score,
+    row_number() OVER (PARTITION BY query_id, code ORDER BY score DESC, vec_id) AS rank
+FROM c WHERE code IS NOT NULL QUALIFY rank <= 2"""
+SQL["vector_fuse"] = _COLLECTION + """, hits AS (
+    SELECT query_id, vec_id, score, 0 AS priority, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk
+    FROM c WHERE code = 'ERR_FUSE_001' QUALIFY rk <= 2
+    UNION ALL SELECT query_id, vec_id, score, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk
+    FROM c QUALIFY rk <= 4),
+firsts AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, vec_id ORDER BY priority, rk) = 1)
+SELECT query_id, vec_id, score, CAST(priority AS BIGINT) AS priority,
+    row_number() OVER (PARTITION BY query_id ORDER BY priority, rk, vec_id) AS position FROM firsts QUALIFY position <= 5"""
 SQL["embed_documents"] = f"""WITH {_embedded('documents', 'doc_id', 'text', 16)}
 SELECT doc_id, slot, round(coalesce(w, 0), 4) AS weight
 FROM (SELECT doc_id, CAST(g AS BIGINT) AS slot FROM documents, generate_series(0, 15) AS t(g)) d

@@ -684,45 +684,63 @@ def vector_normalize(spark, sf_dir):
 
 
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the vector of the same id and a fault code in their text."""
-    docs = read(spark, sf_dir, "documents").select(
+    """All documents with a fault code in some texts, embedded."""
+    docs = read(spark, sf_dir, "documents", heavy=True).select(
         F.col("doc_id").alias("vec_id"),
         F.concat("text", F.when(F.col("lang") == "en", " ERR_INV_404").when(
-            F.col("lang") == "fr", " ERR_FUSE_001").otherwise("")).alias("text"), "source",
+            F.col("lang") == "fr", " ERR_FUSE_001").otherwise("")).alias("text"), "source", "lang",
     )
-    vecs = _vectors(spark, sf_dir).select("vec_id", "embedding")
-    return docs.join(vecs, "vec_id", "left_semi").join(vecs, "vec_id")
+    return materialize(vectors.embed(docs, vectors.HashedTerms(16)), "collection")
+
+
+def _asked_documents(collection: DataFrame) -> DataFrame:
+    """Every document whose id is divisible by 100, as a query."""
+    return collection.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @register
 def build_collection(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "lang")
-    covered = docs.join(_vectors(spark, sf_dir).select("vec_id"), "vec_id", "left_semi")
-    out = vectors.build_collection(covered, _vectors(spark, sf_dir), "vec_id")
+    embedded = _collection(spark, sf_dir)
+    vectors.require_vectors(embedded, read(spark, sf_dir, "documents").count(), 16)
+    out = vectors.build_collection(embedded.drop("embedding"), embedded.select("vec_id", "embedding"), "vec_id")
     return out.select("vec_id", "source", "lang", F.size("embedding").cast("bigint").alias("dimension"))
 
 
 @register
 def vector_filtered(spark, sf_dir):
-    hits = vectors.search(
-        _centroids(spark, sf_dir), _collection(spark, sf_dir), 5, contains="ERR_INV_404", vector_id="vec_id"
-    )
+    collection = _collection(spark, sf_dir)
+    hits = vectors.search(_asked_documents(collection), collection, 5, contains="ERR_INV_404", vector_id="vec_id")
     return hits.select("query_id", "vec_id", "score", F.round("distance", 6).alias("distance"), _long("rank"), "source")
 
 
 @register
 def vector_by_code(spark, sf_dir):
-    asked = _centroids(spark, sf_dir).select(
+    collection = _collection(spark, sf_dir)
+    asked = _asked_documents(collection).select(
         "query_id", F.explode(F.array(F.lit("ERR_INV_404"), F.lit("ERR_FUSE_001"))).alias("code"), "embedding"
     )
     codes = F.array_distinct(F.regexp_extract_all("text", F.lit(r"ERR_[A-Z]+_\d{3}"), 0))
-    hits = vectors.search_containing(asked, _collection(spark, sf_dir), codes, 2, vector_id="vec_id")
+    hits = vectors.search_containing(asked, collection, codes, 2, vector_id="vec_id")
+    return hits.select("query_id", "code", "vec_id", "score", _long("rank"))
+
+
+@register
+def vector_by_code_blocks(spark, sf_dir):
+    """The search of ``vector_by_code`` as cogroups of blocks of a code, the way of large sets of questions."""
+    collection = _collection(spark, sf_dir)
+    asked = _asked_documents(collection).select(
+        "query_id", F.explode(F.array(F.lit("ERR_INV_404"), F.lit("ERR_FUSE_001"))).alias("code"), "embedding"
+    )
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"ERR_[A-Z]+_\d{3}"), 0))
+    chunks = collection.select("vec_id", "embedding", F.explode(found).alias("code"))
+    hits = vectors.topk_keyed(asked, chunks, ["code"], 2, ["query_id", "code"], "vec_id", block_rows=500)
     return hits.select("query_id", "code", "vec_id", "score", _long("rank"))
 
 
 @register
 def vector_fuse(spark, sf_dir):
-    queries, collection = _centroids(spark, sf_dir), _collection(spark, sf_dir)
+    collection = _collection(spark, sf_dir)
+    queries = _asked_documents(collection)
     first = vectors.search(queries, collection, 2, contains="ERR_FUSE_001", vector_id="vec_id")
     near = vectors.topk_exact(queries, collection, 4, vector_id="vec_id")
     columns = ["query_id", "vec_id", "score", "rank"]
@@ -753,11 +771,11 @@ def embedding_manifest(spark, sf_dir):
 
 @register
 def ann_recall(spark, sf_dir):
-    queries, vecs = materialize(_centroids(spark, sf_dir), "centroids"), _vectors(spark, sf_dir)
-    centres = vectors.train_cells(vecs, 16)
-    celled = materialize(vectors.assign_cells(vecs.select("vec_id", "embedding"), centres), "cells")
+    """Recall of the search by random projections, asked for every vector whose id is divisible by 100."""
+    vecs = _vectors(spark, sf_dir)
+    queries = vecs.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = vectors.topk_exact(queries, vecs, 5, vector_id="vec_id")
-    approx = vectors.topk_ann(queries, celled, centres, 5, 8, vector_id="vec_id")
+    approx = vectors.topk_lsh(queries, vecs, vectors.fit_lsh(vecs), 5, vector_id="vec_id")
     return vectors.recall(exact, approx, 5, vector_id="vec_id")
 
 

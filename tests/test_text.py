@@ -126,14 +126,59 @@ def test_top_k_without_broadcast(space, monkeypatch):
     q, v, exact = space
     monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 2)
     assert pairs(vectors.topk_exact(q, v, 6)) == exact
-    centres = vectors.train_cells(v, 5)
-    assert pairs(vectors.topk_ann(q, vectors.assign_cells(v, centres), centres, 6, 5)) == exact
+    assert pairs(vectors.topk_lsh(q, v, vectors.fit_lsh(v, tables=30, bucket=1e6), 6)) == exact
+
+
+def test_approximate_search_compares_what_shares_a_bucket(space):
+    q, v, _ = space
+    model = vectors.fit_lsh(v, tables=3, bucket=0.3)
+    rows = lambda df, id: [(r[id], np.array(r["embedding"], dtype=float)) for r in df.collect()]
+    # brute force with the model's own projections, read back from its buckets
+    buckets = lambda df, id: {(r["table"], r["bucket"], r[id]) for r in vectors.bucketed(df, model).collect()}
+    mine, theirs = buckets(q, "query_id"), buckets(v, "chunk_id")
+    vs, expected = dict(rows(v, "chunk_id")), set()
+    for i, x in rows(q, "query_id"):
+        near = {c for t, b, c in theirs if (t, b, i) in mine}
+        best = sorted(near, key=lambda c: (-round(float(unit(vs[c][None])[0] @ unit(x[None])[0]), 6), c))[:4]
+        expected |= {(i, c) for c in best}
+    assert pairs(vectors.topk_lsh(q, v, model, 4, block_rows=40)) == expected
+
+
+def test_a_crowded_key_is_cut_into_blocks(spark, space):
+    q, v, _ = space
+    keyed = v.withColumn("code", F.when(F.col("chunk_id") % 10 == 0, "rare").otherwise("hot"))
+    asked = q.crossJoin(spark.createDataFrame([("hot",), ("rare",), ("none",)], "code string"))
+    whole, cut = (vectors.topk_keyed(asked, keyed, ["code"], 3, ["query_id", "code"], block_rows=n) for n in (20_000, 25))
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(whole) == as_set(cut) and len(as_set(cut)) == 5 * 2 * 3
+    hot = {(r.query_id, r.chunk_id) for r in cut.where("code = 'hot'").collect()}
+    assert hot == pairs(vectors.topk_exact(q, v.where("chunk_id % 10 <> 0"), 3))
+
+
+def test_embedder_without_python(spark):
+    texts = [(0, "Pump P-101 leaks; pump p-101 again."), (1, ""), (2, None), (3, "a b c " * 3000), (4, "ÄÖ über_x 7-8_9")]
+    frame = spark.createDataFrame(texts, "id int, text string")
+    native = vectors.embed(frame, vectors.HashedTerms(8))
+    assert "Python" not in native._jdf.queryExecution().executedPlan().toString()
+
+    class Plugged:
+        name, dim = "plugged", 8
+
+        def encode(self, texts):
+            return vectors.HashedTerms(8).encode(texts)
+
+    plugged = {r.id: r.embedding for r in vectors.embed(frame, Plugged()).collect()}
+    assert {r.id: r.embedding for r in native.collect()} == plugged and plugged[1] == [0.0] * 8
+    vectors.require_vectors(native, 5, 8)
+    with pytest.raises(ValueError, match="6 texts gave 5"):
+        vectors.require_vectors(native, 6, 8)
+    with pytest.raises(ValueError, match="5 missing"):
+        vectors.require_vectors(native, 5, 9)
 
 
 def test_approximate_recall(space):
     q, v, exact = space
-    centres = vectors.train_cells(v, 5)
-    approx = vectors.topk_ann(q, vectors.assign_cells(v, centres), centres, 6, 2)
+    approx = vectors.topk_lsh(q, v, vectors.fit_lsh(v, tables=8, bucket=0.5), 6)
     assert vectors.recall(vectors.topk_exact(q, v, 6), approx, 6).first().recall_at_k >= 0.9
     searches = {"exact": lambda some: vectors.topk_exact(some, v, 6), "none": lambda some: vectors.topk_exact(some, v.limit(0), 6)}
     few = q.filter("query_id < 3")
