@@ -170,6 +170,8 @@ SQL["clean_contacts"] = cte("raw_customers") + f""", t AS (SELECT source_row, {_
 SELECT source_row, {_phone('phone')} AS phone, {_country('country')} AS country, upper(state) AS state,
     {_title('status')} AS status FROM t"""
 
+SQL["sql_cleaners"] = SQL["clean_contacts"]
+
 # ---- cleansing: tidy -> parsed -> ranked -> parents
 
 _NORMAL = {"status": _title, "state": lambda c: f"upper({c})", "country": _country, "phone": _phone}
@@ -857,3 +859,4 @@ SQL["stream_audit"] = cte("service_logs") + """ SELECT dispatch_id AS record_id,
     CAST(NULL AS VARCHAR) AS old_status, CASE WHEN service_type = 'Emergency Repair' THEN 'Completed' ELSE status END AS new_status
 FROM service_logs
 UNION ALL SELECT dispatch_id, 'UPDATE', 2, CAST(dispatch_date + 2 AS VARCHAR), status, 'Completed' FROM service_logs WHERE service_type <> 'Emergency Repair'"""
+SQL["sql_chunks"] = SQL["chunk_sentences"]

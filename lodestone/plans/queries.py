@@ -214,6 +214,18 @@ def _cleansed(spark: SparkSession, sf_dir: str, *tables: str):
     return cleanse({t: raw[t] for t in tables or raw})
 
 
+@register
+def sql_cleaners(spark, sf_dir):
+    """The cleaners of ``clean_contacts`` as SQL functions."""
+    from lodestone.functions import surface
+
+    surface.register(spark)
+    frame(spark, sf_dir, "raw_customers").createOrReplaceTempView("contacts_to_clean")
+    tidy = ", ".join(f"clean_missing(clean_tags(decode_text({c}))) AS {c}" for c in ("phone", "country", "state", "status"))
+    return spark.sql(f"""SELECT source_row, clean_phone(phone) AS phone, clean_country(country) AS country, clean_state(state) AS state,
+        clean_title(status) AS status FROM (SELECT source_row, {tidy} FROM contacts_to_clean)""")
+
+
 @register
 def cleanse_customers(spark, sf_dir):
     return _cleansed(spark, sf_dir, "customers").marked["customers"]
@@ -600,6 +612,16 @@ def chunk_sentences(spark, sf_dir):
     return out.select("chunk_id", "document_type", _long("chunk_index"), "text")
 
 
+@register
+def sql_chunks(spark, sf_dir):
+    """Sentence chunks by a table function, in SQL alone."""
+    from lodestone.functions import surface
+
+    surface.register(spark)
+    _pages(spark, sf_dir).createOrReplaceTempView("pages_to_cut")
+    return spark.sql("SELECT chunk_id, document_type, chunk_index, chunk_text AS text FROM chunk_sentences(TABLE(pages_to_cut))")
+
+
 @register
 def excerpts(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
@@ -755,7 +777,7 @@ def vector_fuse(spark, sf_dir):
 def embed_documents(spark, sf_dir):
     docs = read(spark, sf_dir, "documents", heavy=True).select("doc_id", "text")
     out = vectors.embed(docs, vectors.HashedTerms(16))
-    return out.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).select(
+    return out.select("doc_id", F.posexplode_outer("embedding").alias("slot", "weight")).select(
         "doc_id", _long("slot"), F.round(F.col("weight").cast("double"), 4).alias("weight")
     )
 
