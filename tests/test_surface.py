@@ -33,7 +33,7 @@ def test_table_functions(spark):
     spark.createDataFrame(pages, "document_id string, page_number int, text string, kind string").createOrReplaceTempView("surface_pages")
     for name, cutter in (("chunk_sliding", chunk.windows), ("chunk_sentences", chunk.packs)):
         expected = sorted((f"{d}:p{p}:c{n}", n, x, d, p, k, 60, 20) for d, p, t, k in pages if t is not None for n, x in enumerate(cutter(t, 60, 20), 1))
-        for partition in ("", " PARTITION BY document_id ORDER BY page_number"):
+        for partition in ("", " PARTITION BY (document_id) ORDER BY (page_number)"):
             found = spark.sql(f"SELECT * FROM {name}(TABLE(surface_pages){partition}, 60, 20)")
             assert found.columns == ["chunk_id", "chunk_index", "chunk_text", "document_id", "page_number", "kind", "chunk_size_characters", "overlap_characters"]
             assert sorted(map(tuple, found.collect())) == expected
