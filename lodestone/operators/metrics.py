@@ -57,9 +57,9 @@ def percentiles(
     return found.select(*by, *mixed)
 
 
-def long_stages(runs: DataFrame, stages: list[str] = STAGES) -> DataFrame:
+def long_stages(runs: DataFrame, stages: list[str] = STAGES, keep: list[str] | None = None) -> DataFrame:
     pairs = [F.struct(F.lit(s).alias("stage"), F.col(s).cast("double").alias("ms")) for s in stages]
-    return runs.select(F.inline(F.array(*pairs)))
+    return runs.select(*(keep or []), F.inline(F.array(*pairs)))
 
 
 def answered(runs: DataFrame) -> DataFrame:
@@ -74,14 +74,14 @@ def stage_report(runs: DataFrame, stages: list[str] = STAGES, total: str = "tota
     A stage that never ran is reported with zeros.
     """
     long = long_stages(runs, stages)
-    timed = long.filter("ms > 0")
-    totals = timed.groupBy("stage").agg(F.avg("ms").alias("mean"), F.max("ms").alias("max"))
-    names = long.select("stage").distinct()
-    report = names.join(totals, "stage", "left").join(percentiles(timed, "ms", ["stage"]), "stage", "left")
-    mean_total = runs.agg(F.avg(total)).first()[0]
+    ran = F.when(F.col("ms") > 0, F.col("ms"))
+    totals = long.groupBy("stage").agg(F.avg(ran).alias("mean"), F.max(ran).alias("max"))
+    points = percentiles(long.filter("ms > 0"), "ms", ["stage"])
+    overall = runs.agg(F.avg(total).alias("_mean_total"))  # one row
+    report = totals.join(points, "stage", "left").crossJoin(F.broadcast(overall))
     numbers = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "p50", "p95", "p99", "max")]
     # From six places, so that the order of summation does not decide a tie.
-    share = F.round(F.round(F.coalesce("mean", F.lit(0.0)) / F.lit(mean_total) * 100, 6), 0)
+    share = F.round(F.round(F.coalesce("mean", F.lit(0.0)) / F.col("_mean_total") * 100, 6), 0)
     return report.select("stage", *numbers, share.alias("share_of_total"))
 
 
@@ -99,13 +99,10 @@ def by_question(runs: DataFrame, question: str = "q", stages: tuple[str, ...] =
     ok = F.col("llm_status").contains(" - ok")
     any_ok = runs.groupBy(question).agg(F.max(ok).alias("_any"))
     chosen = runs.join(any_ok, question).filter(ok | ~F.col("_any"))
-    median = {"median": 0.5}
-    out = chosen.groupBy(question).agg(F.count("*").alias("runs"))
-    for stage in stages:
-        out = out.join(
-            percentiles(chosen, stage, [question], median).withColumnRenamed("median", f"median_{stage}"), question
-        )
-    return out
+    # All stages in one run of ranks, by question and stage.
+    medians = percentiles(long_stages(chosen, list(stages), [question]), "ms", [question, "stage"], {"median": 0.5})
+    wide = medians.groupBy(question).agg(*(F.max(F.when(F.col("stage") == s, F.col("median"))).alias(f"median_{s}") for s in stages))
+    return chosen.groupBy(question).agg(F.count("*").alias("runs")).join(wide, question)
 
 
 def citation_coverage(runs: DataFrame) -> DataFrame:

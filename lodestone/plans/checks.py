@@ -789,6 +789,27 @@ SELECT question_id, chunk_id AS record_id, source_file || ' p.' || page_number A
         CAST(CAST(score AS DECIMAL(12,6)) AS DECIMAL(12,2))::VARCHAR, text) AS text
 FROM routed JOIN capped USING (question) JOIN chunks USING (chunk_id)"""
 
+# The rows of each source, without what the source alone decides.
+_ROWS = {
+    "evidence_units": ("sql", "'silver.' || document"), "evidence_model": ("sql", "'silver.' || document"),
+    "evidence_ids": ("sql", "'silver.' || document"), "evidence_suppliers": ("sql", "'silver.' || document"),
+    "evidence_telemetry": ("document", "'documents.telemetry'"), "evidence_vector": ("vector", "'chunks.collection'"),
+}
+for _name, (_source, _database) in _ROWS.items():
+    SQL[_name] = f"SELECT *, '{_source}' AS source, {_database} AS database FROM ({SQL[_name]})"
+# Names that an evidence row leads to; a row that reports an absence names what was asked for, and finds nothing.
+_NAMED = {
+    "evidence_units": "CASE WHEN absent THEN len(list_distinct(list_concat(equipment, serial))) ELSE 1 END",
+    "evidence_model": "len(string_split(record_id, ', '))", "evidence_ids": "1", "evidence_suppliers": "len(string_split(record_id, ', '))",
+    "evidence_telemetry": "CASE WHEN absent THEN 1 ELSE len(string_split(record_id, ', ')) END", "evidence_vector": "1",
+}
+SQL["verify_evidence"] = _evidence() + " " + " UNION ALL ".join(
+    f"""SELECT question_id, source, database, record_id, CAST({count} AS BIGINT) AS records,
+    CAST(CASE WHEN absent OR contains(text, ': 0 units, ') THEN 0 ELSE {count} END AS BIGINT) AS found, true AS verified
+    FROM (SELECT *, starts_with(record_id, 'no matching') AS absent FROM ({SQL[name]})) JOIN (SELECT question_id, equipment, serial FROM routed)
+    USING (question_id)""" for name, count in _NAMED.items()
+)
+
 SQL["evidence_tags"] = "SELECT question_id, source, count(*) AS n, count(*) AS last, count(*) AS tags FROM (" + " UNION ALL ".join(
     f"SELECT question_id, '{source}' AS source FROM ({SQL[name]})" for name, source in {
         "evidence_units": "sql", "evidence_model": "sql", "evidence_ids": "sql", "evidence_suppliers": "sql", "evidence_telemetry": "document",

@@ -830,7 +830,7 @@ def route_conversations(spark, sf_dir):
 
 
 def _evidence_columns(df: DataFrame) -> DataFrame:
-    return df.select("question_id", "record_id", "document", "timestamp", "text")
+    return df.select("question_id", "source", "database", "record_id", "document", "timestamp", "text")
 
 
 @register
@@ -886,7 +886,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, d
     tables = _tables(spark, sf_dir)
     routed = _routed(spark, sf_dir)
     found, _, _ = evidence.collect(routed, tables, _as_of(), vectors.HashedTerms(32))
-    return routed, materialize(found, "evidence"), tables
+    return routed, found, tables
 
 
 @register
@@ -912,7 +912,11 @@ def extractive_answers(spark, sf_dir):
 @register
 def verify_evidence(spark, sf_dir):
     _, found, tables = _evidence(spark, sf_dir)
-    return evidence.verify(found, tables, _as_of())
+    found = materialize(found, "evidence")
+    verified = evidence.verify(found, tables, _as_of())
+    return verified.join(found.select("question_id", "tag", "source", "database", "record_id"), ["question_id", "tag"]).select(
+        "question_id", "source", "database", "record_id", _long("records"), _long("found"), "verified"
+    )
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
