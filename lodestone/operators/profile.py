@@ -46,15 +46,29 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
 
 
 def columns(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Missing, HTML, whitespace and encoding counts per column; columns without findings are left out."""
-    value = F.coalesce(F.col("value"), F.lit(""))
-    missing = clean.is_missing(value)
-    report = _long(df, names or df.columns).groupBy("column_name").agg(
-        F.count_if(missing).alias("missing"),
-        F.count_if(clean.has_html(value)).alias("html"),
-        F.count_if(~missing & clean.untidy_ws(value)).alias("whitespace"),
-        F.count_if(clean.has_encoding_flag(value)).alias("encoding_flags"),
-    )
+    """Missing, HTML, whitespace and encoding counts per column; columns without findings are left out.
+
+    All counts are taken in one row of four counters a column, which is turned into a row a column at the end.
+    """
+    names = names or df.columns
+    counters = []
+    for i, name in enumerate(names):
+        value = F.coalesce(F.col(name), F.lit(""))
+        missing = clean.is_missing(value)
+        counters += [
+            F.count_if(missing).alias(f"m{i}"),
+            F.count_if(clean.has_html(value)).alias(f"h{i}"),
+            F.count_if(~missing & clean.untidy_ws(value)).alias(f"w{i}"),
+            F.count_if(clean.has_encoding_flag(value)).alias(f"e{i}"),
+        ]
+    rows = [
+        F.struct(
+            F.lit(name).alias("column_name"), F.col(f"m{i}").alias("missing"), F.col(f"h{i}").alias("html"),
+            F.col(f"w{i}").alias("whitespace"), F.col(f"e{i}").alias("encoding_flags"),
+        )
+        for i, name in enumerate(names)
+    ]
+    report = df.agg(*counters).select(F.inline(F.array(*rows)))
     return report.filter("missing + html + whitespace + encoding_flags > 0")
 
 

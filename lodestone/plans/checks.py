@@ -265,13 +265,16 @@ SQL["reconcile"] = _cleansed(*_RAW) + " " + " UNION ALL ".join(
     f"""SELECT '{t}' AS table_name, count(*) AS bronze_rows, count(*) FILTER (rejection_reason IS NULL) AS silver_rows,
     count(rejection_reason) AS quarantine_rows, true AS balanced FROM {t}_final""" for t in _RAW
 )
-SQL["residual_checks"] = _cleansed("customers") + ", " + cte("service_logs")[5:] + """
+SQL["residual_checks"] = _cleansed(*_RAW) + """
 SELECT 'HTML remaining in customer company names' AS check_name,
     count(*) FILTER (regexp_matches(company_name, '<[^>]*>')) AS problem_rows
 FROM customers_final WHERE rejection_reason IS NULL
 UNION ALL SELECT 'invalid customer created dates', count(*) FILTER (created_date IS NULL)
 FROM customers_final WHERE rejection_reason IS NULL
-UNION ALL SELECT 'service logs without resolution', count(*) FILTER (resolution_summary IS NULL) FROM service_logs
+UNION ALL SELECT 'HTML remaining in service summaries', count(*) FILTER (regexp_matches(resolution_summary, '<[^>]*>'))
+FROM dispatches_final WHERE rejection_reason IS NULL
+UNION ALL SELECT 'service logs without resolution', count(*) FILTER (resolution_summary IS NULL)
+FROM dispatches_final WHERE rejection_reason IS NULL
 UNION ALL SELECT 'HTML in raw pages', count(*) FILTER (regexp_matches(html, '<[^>]*>')) FROM pages"""
 SQL["orphans"] = cte(*_ALL_RAW) + " UNION ALL ".join(
     f""" SELECT '{fk.child} -> {fk.parent}{"" if fk.required else " (optional)"}' AS relationship_name, count(*) AS orphan_rows

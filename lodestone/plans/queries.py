@@ -287,15 +287,15 @@ def reconcile(spark, sf_dir):
 
 @register
 def residual_checks(spark, sf_dir):
-    result = _cleansed(spark, sf_dir, "customers")
-    customers = result.silver("customers")
-    logs = frame(spark, sf_dir, "service_logs")
-    pages = read(spark, sf_dir, "pages")
+    """What is left in the tables after all of them went through cleansing."""
+    result = _cleansed(spark, sf_dir)
+    customers, dispatches = result.accepted("customers"), result.accepted("dispatches")
     return quality.residual_checks([
         ("HTML remaining in customer company names", customers, clean.has_html(F.col("company_name"))),
         ("invalid customer created dates", customers, F.col("created_date").isNull()),
-        ("service logs without resolution", logs, F.col("resolution_summary").isNull()),
-        ("HTML in raw pages", pages, clean.has_html(F.col("html"))),
+        ("HTML remaining in service summaries", dispatches, clean.has_html(F.col("resolution_summary"))),
+        ("service logs without resolution", dispatches, F.col("resolution_summary").isNull()),
+        ("HTML in raw pages", read(spark, sf_dir, "pages"), clean.has_html(F.col("html"))),
     ])
 
 
