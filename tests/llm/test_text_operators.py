@@ -239,6 +239,63 @@ def test_secrets_beside_a_pattern_match_in_one_run(spark):
     assert clean[0] == "https://host/hooks/[SECRET][SECRET]" and clean[5] == "[SECRET]/ordinary_identifier_names end"
 
 
+def ordinary_identifiers(n, rng):
+    """Identifiers of words that training has not seen in these orders, dates, paths and versions."""
+    words = ("proxy singleton request upload network packet python packages usr share bin server parser widget record session thread token vector "
+             "window worker schema socket stream string switch symbol system table target template terminal transfer update upgrade validation volume "
+             "Donau Dampf Schiff Fahrt Kapitän naive résumé travail maison escuela ventana ciudad").replace("ä", "ae").replace("é", "e").split()
+    out = ["2024-01-02T03-04-05", "AbstractSingletonProxyFactoryBean", "XMLHttpRequestUpload", "/usr/local/lib/python3", "Donaudampfschifffahrt",
+           "/usr/share/doc/packages/README", "getElementsByClassName", "application/octet-stream", "node_modules/typescript/lib", "1999-12-31/23-59-59"]
+    while len(out) < n:
+        w = [str(x) for x in rng.choice(words, 4)]
+        out.append([
+            "".join(x.capitalize() for x in w), w[0].lower() + "".join(x.capitalize() for x in w[1:]), "_".join(w).lower(), "-".join(w).lower(), "/" + "/".join(w).lower(),
+            "_".join(w).upper(), f"{w[0]}-{w[1]}-{rng.integers(1, 30)}-{rng.integers(0, 30)}-{rng.integers(0, 99)}".lower(),
+            f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{rng.integers(0, 24):02d}-{rng.integers(0, 60):02d}-00",
+        ][len(out) % 8])
+    return [x for x in out if len(x) >= 16]
+
+
+def test_secrets_are_told_from_identifiers(spark):
+    """Neither side takes part in training; the documents are a few lines of prose."""
+    import string
+
+    rng = np.random.default_rng(12)
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits]
+    random = ["".join(rng.choice(list(kinds[i % 4]), rng.integers(20, 41))) for i in range(1000)]
+    ordinary = ordinary_identifiers(1000, rng)
+    prose = spark.createDataFrame([(0, ENGLISH)], "doc_id long, text string")
+    model = secretscan.train(secretscan.labelled_samples(prose))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(random + ordinary)], "doc_id long, text string")
+    found = {r["doc_id"] for r in secretscan.scan(frame, model).where("spans <> ''").collect()}
+    recall = sum(i in found for i in range(1000)) / 1000
+    wrong = [t for i, t in enumerate(ordinary, 1000) if i in found]
+    assert recall >= 0.95, (recall, model.limit)
+    assert len(wrong) <= 0.01 * len(ordinary), (len(wrong), len(ordinary), model.limit, wrong[:20])
+    long = spark.createDataFrame([(0, random[0][:14] + " x")], "doc_id long, text string")
+    assert secretscan.scan(long, model, min_length=10, min_ratio=5.0).first()["n_markov"] == 1 and secretscan.scan(long, model).first()["n_markov"] == 0
+
+
+def test_secrets_time_grows_with_the_text_alone(spark):
+    import time
+
+    prose = spark.createDataFrame([(0, ENGLISH)], "doc_id long, text string")
+    model = secretscan.train(secretscan.labelled_samples(prose))
+    spans = [f"token=value{i:06d} and some \U0001f600 words" for i in range(32_000)]
+
+    def took(texts):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        began = time.perf_counter()
+        out = secretscan.redact(frame, model).collect()
+        return time.perf_counter() - began, out
+
+    took(["\n".join(spans[:100])])
+    many, _ = took(["\n".join(spans[i::32]) for i in range(32)])
+    one, out = took(["\n".join(spans)])
+    assert out[0]["text"] == "\n".join("[SECRET] and some \U0001f600 words" for _ in spans)
+    assert one < 2 * many + 2, (one, many)
+
+
 # ---- packing
 
 
