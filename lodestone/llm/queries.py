@@ -205,16 +205,16 @@ SQL = {
         FROM parts
     """,
     "op6_block_join": """
-        WITH usable AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+        WITH usable AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, row_number() OVER () AS n FROM embeddings
             WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
                 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
-            FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+            SELECT q.n, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
+            FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.n <> c.n
         ), ranked AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored
+            SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,

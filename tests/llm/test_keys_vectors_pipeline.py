@@ -49,15 +49,11 @@ def test_cascade_of_nothing(spark):
 
 
 def brute_nearest(rows, k):
-    good = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v) or not any(v):
-            continue
-        good[i] = min(v, good[i]) if i in good else v
+    good = [(i, v) for i, v in rows if not (i is None or v is None or any(x is None or not np.isfinite(x) for x in v) or not any(v))]
     out = []
-    for q, v in good.items():
+    for at, (q, v) in enumerate(good):
         if q % 20 == 0:
-            near = [(-float(np.cumsum(np.array(v) * np.array(c))[-1]), i) for i, c in good.items() if i != q and len(c) == len(v)]
+            near = [(-float(np.cumsum(np.array(v) * np.array(c))[-1]), i) for n, (i, c) in enumerate(good) if n != at and len(c) == len(v)]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(heapq.nsmallest(k, near))]
     return sorted(out)
 
@@ -68,18 +64,33 @@ def test_search_is_exact(spark, block):
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(180)]
     rows += [(i, [0.5] * 8) for i in range(200, 260)]  # ties
     rows += [(300, None), (320, [0.0] * 8), (340, [float("nan")] * 8), (360, [None, *[1.0] * 7]), (380, [float("inf"), *[1.0] * 7])]
-    rows += [(None, [1.0] * 8), (rows[20][0], rows[20][1]), (400, [1.0, 2.0]), (401, [2.0, 1.0]), (402, [1e-30, 0.0]), (420, [])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit(1).alias("id"), F.lit(2).alias("rank"), F.lit(3).alias("score"))
-    found = ann.search(frame, F.col("vec_id") % 20 == 0, k=20, block=block)
+    rows += [(None, [1.0] * 8), (400, [1.0, 2.0]), (401, [2.0, 1.0]), (402, [1e-30, 0.0]), (420, [])]
+    rows += [(rows[20][0], rows[20][1]), (20, [5.0] * 8), (20, [-5.0] * 8), (7, [9.0] * 8), (7, [8.0] * 8)]  # rows that share an id
+    rows += [(500, [1e150, *[0.0] * 7]), (501, [1e140, *[1.0] * 7]), (502, [5e-324] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit(1).alias("id"), F.lit(2).alias("rank"), F.lit(3).alias("score"), F.lit(4).alias("row"))
+    found = ann.search(frame, F.col("vec_id") % 20 == 0, k=20, block=block, query_block=block)
     assert sorted(map(tuple, found.collect())) == brute_nearest(rows, 20)
     assert ann.search(frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_search_equals_its_sql_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in np.round(rng.normal(size=4), 2)]) for i in [0, 20, 20, 40, 40, 40, *range(100), *range(0, 100, 10)]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(0)).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    theirs = sorted((q, r, v, round(s, 9)) for q, r, v, s in con.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.SQL['op6_block_join']})").fetchall())
+    mine = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in queries.op6_block_join(spark, str(tmp_path)).collect())
+    assert mine == theirs
+
+
 def test_error_bound_holds():
     import pandas as pd
 
     rng = np.random.default_rng(4)
-    make = lambda side: ann.Block(pd.DataFrame({f"{side}_id": range(200), f"{side}_vector": list(rng.standard_t(2, size=(200, 16)))}), side)
+    make = lambda side: ann.Block(pd.DataFrame({f"{side}_id": range(200), f"{side}_row": range(200), f"{side}_vector": list(rng.standard_t(2, size=(200, 16)))}), side)
     q, c = make("q"), make("c")
     rough = q.products(c) * q.scale * c.scale.T
     bound = np.outer(q.error, c.norm) + np.outer(q.small_norm, c.error)
