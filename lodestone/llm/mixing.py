@@ -25,9 +25,9 @@ def tokens(text: Column) -> Column:
     return (F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)) + 1).cast("long")
 
 
-def source_sizes(docs: DataFrame, source: str, size: Column) -> DataFrame:
-    """(key, size, share) of each source. Null is a source of its own."""
-    sizes = docs.groupBy(source_key(source).alias("key")).agg(F.sum(size).alias("size"))
+def source_sizes(rows: DataFrame) -> DataFrame:
+    """(key, size, share) of each source, from rows of key and size."""
+    sizes = rows.groupBy("key").agg(F.sum("size").alias("size"))
     total = sizes.agg(F.sum("size").alias("total")).first()["total"] or 1
     return sizes.withColumn("share", F.col("size") / F.lit(float(total)))
 
@@ -91,26 +91,28 @@ def mix(
 
     Ordered by mix_at, any prefix holds the sources in the weights, up to a block. Rows start while budget is left, so a
     source exceeds its budget by less than a row. Repeated rows are scheduled each for itself, null sources are a source,
-    null texts have one token. Blocks are dealt by id and text, so only rows that are equal in both share a block. An empty table gives no rows. A name that ``docs`` uses itself gets an underscore behind.
+    null texts have one token. Rows are written once with their sizes and a number, and dealt to blocks by that number as well
+    as their id, so that equal rows spread like others. An empty table gives no rows. A name that ``docs`` uses itself gets an
+    underscore behind.
     """
     names = [spare(docs, name) for name in ("mix_tokens", "mix_epoch", "mix_block", "mix_place", "mix_at")]
-    size = tokens(F.col(text))
-    sources = materialize(source_sizes(docs, source, size), "sources")
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    numbered = docs.select(
+        row, F.col(id).alias("id"), source_key(source).alias("key"), tokens(F.col(text)).alias("size"), F.monotonically_increasing_id().alias("number")
+    )
+    numbered = materialize(numbered, "rows")
+    sources = materialize(source_sizes(numbered), "sources")
     planned = budgets(sources, temperature(sources, max_repeats, target_entropy), total)
     planned = planned.where("budget > 0").select(
         "key", "size", "budget", F.greatest(F.lit(1), F.ceil(F.col("size") / block_tokens)).cast("long").alias("blocks")
     )
     planned = broadcast_if_small(materialize(planned, "budgets"))
-    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
-    # By text as well, so that null and repeated ids spread over the blocks.
-    card = F.xxhash64(F.col(id), F.col(text), F.lit(seed)).alias("card")
-    dealt = docs.select(row, F.col(id).alias("id"), card, source_key(source).alias("key"), size.alias("size"))
-    dealt = dealt.join(planned.select("key", "blocks"), "key")
+    numbered = numbered.withColumn("card", F.xxhash64("id", "number", F.lit(seed))).drop("number")
+    dealt = numbered.join(planned.select("key", "blocks"), "key")
     dealt = dealt.withColumn("block", F.pmod("card", "blocks")).drop("blocks")
 
     # Blocks are rows of their own: which passes they take part in, and the tokens of the schedule before them.
-    narrow = docs.select(card, source_key(source).alias("key"), size.alias("size")).join(planned.select("key", "blocks"), "key")
-    narrow = narrow.withColumn("block", F.pmod("card", "blocks"))
+    narrow = dealt.select("key", "block", "size")
     blocks = narrow.groupBy("key", "block").agg(F.sum("size").alias("tokens"))
     passes = F.explode(F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("size")).cast("int"))).alias("epoch")
     blocks = blocks.join(planned, "key").select("key", "block", "tokens", "size", "budget", passes)

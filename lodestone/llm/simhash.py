@@ -9,8 +9,11 @@ bit i is clear or set, so rows of linked fingerprints disagree about at most ``m
 references. Dealt into ``max_bits + 3`` blocks of bits, they agree about three whole blocks at least. The part of the
 table that belongs to three blocks is therefore the join key, once for each choice of three blocks.
 
-Members of one cell are compared in tiles of bounded size; a tile gives each member a link to the smallest
-fingerprint that it reaches there, never all pairs. Links become components by alternating large and small stars.
+The distances to the random references are worked out once for each fingerprint and travel with it. Members of one cell
+are compared in tiles of bounded size, ordered by the first of these distances: a member only meets those whose first
+distance is at most ``max_bits`` larger, the other distances discard more pairs, and the bits decide about the rest. A tile
+gives each member a link to the smallest fingerprint that it reaches there, never all pairs. Links become components by
+alternating large and small stars.
 """
 
 from __future__ import annotations
@@ -79,9 +82,13 @@ def cell_keys(fp: Column, max_bits: int) -> Column:
     return F.array(*keys)
 
 
-def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Hamming distances of fingerprints to the random references, one row each."""
-    return np.bitwise_count(fps[:, None] ^ REFERENCES[None, :]).astype(np.int8)
+def pivot_row(fp: Column) -> Column:
+    """Hamming distances of a fingerprint to the random references, a byte each."""
+    distance = lambda r: F.bit_count(fp.bitwiseXOR(F.lit(int(r.astype(np.int64))))).cast("long")
+    row = F.lit(0).cast("long")
+    for i, reference in enumerate(REFERENCES):
+        row = row.bitwiseOR(F.shiftleft(distance(reference), 8 * i))
+    return row
 
 
 def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,9 +107,12 @@ def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = after
 
 
-def tile_links(group: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of runs of equal ``group``, and the smallest member each reaches by links inside its run."""
-    table = pivot_table(fps)
+def tile_links(group: np.ndarray, fps: np.ndarray, pivots: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of runs of equal ``group``, and the smallest member each reaches by links inside its run.
+
+    ``pivots`` are rows of the pivot table; inside a run members are ordered by their first coordinate.
+    """
+    table = pivots.view(np.uint8).reshape(-1, 8).astype(np.int16)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     ends = np.repeat(np.r_[starts[1:], len(group)], np.diff(np.r_[starts, len(group)]))
     left, right, held = [], [], 0
@@ -116,6 +126,8 @@ def tile_links(group: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.nd
     while True:
         shift += 1
         active = active[active + shift < ends[active]]
+        # Later members are farther from the first reference still.
+        active = active[table[active + shift, 0] - table[active, 0] <= max_bits]
         if not len(active):
             break
         other = active + shift
@@ -136,8 +148,8 @@ def tile_links(group: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.nd
 def links(fps: DataFrame, max_bits: int = 3, tile: int = TILE) -> DataFrame:
     """(a, b): each fingerprint of ``fps`` (distinct, column fp) with fingerprints that it reaches by links, enough of
     them to keep every component whole."""
-    keyed = fps.select("fp", F.explode(cell_keys(F.col("fp"), max_bits)).alias("key"))
-    keyed = keyed.select("fp", F.col("key.choice").alias("choice"), F.col("key.bits").alias("bits"))
+    keyed = fps.select("fp", pivot_row(F.col("fp")).alias("pivots"), F.explode(cell_keys(F.col("fp"), max_bits)).alias("key"))
+    keyed = keyed.select("fp", "pivots", F.col("key.choice").alias("choice"), F.col("key.bits").alias("bits"))
     # Cells of one member have no pair. Larger cells are cut into tiles, each with the members of two parts.
     cells = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / tile).cast("int")
@@ -146,7 +158,7 @@ def links(fps: DataFrame, max_bits: int = 3, tile: int = TILE) -> DataFrame:
         keyed.join(cells, ["choice", "bits"])
         .withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("choice", "bits", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "fp")
+        .select("choice", "bits", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "fp", "pivots")
     )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +167,7 @@ def links(fps: DataFrame, max_bits: int = 3, tile: int = TILE) -> DataFrame:
         def linked(frame: pd.DataFrame) -> pd.DataFrame:
             group = (frame[names] != frame[names].shift()).any(axis=1).cumsum().to_numpy()
             values = frame["fp"].to_numpy()
-            member, root = tile_links(group, values.view(np.uint64), max_bits)
+            member, root = tile_links(group, values.view(np.uint64), frame["pivots"].to_numpy(np.int64), max_bits)
             return pd.DataFrame({"a": values[member], "b": values[root]})
 
         for batch in batches:
@@ -168,7 +180,8 @@ def links(fps: DataFrame, max_bits: int = 3, tile: int = TILE) -> DataFrame:
         if carry is not None:
             yield linked(carry)
 
-    dealt = tiles.repartition("choice", "bits", "lo", "hi").sortWithinPartitions("choice", "bits", "lo", "hi")
+    first = F.col("pivots").bitwiseAND(F.lit(255))
+    dealt = tiles.repartition("choice", "bits", "lo", "hi").sortWithinPartitions("choice", "bits", "lo", "hi", first)
     return dealt.mapInPandas(compare, "a long, b long").distinct()
 
 
@@ -228,23 +241,34 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
     """One row of each component, that of the smallest id, with the columns of ``docs``. Of rows of the component that
-    share this id, the smallest fingerprint's stays, one of them; rows of other components that share it are theirs.
-    Rows without an id stay as they are, since nothing names them."""
-    rows, groups = grouped(docs.where(F.col(id).isNotNull()), id, text, width, max_bits)
+    share this id, the smallest fingerprint's stays, one of them; rows of other components that share it are theirs. Rows
+    without an id give way to rows with one; of a component without any id, one row of the smallest fingerprint stays.
+    Where rows of one id and fingerprint compete, hashes of their columns decide, so that a repeated run keeps the same."""
+    rows, groups = grouped(docs, id, text, width, max_bits)
     winners = groups.where("id = component_id").groupBy("root").agg(F.min("fp").alias("fp"), F.min("id").alias("id"))
     winners = materialize(winners.select("id", "fp"), "winners")
-    # Ids of several fingerprints say too little about a row; the fingerprint is worked out again for their rows only.
-    several = rows.groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("id")
+    # An id that several rows share says too little about a row; the fingerprint is worked out again for their rows only.
+    several = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     several = materialize(winners.join(several, "id", "left_semi"), "several")
+    nameless = groups.where("component_id is null").groupBy("root").agg(F.min("fp").alias("fp")).select("fp")
+    nameless = materialize(nameless, "nameless")
     key, fp = F.col("id").alias(id), spare(docs, "fp")
+    again = F.pandas_udf(lambda texts: pd.Series([fingerprint(t, width) for t in texts], dtype="int64"), "long")
+    order = F.struct(F.xxhash64(text), F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if "map<" not in kind)))
+
+    def first(some: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+        """One row for each of the wanted keys."""
+        marked = some.withColumn(fp, again(F.col(text))).join(broadcast_if_small(wanted), keys, "left_semi")
+        best = marked.groupBy(*(F.col(c).alias(f"key{i}") for i, c in enumerate(keys))).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+        return best.select("row.*")
+
     if several.isEmpty():
-        kept = docs.join(winners.select(key), id, "left_semi").dropDuplicates([id]).select(*docs.columns)
+        kept = docs.join(winners.select(key), id, "left_semi").select(*docs.columns)
     else:
         single = winners.join(several, "id", "left_anti").select(key)
-        kept = docs.join(single, id, "left_semi").dropDuplicates([id]).select(*docs.columns)
-        marked = docs.join(broadcast_if_small(several.select(key).distinct()), id, "left_semi")
-        again = F.pandas_udf(lambda texts: pd.Series([fingerprint(t, width) for t in texts], dtype="int64"), "long")
-        marked = marked.withColumn(fp, again(F.col(text)))
-        marked = marked.join(several.select(key, F.col("fp").alias(fp)), [id, fp], "left_semi").dropDuplicates([id, fp])
-        kept = kept.unionByName(marked.select(*docs.columns))
-    return kept.unionByName(docs.where(F.col(id).isNull()))
+        kept = docs.join(single, id, "left_semi").select(*docs.columns)
+        shared = docs.join(broadcast_if_small(several.select(key).distinct()), id, "left_semi")
+        kept = kept.unionByName(first(shared, several.select(key, F.col("fp").alias(fp)), [id, fp]))
+    if not nameless.isEmpty():
+        kept = kept.unionByName(first(docs.where(F.col(id).isNull()), nameless.select(F.col("fp").alias(fp)), [fp]))
+    return kept

@@ -152,7 +152,19 @@ def test_keep_one_decides_rows_that_share_an_id(spark):
     ]
     kept = simhash.keep_one(crowded(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
     found = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
-    assert found == sorted((i or 0, t) for i, t in [rows[0], rows[1], rows[3], rows[5], rows[6], rows[7]])
+    assert found == sorted((i or 0, t) for i, t in [rows[0], rows[1], rows[3], rows[5], rows[6]])
+
+
+def test_keep_one_decides_rows_without_an_id(spark):
+    copies = [(None, PROSE[4], i) for i in range(6)]
+    with_id = [(None, PROSE[3], 0)] * 5 + [(1, PROSE[3], 9)]
+    others = [(None, "a text of its own " + " ".join(f"w{i}" for i in range(60)), 1), (None, None, 2), (None, "", 3), (None, PROSE[2], 4)]
+    frame = spark.createDataFrame(copies + with_id + others, "doc_id long, text string, fp int").repartition(4)
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(frame).collect()), key=str)
+    blank = next(t for _, t in kept if not t)
+    assert kept == sorted([(None, PROSE[4]), (1, PROSE[3]), others[0][:2], (None, PROSE[2]), (None, blank)], key=str)
+    again = simhash.keep_one(frame.repartition(7))
+    assert sorted(((r["doc_id"], r["text"], r["fp"]) for r in again.collect()), key=str) == sorted(((r["doc_id"], r["text"], r["fp"]) for r in simhash.keep_one(frame).collect()), key=str)
 
 
 def test_simhash_links_chains_and_crowded_cells(spark):
@@ -483,6 +495,14 @@ def test_mixing_spreads_null_and_repeated_ids(spark):
     assert largest < 60  # of 25 on average
 
 
+def test_mixing_spreads_rows_that_are_equal(spark):
+    rows = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'' as text", "'s' as source").repartition(5)
+    mixed = mixing.mix(rows, block_tokens=100)
+    assert mixed.where("mix_epoch = 0").count() == 3000
+    sizes = [r["n"] for r in mixed.groupBy("mix_epoch", "mix_block").agg(F.sum("mix_tokens").alias("n")).collect()]
+    assert max(sizes) <= 200
+
+
 def test_temperature_targets(spark):
     sources = spark.createDataFrame([("a", 0.7), ("b", 0.2), ("c", 0.1)], "key string, share double")
     found = mixing.temperature(sources, target_entropy=1.0)
