@@ -149,12 +149,19 @@ def judge(pages: DataFrame, rules: list[Rule], listed, id: str = "page_id", url:
     """(id, host, path, rule, verdict) of every page; null and malformed urls have empty host and path.
 
     The longest rule that fits decides. Else the cascade does: a page whose key, host and path, is listed gets block,
-    any other allow. ``listed(host, path)`` gives the boolean column that says which keys of the corpus are on the
-    list. An empty table gives no rows.
+    any other allow. ``listed`` is a table with the listed keys in its column ``key`` (host and path, the host in lower
+    case; nulls and repeats are left out of account), or a function of host and path that gives a boolean column. A listed
+    key that no page has does not matter. An empty table gives no rows.
     """
     parts = pages.select(F.col(id).alias("id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     key = F.concat("host", "path")
-    cascade = build(parts.select(key.alias("key"), listed(F.col("host"), F.col("path")).alias("listed")), shard_keys)
+    if callable(listed):
+        universe = parts.select(key.alias("key"), listed(F.col("host"), F.col("path")).alias("listed"))
+    else:
+        # The only join is that of the corpus' distinct keys with the list, once, to build the filters.
+        names = listed.select(F.col("key").cast("string").alias("key")).where("key is not null").distinct()
+        universe = parts.select(key.alias("key")).distinct().join(names.withColumn("listed", F.lit(True)), "key", "left")
+    cascade = build(universe, shard_keys)
     out = cascade.mark(parts, key, "listed").withColumn("fit", longest_rule(rules, F.col("host"), F.col("path")))
     verdict = F.coalesce("fit.verdict", F.when(F.col("listed"), "block").otherwise("allow"))
     return out.select(F.col("id").alias(id), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))

@@ -43,6 +43,19 @@ def test_cascade_is_exact(spark, shard_keys):
     assert marked.where("found <> listed").count() == 0 and marked.count() == 6000
 
 
+@pytest.mark.parametrize("shard_keys", [10**6, 300])
+def test_judge_takes_a_table_of_listed_keys(spark, shard_keys):
+    pages = spark.range(5000).selectExpr("id as page_id", "concat('http://H', id % 900, '.net/p', id % 7, '?q=', id) as url")
+    listed = spark.range(3000).selectExpr("if(id % 50 = 0, null, concat('h', id % 900, '.net/p', id % 3)) as key", "1 as host")
+    wanted = {r["key"] for r in listed.collect() if r["key"]}
+    rows = urlfilter.judge(pages, [urlfilter.Rule("allow", "h5.net", "/")], listed, shard_keys=shard_keys).collect()
+    assert len(rows) == 5000 and {r["verdict"] for r in rows} == {"allow", "block"}
+    for r in rows:
+        expected = "allow" if r["host"] == "h5.net" else "block" if r["host"] + r["path"] in wanted else "allow"
+        assert r["verdict"] == expected
+    assert urlfilter.judge(pages, [], listed.where("false")).where("verdict = 'block'").count() == 0
+
+
 def test_cascade_of_nothing(spark):
     keys = spark.range(10).selectExpr("cast(id as string) as key", "false as listed")
     assert urlfilter.build(keys).mark(keys, F.col("key"), "found").where("found").count() == 0
