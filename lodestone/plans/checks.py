@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodestone.operators import router, suppliers
+from lodestone.operators import answers, router, suppliers
 from lodestone.operators.profile import MONEY_COLUMNS
 from lodestone.plans.derive import cte
 from lodestone.plans.queries import AS_OF, COUNTED
@@ -608,10 +608,11 @@ _QUESTIONS = cte("questions") + ", " + _routed("questions")
 _ENTITY_TEXT = "array_to_string(list_filter([" + ", ".join(
     f"CASE WHEN len({k}) > 0 THEN '{k}=' || {_shown(k)} END" for k in _KINDS
 ) + "], lambda x: x IS NOT NULL), ', ')"
+_ROUTE = f"""'intents=' || {_shown("CASE WHEN len(intents) = 0 THEN ['general'] ELSE intents END")} || '; entities: '
+        || CASE WHEN {_ENTITY_TEXT} = '' THEN 'none' ELSE {_ENTITY_TEXT} END || '; sources=' || {_shown('sources')}"""
 SQL["route_questions"] = _QUESTIONS + f""" SELECT question_id, array_to_string(intents, ',') AS intents,
     {', '.join(f"array_to_string({k}, ',') AS {k}" for k in _KINDS)}, array_to_string(sources, ',') AS sources,
-    'intents=' || {_shown("CASE WHEN len(intents) = 0 THEN ['general'] ELSE intents END")} || '; entities: '
-        || CASE WHEN {_ENTITY_TEXT} = '' THEN 'none' ELSE {_ENTITY_TEXT} END || '; sources=' || {_shown('sources')} AS route,
+    {_ROUTE} AS route,
     concat_ws(' / ', CASE WHEN docs_only THEN '{router.REASON_DOCS_ONLY}' END,
         CASE WHEN use_sql THEN '{router.REASON_SQL}' END, CASE WHEN use_document THEN '{router.REASON_DOCUMENT}' END,
         '{router.REASON_VECTOR}'
@@ -628,6 +629,19 @@ def _evidence(*tables: str) -> str:
     return cte("questions", *tables) + ", " + _routed("questions")
 
 
+# Besides the compared columns a row has the condition that looks it up (cond) and its place in its source (ord, as text).
+def _is(column: str, value: str) -> str:
+    return f"'{column} = ''' || {value} || ''''"
+
+
+def _nth(number: str) -> str:
+    return f"lpad(CAST({number} AS VARCHAR), 19, '0')"
+
+
+def _first(ids: str) -> str:
+    return f"string_split({ids}, ', ')[1]"
+
+
 _SERVICE_TEXT = """format('Service {} on {} for {}: {} by {}, {} h, ${} labor, status {}. Resolution: {}', dispatch_id,
         dispatch_date::VARCHAR, equipment_id, service_type, technician, hours_spent::VARCHAR, labor_cost::VARCHAR, status,
         coalesce(resolution_summary, 'None'))"""
@@ -641,41 +655,45 @@ SQL["evidence_units"] = _evidence(
     WHERE use_sql AND len(equipment) + len(serial) > 0),
 found AS (SELECT DISTINCT question_id, e.*, company_name FROM (SELECT question_id, unnest(ids) AS id FROM asked)
     JOIN equipment_units e ON equipment_id = id OR serial_number = id JOIN customers USING (customer_id)),
-services AS (SELECT question_id, s.* FROM found JOIN service_logs s USING (equipment_id)
-    QUALIFY row_number() OVER (PARTITION BY question_id, equipment_id ORDER BY dispatch_date DESC, dispatch_id) <= 5),
-claims AS (SELECT question_id, w.*, part_name FROM found JOIN warranty_claims w USING (equipment_id)
-    LEFT JOIN parts_inventory p ON p.part_id = w.part_id
-    QUALIFY row_number() OVER (PARTITION BY question_id, equipment_id ORDER BY claim_date DESC, claim_id) <= 5)
+services AS (SELECT question_id, s.*, row_number() OVER (PARTITION BY question_id, equipment_id
+    ORDER BY dispatch_date DESC, dispatch_id) AS nth FROM found JOIN service_logs s USING (equipment_id) QUALIFY nth <= 5),
+claims AS (SELECT question_id, w.*, part_name, row_number() OVER (PARTITION BY question_id, equipment_id
+    ORDER BY claim_date DESC, claim_id) AS nth FROM found JOIN warranty_claims w USING (equipment_id)
+    LEFT JOIN parts_inventory p ON p.part_id = w.part_id QUALIFY nth <= 5),
+absent AS (SELECT question_id, ids, '(' || array_to_string(list_transform(ids, lambda x: '''' || x || ''''), ', ') || ')' AS listed
+    FROM asked WHERE question_id NOT IN (SELECT question_id FROM found))
 SELECT question_id, equipment_id AS record_id, 'equipment_units' AS document, CAST(install_date AS VARCHAR) AS "timestamp",
     format('Unit {{}} (serial {{}}), model {{}}, {{}} kW, status {{}}, customer {{}}, installed {{}}, warranty expires {{}} ({{}}).',
         equipment_id, serial_number, model, capacity_kw::VARCHAR, status, company_name, install_date::VARCHAR,
-        warranty_expiration::VARCHAR, CASE WHEN warranty_expiration >= DATE '{AS_OF}' THEN 'ACTIVE' ELSE 'EXPIRED' END) AS text
+        warranty_expiration::VARCHAR, CASE WHEN warranty_expiration >= DATE '{AS_OF}' THEN 'ACTIVE' ELSE 'EXPIRED' END) AS text,
+    {_is('equipment_id', 'equipment_id')} AS cond, ['0', equipment_id, '0', '0'] AS ord
 FROM found
 UNION ALL SELECT question_id, dispatch_id, 'service_logs', CAST(dispatch_date AS VARCHAR),
-    {_SERVICE_TEXT} FROM services
+    {_SERVICE_TEXT}, {_is('dispatch_id', 'dispatch_id')}, ['0', equipment_id, '1', {_nth('nth')}] FROM services
 UNION ALL SELECT question_id, claim_id, 'warranty_claims', CAST(claim_date AS VARCHAR),
-    {_CLAIM_TEXT} FROM claims
+    {_CLAIM_TEXT}, {_is('claim_id', 'claim_id')}, ['0', equipment_id, '2', {_nth('nth')}] FROM claims
 UNION ALL SELECT question_id, 'no matching row', 'equipment_units', 'n/a',
     'ERP lookup returned NO equipment_units record for ' || array_to_string(ids, ', ')
-    || '; this unit has no ERP service or warranty history on file.'
-FROM asked WHERE question_id NOT IN (SELECT question_id FROM found)"""
+    || '; this unit has no ERP service or warranty history on file.',
+    'equipment_id IN ' || listed || ' OR serial_number IN ' || listed, ['0', '', '0', '0'] FROM absent"""
 SQL["evidence_ids"] = _evidence("service_logs", "warranty_claims", "parts_inventory") + f""",
 d AS (SELECT question_id, unnest(dispatch) AS id FROM routed WHERE use_sql),
 c AS (SELECT question_id, unnest(claim) AS id FROM routed WHERE use_sql),
 p AS (SELECT question_id, unnest(part) AS id FROM routed WHERE use_sql),
 rows_ AS (
     SELECT question_id, id, 'service_logs' AS document, dispatch_id AS found, CAST(dispatch_date AS VARCHAR) AS "timestamp",
-        {_SERVICE_TEXT} AS text
+        {_SERVICE_TEXT} AS text, 'dispatch_id' AS key, '0' AS kind
     FROM d LEFT JOIN service_logs ON dispatch_id = id
-    UNION ALL SELECT question_id, id, 'warranty_claims', claim_id, CAST(claim_date AS VARCHAR), {_CLAIM_TEXT}
+    UNION ALL SELECT question_id, id, 'warranty_claims', claim_id, CAST(claim_date AS VARCHAR), {_CLAIM_TEXT}, 'claim_id', '1'
     FROM c LEFT JOIN (SELECT w.*, part_name FROM warranty_claims w LEFT JOIN parts_inventory i ON i.part_id = w.part_id) ON claim_id = id
     UNION ALL SELECT question_id, id, 'parts_inventory', part_id, 'current inventory',
         format('Part {{}} ''{{}}'': supplier {{}}, manufacturer {{}}, {{}} units in stock.', part_id, trim(part_name), supplier,
-            manufacturer, stock_quantity)
+            manufacturer, stock_quantity), 'part_id', '2'
     FROM p LEFT JOIN parts_inventory ON part_id = id)
 SELECT question_id, coalesce(found, 'no matching row') AS record_id, document,
     CASE WHEN found IS NULL THEN 'n/a' ELSE "timestamp" END AS "timestamp",
-    CASE WHEN found IS NULL THEN 'ERP lookup returned NO ' || document || ' record for ' || id || '.' ELSE text END AS text
+    CASE WHEN found IS NULL THEN 'ERP lookup returned NO ' || document || ' record for ' || id || '.' ELSE text END AS text,
+    key || ' = ''' || id || '''' AS cond, ['3', kind, id, '0'] AS ord
 FROM rows_"""
 SQL["evidence_model"] = _evidence("equipment_units", "service_logs", "warranty_claims") + f""",
 asked AS (SELECT question_id, intents, unnest(model[1:2]) AS model FROM routed WHERE use_sql),
@@ -684,15 +702,18 @@ SELECT question_id, 'aggregate model=' || model AS record_id, 'equipment_units'
     coalesce(first_install::VARCHAR, 'None') || '..' || coalesce(last_install::VARCHAR, 'None') AS "timestamp",
     format('ERP fleet for model {{}}: {{}} units, {{}} in service, {{}} still under warranty.{{}}', model, coalesce(units, 0),
         coalesce(in_service, 0), coalesce(under_warranty, 0), CASE WHEN units IS NULL
-        THEN ' (No ERP units of this model - it appears only in telemetry/docs.)' ELSE '' END) AS text
+        THEN ' (No ERP units of this model - it appears only in telemetry/docs.)' ELSE '' END) AS text,
+    {_is('model', 'model')} AS cond, ['1', model, '0', '0'] AS ord
 FROM asked LEFT JOIN fleet USING (model)
 UNION ALL SELECT question_id, examples, 'service_logs', first_seen::VARCHAR || '..' || last_seen::VARCHAR,
     format('{{}} repair/diagnostic dispatches: ''{{}}'' occurred {{}} times (e.g. {{}}).', model,
-        coalesce(resolution_summary, 'None'), n, examples)
+        coalesce(resolution_summary, 'None'), n, examples),
+    {_is('dispatch_id', _first('examples'))}, ['1', model, '1', {_nth('position')}]
 FROM asked JOIN failures USING (model) WHERE position <= 5 AND list_has_any(intents, ['failure_modes', 'telemetry', 'service'])
 UNION ALL SELECT question_id, examples, 'warranty_claims', 'aggregate',
     format('{{}} warranty claims with status {{}}: {{}} claims, ${{:,.2f}} approved (e.g. {{}}).', model, status, n,
-        coalesce(approved, 0)::DOUBLE, examples)
+        coalesce(approved, 0)::DOUBLE, examples), {_is('claim_id', _first('examples'))},
+    ['1', model, '2', {_nth('row_number() OVER (PARTITION BY question_id, model ORDER BY n DESC, status NULLS FIRST)')}]
 FROM asked JOIN claims USING (model) WHERE list_contains(intents, 'warranty')"""
 _WORDS = {word: fragment.lower() for word, fragment in suppliers.COMPONENT_WORDS.items()}
 _ASKED_WORDS = "list_filter([" + ", ".join(
@@ -702,12 +723,13 @@ SQL["evidence_suppliers"] = _evidence() + ", " + _SUPPLIERS[5:] + f""", asked AS
     SELECT question_id, contains(lower(question), 'single') AS single, {_ASKED_WORDS} AS words
     FROM routed WHERE use_sql AND list_contains(intents, 'supply')),
 kinds AS (SELECT DISTINCT single, words FROM asked),
-best AS (SELECT single, words, by_part.* FROM kinds, by_part WHERE CASE WHEN single THEN n_suppliers = 1
+best AS (SELECT single, words, by_part.*, row_number() OVER (PARTITION BY single, words ORDER BY n_suppliers, part) AS nth FROM kinds, by_part WHERE CASE WHEN single THEN n_suppliers = 1
     WHEN len(words) = 0 THEN true ELSE len(list_filter(words, lambda w: contains(lower(part), w))) > 0 END
-    QUALIFY row_number() OVER (PARTITION BY single, words ORDER BY n_suppliers, part) <= 8)
+    QUALIFY nth <= 8)
 SELECT question_id, part_ids AS record_id, 'parts_inventory' AS document, 'current inventory' AS "timestamp",
     format('Part ''{{}}'' ({{}}): supplied by {{}} [{{}}]; manufacturers {{}}; {{}} units in stock.', part, part_ids, suppliers,
-        CASE WHEN n_suppliers = 1 THEN 'SINGLE-SOURCE RISK' ELSE n_suppliers || ' suppliers' END, makers, stock) AS text
+        CASE WHEN n_suppliers = 1 THEN 'SINGLE-SOURCE RISK' ELSE n_suppliers || ' suppliers' END, makers, stock) AS text,
+    {_is('part_id', _first('part_ids'))} AS cond, ['2', {_nth('nth')}, '0', '0'] AS ord
 FROM asked JOIN best USING (single, words)"""
 
 
@@ -726,10 +748,11 @@ def _summaries(name: str, source: str, key: str, limit: int) -> str:
     format('fault {{}} logged {{}} times on units {{}}; temperature avg {{}} C / max {{}} C; components flagged: {{}}; '
         || 'latest note: {{}} (e.g. {{}})', fault_code, count(*), any_value(units),
         CAST(CAST(avg(temperature_c) AS DECIMAL(18,9)) AS DECIMAL(18,1))::VARCHAR, max(temperature_c)::VARCHAR,
-        coalesce(any_value(parts), 'none'), any_value(note), any_value(ids)) AS body
+        coalesce(any_value(parts), 'none'), any_value(note), any_value(ids)) AS body,
+    row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, fault_code) AS nth
     FROM {source} JOIN {name}_ids USING ({key}, fault_code) JOIN {name}_units USING ({key}, fault_code)
     LEFT JOIN {name}_parts USING ({key}, fault_code) GROUP BY 1, 2
-    QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, fault_code) <= {limit})"""
+    QUALIFY nth <= {limit})"""
 
 
 _EVENT = """format('Telemetry {} at {} UTC, unit {} ({}): status {}, fault {}, severity {}; {} C, 800.0 V, 12.5 A, SoC {}%, '
@@ -739,34 +762,41 @@ _EVENT = """format('Telemetry {} at {} UTC, unit {} ({}): status {}, fault {}, s
 _AT = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
 SQL["evidence_telemetry"] = _evidence("telemetry_flat") + f""",
 faults AS (SELECT *, equipment_id AS unit, fault_code AS code FROM telemetry_flat WHERE fault_code IS NOT NULL),
-serials AS (SELECT question_id, unnest(serial[1:3]) AS unit FROM routed WHERE use_document),
+serials AS (SELECT question_id, unnest(serial[1:3]) AS unit, unnest(range(len(serial[1:3]))) AS i FROM routed WHERE use_document),
 totals AS (SELECT equipment_id AS unit, count(*) AS total FROM telemetry_flat GROUP BY 1),
 {_summaries('by_unit', 'faults', 'unit', 3)},
-unit_logs AS (SELECT unit, log_id FROM (
-    SELECT equipment_id AS unit, log_id FROM telemetry_flat
+unit_logs AS (SELECT unit, log_id, min(nth) AS nth FROM (
+    SELECT equipment_id AS unit, log_id, 0 AS nth FROM telemetry_flat
     QUALIFY row_number() OVER (PARTITION BY equipment_id ORDER BY ts DESC, log_id DESC) = 1
-    UNION SELECT unit, log_id FROM faults QUALIFY row_number() OVER (PARTITION BY unit ORDER BY ts DESC, log_id DESC) <= 2)
-    WHERE (unit, log_id) NOT IN (SELECT (unit, ids) FROM by_unit)),
+    UNION ALL SELECT unit, log_id, row_number() OVER (PARTITION BY unit ORDER BY ts DESC, log_id DESC) AS n FROM faults QUALIFY n <= 2)
+    WHERE (unit, log_id) NOT IN (SELECT (unit, ids) FROM by_unit) GROUP BY 1, 2),
 {_summaries('by_code', 'faults', 'code', 1)},
-codes AS (SELECT question_id, unnest(fault[1:2]) AS code FROM routed WHERE use_document),
+codes AS (SELECT question_id, unnest(fault[1:2]) AS code, unnest(range(len(fault[1:2]))) AS i FROM routed WHERE use_document),
 broad AS (SELECT question_id, list_contains(intents, 'hot') AS hot, array_to_string(model, '/') AS scope, model FROM routed
     WHERE use_document AND len(serial) = 0 AND len(fault) = 0),
 scopes AS (SELECT DISTINCT scope, model FROM broad),
 scoped AS (SELECT scope, faults.* FROM scopes JOIN faults ON len(model) = 0 OR list_contains(model, model_code)),
 {_summaries('by_scope', 'scoped', 'scope', 5)},
-hot_logs AS (SELECT * FROM scoped QUALIFY row_number() OVER (PARTITION BY scope ORDER BY temperature_c DESC, log_id) <= 2)
+hot_logs AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY temperature_c DESC, log_id) AS nth FROM scoped
+    QUALIFY nth <= 2),
+code_logs AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts DESC, log_id DESC) AS nth FROM faults QUALIFY nth <= 2)
 SELECT question_id, 'no matching document' AS record_id, 'telemetry' AS document, 'n/a' AS "timestamp",
-    'No telemetry documents exist for unit ' || unit || '.' AS text FROM serials WHERE unit NOT IN (SELECT unit FROM totals)
-UNION ALL SELECT question_id, ids, 'telemetry', span, format('Unit {{}} ({{}} telemetry logs): {{}}', unit, total, body)
+    'No telemetry documents exist for unit ' || unit || '.' AS text, {_is('equipment_id', 'unit')} AS cond,
+    ['0', {_nth('i')}, '0', '0'] AS ord FROM serials WHERE unit NOT IN (SELECT unit FROM totals)
+UNION ALL SELECT question_id, ids, 'telemetry', span, format('Unit {{}} ({{}} telemetry logs): {{}}', unit, total, body),
+    {_is('fault_code', 'fault_code')}, ['0', {_nth('i')}, '1', {_nth('nth')}]
 FROM serials JOIN totals USING (unit) JOIN by_unit USING (unit)
-UNION ALL SELECT question_id, log_id, 'telemetry', {_AT}, {_EVENT}
+UNION ALL SELECT question_id, log_id, 'telemetry', {_AT}, {_EVENT}, {_is('log_id', 'log_id')}, ['0', {_nth('i')}, '2', {_nth('nth')}]
 FROM serials JOIN unit_logs USING (unit) JOIN telemetry_flat USING (log_id)
-UNION ALL SELECT question_id, ids, 'telemetry', span, 'Fault code ' || code || ': ' || body FROM codes JOIN by_code USING (code)
-UNION ALL SELECT question_id, log_id, 'telemetry', {_AT}, {_EVENT} FROM codes JOIN (SELECT * FROM faults
-    QUALIFY row_number() OVER (PARTITION BY code ORDER BY ts DESC, log_id DESC) <= 2) USING (code)
+UNION ALL SELECT question_id, ids, 'telemetry', span, 'Fault code ' || code || ': ' || body, {_is('fault_code', 'code')},
+    ['1', {_nth('i')}, '0', '0'] FROM codes JOIN by_code USING (code)
+UNION ALL SELECT question_id, log_id, 'telemetry', {_AT}, {_EVENT}, {_is('log_id', 'log_id')}, ['1', {_nth('i')}, '1', {_nth('nth')}]
+FROM codes JOIN code_logs USING (code)
 UNION ALL SELECT question_id, ids, 'telemetry', span,
-    CASE WHEN scope = '' THEN 'Fleet-wide' ELSE scope END || ' telemetry: ' || body FROM broad JOIN by_scope USING (scope)
-UNION ALL SELECT question_id, log_id, 'telemetry', {_AT}, {_EVENT} FROM broad JOIN hot_logs USING (scope) WHERE hot"""
+    CASE WHEN scope = '' THEN 'Fleet-wide' ELSE scope END || ' telemetry: ' || body, {_is('fault_code', 'fault_code')},
+    ['2', '0', {_nth('nth')}, '0'] FROM broad JOIN by_scope USING (scope)
+UNION ALL SELECT question_id, log_id, 'telemetry', {_AT}, {_EVENT}, {_is('log_id', 'log_id')}, ['2', '1', {_nth('nth')}, '0']
+FROM broad JOIN hot_logs USING (scope) WHERE hot"""
 SQL["evidence_vector"] = _evidence() + f""",
 chunks AS (SELECT conv_id || ':' || turn AS chunk_id, 'talk-' || conv_id || '.txt' AS source_file, turn + 1 AS page_number,
     text || CASE WHEN role = 'system' THEN ' steps ERR_INV_404 fault code' ELSE '' END AS text, role = 'system' AS coded
@@ -786,10 +816,11 @@ hits AS (SELECT question, chunk_id, score, 0 AS priority, 'contains ERR_INV_404'
     UNION ALL SELECT question, chunk_id, score, 2, 'semantic',
         row_number() OVER (PARTITION BY question ORDER BY score DESC, chunk_id) AS rk FROM scored QUALIFY rk <= 4),
 firsts AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY question, chunk_id ORDER BY priority, rk) = 1),
-capped AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY question ORDER BY priority, rk, chunk_id) <= 5)
+capped AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY priority, rk, chunk_id) AS nth FROM firsts QUALIFY nth <= 5)
 SELECT question_id, chunk_id AS record_id, source_file || ' p.' || page_number AS document, 'n/a' AS "timestamp",
     format('{{}} page {{}} ({{}}, similarity {{}}): {{}}', source_file, page_number, how,
-        CAST(CAST(score AS DECIMAL(12,6)) AS DECIMAL(12,2))::VARCHAR, text) AS text
+        CAST(CAST(score AS DECIMAL(12,6)) AS DECIMAL(12,2))::VARCHAR, text) AS text,
+    {_is('chunk_id', 'chunk_id')} AS cond, [{_nth('nth')}] AS ord
 FROM routed JOIN capped USING (question) JOIN chunks USING (chunk_id)"""
 
 # The rows of each source, without what the source alone decides.
@@ -798,26 +829,41 @@ _ROWS = {
     "evidence_ids": ("sql", "'silver.' || document"), "evidence_suppliers": ("sql", "'silver.' || document"),
     "evidence_telemetry": ("document", "'documents.telemetry'"), "evidence_vector": ("vector", "'chunks.collection'"),
 }
-for _name, (_source, _database) in _ROWS.items():
-    SQL[_name] = f"SELECT *, '{_source}' AS source, {_database} AS database FROM ({SQL[_name]})"
+_ORDERED = {
+    name: f"""SELECT *, '{source}' AS source, {database} AS database, 'SELECT * FROM ' || {database} || ' WHERE ' || cond AS verify
+    FROM ({SQL[name]})""" for name, (source, database) in _ROWS.items()
+}
+SQL |= {name: f"SELECT * EXCLUDE (cond, ord) FROM ({sql})" for name, sql in _ORDERED.items()}
 # Names that an evidence row leads to; a row that reports an absence names what was asked for, and finds nothing.
 _NAMED = {
     "evidence_units": "CASE WHEN absent THEN len(list_distinct(list_concat(equipment, serial))) ELSE 1 END",
     "evidence_model": "len(string_split(record_id, ', '))", "evidence_ids": "1", "evidence_suppliers": "len(string_split(record_id, ', '))",
     "evidence_telemetry": "CASE WHEN absent THEN 1 ELSE len(string_split(record_id, ', ')) END", "evidence_vector": "1",
 }
-SQL["verify_evidence"] = _evidence() + " " + " UNION ALL ".join(
-    f"""SELECT question_id, source, database, record_id, CAST({count} AS BIGINT) AS records,
-    CAST(CASE WHEN absent OR contains(text, ': 0 units, ') THEN 0 ELSE {count} END AS BIGINT) AS found, true AS verified
-    FROM (SELECT *, starts_with(record_id, 'no matching') AS absent FROM ({SQL[name]})) JOIN (SELECT question_id, equipment, serial FROM routed)
-    USING (question_id)""" for name, count in _NAMED.items()
-)
-
-SQL["evidence_tags"] = "SELECT question_id, source, count(*) AS n, count(*) AS last, count(*) AS tags FROM (" + " UNION ALL ".join(
-    f"SELECT question_id, '{source}' AS source FROM ({SQL[name]})" for name, source in {
-        "evidence_units": "sql", "evidence_model": "sql", "evidence_ids": "sql", "evidence_suppliers": "sql", "evidence_telemetry": "document",
-        "evidence_vector": "vector"}.items()
-) + ") GROUP BY 1, 2"
+_TAGGED = _evidence() + ", rows_ AS (" + " UNION ALL ".join(
+    f"""SELECT '{name}' AS gathered, question_id, source, database, record_id, document, "timestamp", text, verify, ord FROM ({sql})"""
+    for name, sql in _ORDERED.items()
+) + """), numbered AS (SELECT *, row_number() OVER (PARTITION BY question_id, source ORDER BY ord, record_id) AS position FROM rows_),
+tagged AS (SELECT *, CASE source WHEN 'sql' THEN 'SQL' WHEN 'document' THEN 'MDB' ELSE 'VEC' END || position AS tag,
+    starts_with(record_id, 'no matching') AS absent,
+    row_number() OVER (PARTITION BY question_id ORDER BY list_position(['sql', 'document', 'vector'], source), position) AS nth
+    FROM numbered)"""
+_LOOKED_UP = "CASE gathered " + " ".join(f"WHEN '{name}' THEN {count}" for name, count in _NAMED.items()) + " END"
+SQL["verify_evidence"] = _TAGGED + f""", counted AS (SELECT *, CAST({_LOOKED_UP} AS BIGINT) AS records
+    FROM tagged JOIN (SELECT question_id, equipment, serial FROM routed) USING (question_id))
+SELECT question_id, tag, source, database, record_id, records, true AS verified,
+    CASE WHEN absent OR contains(text, ': 0 units, ') THEN 0 ELSE records END AS found FROM counted"""
+SQL["evidence_tags"] = _TAGGED + " SELECT question_id, tag, source, database, record_id, verify, position FROM tagged"
+_PROMPT = "'" + answers.PROMPT.replace("'", "''") + "'"
+SQL["prompt_context"] = _TAGGED + f""", contexts AS (SELECT question_id, string_agg(format('[{{}}] ({{}} | record {{}} | {{}} | {{}})'
+    || chr(10) || '{{}}', tag, database, record_id, document, "timestamp", text), chr(10) || chr(10) ORDER BY nth) AS context
+    FROM tagged GROUP BY 1)
+SELECT question_id, replace(replace(replace({_PROMPT}, '{{question}}', question), '{{route}}', {_ROUTE}), '{{context}}',
+    coalesce(context, '')) AS prompt FROM routed LEFT JOIN contexts USING (question_id)"""
+SQL["extractive_answers"] = _TAGGED + f""", quoted AS (SELECT question_id, string_agg('- [' || tag || '] '
+    || substring(text, 1, {answers.SHOWN_CHARS}), chr(10) ORDER BY nth) AS lines FROM tagged WHERE nth <= {answers.SHOWN_ROWS} GROUP BY 1)
+SELECT question_id, coalesce('**Summary:** LLM unavailable (no model configured); showing the retrieved evidence verbatim instead.'
+    || chr(10) || lines, '{answers.NOTHING_FOUND}') AS answer FROM routed LEFT JOIN quoted USING (question_id)"""
 
 # ---- citations
 

@@ -830,7 +830,7 @@ def route_conversations(spark, sf_dir):
 
 
 def _evidence_columns(df: DataFrame) -> DataFrame:
-    return df.select("question_id", "source", "database", "record_id", "document", "timestamp", "text")
+    return df.select("question_id", "source", "database", "record_id", "document", "timestamp", "text", "verify")
 
 
 @register
@@ -892,9 +892,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, d
 @register
 def evidence_tags(spark, sf_dir):
     _, found, _ = _evidence(spark, sf_dir)
-    return found.groupBy("question_id", "source").agg(
-        F.count("*").alias("n"), F.max("position").cast("bigint").alias("last"), F.countDistinct("tag").alias("tags")
-    )
+    return found.select("question_id", "tag", "source", "database", "record_id", "verify", _long("position"))
 
 
 @register
@@ -915,7 +913,7 @@ def verify_evidence(spark, sf_dir):
     found = materialize(found, "evidence")
     verified = evidence.verify(found, tables, _as_of())
     return verified.join(found.select("question_id", "tag", "source", "database", "record_id"), ["question_id", "tag"]).select(
-        "question_id", "source", "database", "record_id", _long("records"), _long("found"), "verified"
+        "question_id", "tag", "source", "database", "record_id", _long("records"), _long("found"), "verified"
     )
 
 
