@@ -58,7 +58,7 @@ def _quote(col: Column) -> Column:
 
 def _row(
     df: DataFrame, ord_: list[Column], source: str, table: str, record_id: Column, ts: Column, text: Column,
-    where: Column | None = None, document: Column | None = None, verify: Column | None = None,
+    where: Column | None = None, document: Column | None = None, verify: Column | None = None, claim: Column | None = None,
 ) -> DataFrame:
     database = {"sql": RELATIONAL, "document": DOCUMENTS, "vector": CHUNKS}[source]
     if verify is None:
@@ -74,9 +74,47 @@ def _row(
         text.alias("text"),
         verify.alias("verify"),
         F.lit("").alias("tag"),
+        (F.lit(None) if claim is None else claim).cast(CLAIM).alias("claim"),
     )
 
 
+# What a row counts, if it speaks of many records: the kind of count, and the keys of the counted group.
+CLAIM = "struct<about:string,keys:array<string>>"
+
+
+def _claim(about: str, *keys: Column) -> Column:
+    return F.struct(F.lit(about).alias("about"), F.array(*[k.cast("string") for k in keys]).alias("keys"))
+
+
+def _fleet_text(model: Column, units: Column, in_service: Column, under_warranty: Column | None = None) -> Column:
+    """Without the units under warranty, the part of the text before them."""
+    text = _text("ERP fleet for model {model}: {units} units, {in_service} in service, ",
+                 model=model, units=units, in_service=in_service)
+    return text if under_warranty is None else F.concat(text, _text("{n} still under warranty.", n=under_warranty))
+
+
+def _failures_text(model: Column, resolution: Column, n: Column, examples: Column) -> Column:
+    return _text(
+        "{model} repair/diagnostic dispatches: '{resolution}' occurred {n} times (e.g. {examples}).",
+        model=model, resolution=resolution, n=n, examples=examples,
+    )
+
+
+def _claims_text(model: Column, status: Column, n: Column, approved: Column, examples: Column) -> Column:
+    return _text(
+        "{model} warranty claims with status {status}: {n} claims, ${approved} approved (e.g. {examples}).",
+        model=model, status=status, n=n, approved=approved, examples=examples,
+    )
+
+
+def _fault_text(fault: Column, events: Column) -> Column:
+    return _text("fault {fault} logged {events} times", fault=fault, events=events)
+
+
+def _stock_text(stock: Column) -> Column:
+    return _text("; {stock} units in stock.", stock=stock)
+
+
 def _pos(col: Column) -> Column:
     """A position as text that sorts like the number, whatever its size."""
     return F.lpad(col.cast("string"), 19, "0")
@@ -214,11 +252,7 @@ def fleet(equipment: DataFrame, as_of: Column) -> DataFrame:
 
 def model_failures(logs: DataFrame, equipment: DataFrame, n: int = 5) -> DataFrame:
     """Per model the ``n`` most frequent resolutions of repair dispatches, with the newest ids."""
-    models = equipment.select("equipment_id", "model")
-    repairs = logs.filter(F.col("service_type").isin(REPAIR_TYPES)).select(
-        "equipment_id", "resolution_summary", "dispatch_id", "dispatch_date"
-    )
-    own = repairs.join(models, "equipment_id")
+    own = _repairs(logs, equipment)
     keys = ["model", "resolution_summary"]
     counts = own.groupBy(*keys).agg(
         F.count("*").alias("n"),
@@ -231,6 +265,13 @@ def model_failures(logs: DataFrame, equipment: DataFrame, n: int = 5) -> DataFra
     return _join_nullsafe(best, examples, keys)
 
 
+def _repairs(logs: DataFrame, equipment: DataFrame) -> DataFrame:
+    repairs = logs.filter(F.col("service_type").isin(REPAIR_TYPES)).select(
+        "equipment_id", "resolution_summary", "dispatch_id", "dispatch_date"
+    )
+    return repairs.join(equipment.select("equipment_id", "model"), "equipment_id")
+
+
 def model_claims(claims: DataFrame, equipment: DataFrame) -> DataFrame:
     """Claims per model and status with approved amounts and the newest ids."""
     models = equipment.select("equipment_id", "model")
@@ -260,18 +301,16 @@ def model(questions: DataFrame, tables: dict[str, DataFrame], as_of: Column) ->
     equipment = tables["equipment_units"].join(wanted, "model", "left_semi")
     sizes = asked.join(fleet(equipment, as_of), "model", "left")
     count = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("units", "in_service", "under_warranty")}
+    counts = list(count.values())
     none_note = F.when(
         count["units"] == 0, " (No ERP units of this model - it appears only in telemetry/docs.)"
     ).otherwise("")
     fleet_rows = _row(
         sizes, [F.lit(1), F.col("model"), F.lit(0), F.lit(0)], "sql", "equipment_units",
         F.concat(F.lit("aggregate model="), "model"), _text("{first_install}..{last_install}"),
-        _text(
-            "ERP fleet for model {model}: {units} units, {in_service} in service, {under_warranty} still under "
-            "warranty.{note}",
-            note=none_note, **count,
-        ),
+        F.concat(_fleet_text(F.col("model"), *counts), none_note),
         F.concat(F.lit("model = "), _quote(F.col("model"))),
+        claim=_claim("fleet", F.col("model")),
     )
 
     def having(*names: str) -> DataFrame:
@@ -283,10 +322,9 @@ def model(questions: DataFrame, tables: dict[str, DataFrame], as_of: Column) ->
     failure_rows = _row(
         failures, [F.lit(1), F.col("model"), F.lit(1), _pos(F.col("position"))], "sql", "service_logs",
         F.col("examples"), _text("{first_seen}..{last_seen}"),
-        _text(
-            "{model} repair/diagnostic dispatches: '{resolution_summary}' occurred {n} times (e.g. {examples})."
-        ),
+        _failures_text(*[F.col(c) for c in ("model", "resolution_summary", "n", "examples")]),
         F.concat(F.lit("dispatch_id = "), _quote(first_id(F.col("examples")))),
+        claim=_claim("failures", F.col("model"), F.col("resolution_summary")),
     )
     claims = rank(
         having("warranty").join(model_claims(tables["warranty_claims"], equipment), "model"),
@@ -295,11 +333,9 @@ def model(questions: DataFrame, tables: dict[str, DataFrame], as_of: Column) ->
     claim_rows = _row(
         claims, [F.lit(1), F.col("model"), F.lit(2), _pos(F.col("position"))], "sql", "warranty_claims",
         F.col("examples"), F.lit("aggregate"),
-        _text(
-            "{model} warranty claims with status {status}: {n} claims, ${approved} approved (e.g. {examples}).",
-            approved=_money(F.col("approved")),
-        ),
+        _claims_text(F.col("model"), F.col("status"), F.col("n"), _money(F.col("approved")), F.col("examples")),
         F.concat(F.lit("claim_id = "), _quote(first_id(F.col("examples")))),
+        claim=_claim("claims", F.col("model"), F.col("status")),
     )
     return union(fleet_rows, failure_rows, claim_rows)
 
@@ -337,11 +373,11 @@ def suppliers(questions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         rows, [F.lit(2), _pos(F.col("_rank")), F.lit(0), F.lit(0)], "sql", "parts_inventory",
         F.col("part_ids"), F.lit("current inventory"),
         _text(
-            "Part '{part}' ({part_ids}): supplied by {suppliers} [{risk}]; manufacturers {makers}; {stock} units "
-            "in stock.",
-            risk=risk,
+            "Part '{part}' ({part_ids}): supplied by {suppliers} [{risk}]; manufacturers {makers}{in_stock}",
+            risk=risk, in_stock=_stock_text(F.col("stock")),
         ),
         F.concat(F.lit("part_id = "), _quote(first_id(F.col("part_ids")))),
+        claim=_claim("stock", F.col("part")),
     )
 
 
@@ -374,12 +410,13 @@ def _summary_rows(summary: DataFrame, ord_: list[Column], label: Column) -> Data
         summary, ord_, "document", "telemetry", F.col("latest_ids"),
         F.concat(day("first_ts"), F.lit(".."), day("last_ts")),
         _text(
-            "{label}: fault {fault_code} logged {events} times on units {units}; temperature avg {avg} C / max "
+            "{label}: {logged} on units {units}; temperature avg {avg} C / max "
             "{max_temperature} C; components flagged: {components}; latest note: {latest_note} (e.g. {latest_ids})",
-            label=label, avg=F.format_string("%.1f", "avg_temperature"),
+            label=label, logged=_fault_text(F.col("fault_code"), F.col("events")), avg=F.format_string("%.1f", "avg_temperature"),
             components=_or("components", "none"),
         ),
         F.concat(F.lit("fault_code = "), _quote(F.col("fault_code"))),
+        claim=_claim("faults", F.col("_scope"), F.col("fault_code")),
     )
 
 
@@ -611,35 +648,93 @@ def collect(
     return tag(union(*frames)), errors, timings
 
 
-# Where the text of a fleet row states its counts; follows the template in model().
-FLEET_COUNTS = r": (\d+) units, (\d+) in service, (\d+) still under warranty\."
+def _recount_faults(log: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(scope, fault_code, events): the faults of each scope counted from the log, which is reduced first."""
+    faults = log.join(broadcast_if_small(scopes.select("fault_code").distinct()), "fault_code", "left_semi")
+    counts = faults.groupBy("fault_code", "equipment_id", "model_code").agg(F.count("*").alias("n"))
+    general = F.array(
+        F.concat(F.lit("unit "), "equipment_id"), F.concat(F.lit("code "), "fault_code"), F.lit(FLEET)
+    )
+    models = scopes.filter(F.col("scope").startswith("models ")).select("scope").distinct().select(
+        "scope", F.explode(F.split(F.regexp_replace("scope", "^models ", ""), "/")).alias("model_code")
+    )
+    columns = ["scope", "fault_code", "n"]
+    parts = counts.withColumn("scope", F.explode(general)).select(columns).unionByName(
+        counts.join(broadcast_if_small(models), "model_code").select(columns)
+    )
+    return parts.groupBy("scope", "fault_code").agg(F.sum("n").alias("events"))
+
+
+def _recounted(claims: DataFrame, tables: dict[str, DataFrame], as_of: Column | None) -> DataFrame:
+    """(_key, _numbers): the groups that ``claims`` are about counted again, from the tables that are given."""
+    def asked(about: list[str], *names: str) -> DataFrame:
+        rows = claims.filter(F.col("claim.about").isin(about))
+        return rows.select(*[F.col("claim.keys")[i].alias(name) for i, name in enumerate(names)]).distinct()
+
+    def numbers(counted: DataFrame, claim: Column, *values: Column) -> DataFrame:
+        keyed = counted.select(claim.cast(CLAIM).alias("claim"), F.array(*[v.cast("string") for v in values]).alias("_numbers"))
+        return keyed.select(_claim_key(), "_numbers")
+
+    # A claim whose tables are not all given is counted by nobody.
+    frames = [claims.select(_claim_key(), F.lit(None).cast("array<string>").alias("_numbers")).limit(0)]
+    if "equipment_units" in tables:
+        equipment = tables["equipment_units"].join(
+            broadcast_if_small(asked(["fleet", "failures", "claims"], "model")), "model", "left_semi"
+        )
+        models = asked(["fleet"], "model")
+        sizes = models.join(fleet(equipment, F.current_date() if as_of is None else as_of), "model", "left")
+        counts = [F.coalesce(c, F.lit(0)) for c in ("units", "in_service", "under_warranty")]
+        frames.append(numbers(sizes, _claim("fleet", F.col("model")), *counts))
+        if "service_logs" in tables:
+            repairs = _repairs(tables["service_logs"], equipment).groupBy("model", "resolution_summary").count()
+            frames.append(numbers(repairs, _claim("failures", F.col("model"), F.col("resolution_summary")), F.col("count")))
+        if "warranty_claims" in tables:
+            own = tables["warranty_claims"].select("equipment_id", "status", "approved_amount").join(
+                equipment.select("equipment_id", "model"), "equipment_id"
+            ).groupBy("model", "status").agg(F.count("*").alias("n"), F.sum("approved_amount").alias("approved"))
+            frames.append(numbers(own, _claim("claims", F.col("model"), F.col("status")), F.col("n"), _money(F.col("approved"))))
+    if "parts_inventory" in tables:
+        parts = tables["parts_inventory"].withColumn("part", F.trim("part_name")).join(
+            broadcast_if_small(asked(["stock"], "part")), "part", "left_semi"
+        ).groupBy("part").agg(F.sum("stock_quantity").alias("stock"))
+        frames.append(numbers(parts, _claim("stock", F.col("part")), F.col("stock")))
+    if "telemetry" in tables:
+        faults = _recount_faults(tables["telemetry"], asked(["faults"], "scope", "fault_code"))
+        frames.append(numbers(faults, _claim("faults", F.col("scope"), F.col("fault_code")), F.col("events")))
+    return union(*frames)
 
 
-def _verify_fleets(rows: DataFrame, equipment: DataFrame, as_of: Column | None) -> DataFrame:
-    """Counts that fleet rows claim against counts taken again; a model without units must claim none."""
-    counts = ["units", "in_service", "under_warranty"]
-    claimed = rows.select(
-        "question_id", "tag", F.regexp_replace("record_id", "^aggregate model=", "").alias("model"),
-        *[F.regexp_extract("text", FLEET_COUNTS, i + 1).try_cast("bigint").alias(f"_{c}") for i, c in enumerate(counts)],
-    )
-    wanted = broadcast_if_small(claimed.select("model").distinct())
-    sizes = fleet(equipment.join(wanted, "model", "left_semi"), F.current_date() if as_of is None else as_of)
-    joined = claimed.join(sizes.select("model", *counts), "model", "left")
-    compared = counts if as_of is not None else counts[:2]
-    same = [F.coalesce(F.col(c), F.lit(0)).eqNullSafe(F.col(f"_{c}")) for c in compared]
-    found = (F.coalesce("units", F.lit(0)) > 0).cast("bigint")
-    return joined.select(
-        "question_id", "tag", F.lit(1).cast("bigint").alias("records"), found.alias("found"),
-        reduce(lambda a, b: a & b, same).alias("verified"),
+def _claim_key() -> Column:
+    """Kind and keys as one text; keys may be NULL."""
+    return F.concat("claim.about", F.lit(" "), F.to_json("claim.keys")).alias("_key")
+
+
+def _check_claims(evidence: DataFrame, tables: dict[str, DataFrame], as_of: Column | None) -> DataFrame:
+    """(question_id, tag, _same, _size): whether the text of each row that counts states the numbers counted again."""
+    claims = evidence.filter("claim IS NOT NULL").select("question_id", "tag", "text", "record_id", "claim", _claim_key())
+    both = claims.join(_recounted(claims, tables, as_of), "_key", "left")
+    about, text = F.col("claim.about"), F.col("text")
+    first, second = F.col("claim.keys")[0], F.get("claim.keys", F.lit(1))
+    n, other, third = (F.get("_numbers", F.lit(i)) for i in range(3))
+    fleet_text = _fleet_text(first, n, other, None if as_of is None else third)
+    stated = (
+        F.when(about == "fleet", text.startswith(fleet_text))
+        .when(about == "failures", text == _failures_text(first, second, n, F.col("record_id")))
+        .when(about == "claims", text == _claims_text(first, second, n, other, F.col("record_id")))
+        .when(about == "faults", text.contains(F.concat(F.lit(": "), _fault_text(second, n))))
+        .when(about == "stock", text.endswith(_stock_text(n)))
     )
+    same = F.col("_numbers").isNotNull() & F.coalesce(stated, F.lit(False))
+    return both.select("question_id", "tag", same.alias("_same"), F.coalesce((n != "0").cast("bigint"), F.lit(0)).alias("_size"))
 
 
 def verify(evidence: DataFrame, tables: dict[str, DataFrame], as_of: Column | None = None) -> DataFrame:
     """Look the records of evidence rows up again: records named, records found, and the verdict.
 
-    Rows that report an absence are verified by finding nothing. The counts of a model's fleet are taken again and
-    must equal those the row states; units under warranty are compared if ``as_of``, the day of the evidence, is
-    given. Rows of a table that is not given are reported as not verified.
+    Rows that report an absence are verified by finding nothing. What a row says of many records (units of a model,
+    repairs by resolution, claims by status, faults of a unit, model, code or the fleet, stock of a part) is counted
+    again by the keys in ``claim``, and its text must state these counts. Units under warranty are compared if ``as_of``,
+    the day of the evidence, is given. Rows that need a table that is not given are reported as not verified.
     """
     keys = {
         "equipment_units": "equipment_id", "service_logs": "dispatch_id", "warranty_claims": "claim_id",
@@ -647,7 +742,7 @@ def verify(evidence: DataFrame, tables: dict[str, DataFrame], as_of: Column | No
     }
     table = F.element_at(F.split("database", r"\."), -1)
     absence = F.col("record_id").startswith("no matching")
-    fleets = F.col("record_id").startswith("aggregate model=") & F.lit("equipment_units" in tables)
+    fleets = F.coalesce(F.col("claim.about") == "fleet", F.lit(False))
     named = F.regexp_extract_all("verify", F.lit(r"'((?:[^']|'')+)'"), 1)
     ids = F.when(absence, F.array_distinct(named)).when(
         F.col("source") == "vector", F.array("record_id")
@@ -680,7 +775,13 @@ def verify(evidence: DataFrame, tables: dict[str, DataFrame], as_of: Column | No
         F.count("*").alias("records"), F.count("_hit").alias("found"), F.bool_and("_known").alias("_known")
     )
     verdict = F.when(F.col("_absence"), F.col("found") == 0).otherwise(F.col("found") == F.col("records"))
-    out = rows.select("question_id", "tag", "records", "found", (F.col("_known") & verdict).alias("verified"))
-    if "equipment_units" not in tables:
-        return out
-    return out.unionByName(_verify_fleets(evidence.filter(fleets), tables["equipment_units"], as_of))
+    claims = _check_claims(evidence, tables, as_of)
+    fleet_rows = evidence.filter(fleets).select("question_id", "tag").join(claims, ["question_id", "tag"]).select(
+        "question_id", "tag", F.lit(1).cast("bigint").alias("records"), F.col("_size").alias("found"),
+        F.col("_same").alias("verified"),
+    )
+    out = rows.join(claims, ["question_id", "tag"], "left").select(
+        "question_id", "tag", "records", "found",
+        (F.col("_known") & verdict & F.coalesce("_same", F.lit(True))).alias("verified"),
+    )
+    return out.unionByName(fleet_rows)

@@ -146,7 +146,7 @@ SAFE_VIEW_COLUMNS = [
 ]
 
 EVIDENCE_COLUMNS = [
-    "source", "database", "record_id", "document", "timestamp", "text", "verify", "tag",
+    "source", "database", "record_id", "document", "timestamp", "text", "verify", "tag", "claim",
 ]
 
 _STRING, _INT, _DOUBLE = T.StringType(), T.IntegerType(), T.DoubleType()

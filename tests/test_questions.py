@@ -125,6 +125,14 @@ def test_false_counts_and_absent_tables_are_not_verified(spark, asked):
         return {r.verified for r in evidence.verify(rows, tables, as_of).collect()}
 
     assert verdicts(fleets, data) == {True}
+    claims = result.evidence.filter("claim.about IN ('failures', 'claims', 'faults', 'stock')")
+    assert {r.about for r in claims.select("claim.about").distinct().collect()} >= {"faults", "stock"}
+    assert verdicts(claims, data) == {True}
+    reworded = claims.withColumn("text", F.regexp_replace("text", r"(\d+) (times|claims, |units in stock)", "7$1 $2"))
+    assert reworded.exceptAll(claims).count() == claims.count() and verdicts(reworded, data) == {False}
+    fewer = data | {"telemetry": data["telemetry"].filter("log_id <> 'TLM-0'")}
+    summary = claims.filter("claim.about = 'faults'")
+    assert summary.count() > 0 and verdicts(summary, fewer) == {False}
     for said, other in ((": 1 units", ": 12 units"), ("1 in service", "0 in service"), ("1 still", "3 still")):
         wrong = fleets.withColumn("text", F.replace("text", F.lit(said), F.lit(other)))
         assert wrong.exceptAll(fleets).count() == fleets.count() and verdicts(wrong, data) == {False}
