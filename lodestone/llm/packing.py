@@ -4,8 +4,9 @@ A sequence is filled greedily, largest fitting document first. Then its smallest
 unpacked ones, as long as two are found that fill the expanded gap more tightly.
 
 Only lengths matter to this, and there are at most ``capacity`` of them. So the plan is made on the histogram of
-lengths: sequences of equal make-up are planned together, as many as the counts allow. Every piece then finds its
-place from its rank among the pieces of its length, in parallel.
+lengths: sequences of equal make-up are planned together, as many as the counts allow. Exchanges use up the short
+pieces that would fill the last sequences; so the plan's end is packed again by best-fit decreasing where that takes
+fewer sequences. Every piece then finds its place from its rank among the pieces of its length, in parallel.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import os
 import re
 import zlib
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -152,8 +154,8 @@ def _tighter_pair(left: np.ndarray, smallest: int, gap: int) -> tuple[int, int]
     return best
 
 
-def best_two_fit(counts: np.ndarray) -> list[Bin]:
-    """Bins for ``counts[n]`` documents of each length n; the capacity is the largest index.
+def exchanged(counts: np.ndarray) -> list[Bin]:
+    """Bins that are each filled greedily and then tightened by exchanges, until nothing is left.
 
     Equal bins are made at once, as many as the counts allow; a length runs out with each step or nearly so, so there
     are few kinds of bins however many documents there are.
@@ -192,6 +194,60 @@ def best_two_fit(counts: np.ndarray) -> list[Bin]:
     return bins
 
 
+def best_fit(counts: np.ndarray) -> list[Bin]:
+    """Best-fit decreasing: each length, longest first, goes to the bins with the smallest gaps that hold it."""
+    capacity, open_bins = len(counts) - 1, defaultdict(list)  # by gap
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        rest = int(counts[n])
+        for gap in sorted(g for g in open_bins if g >= n):
+            # A bin that has taken one is the tightest for the next, as long as it has room.
+            each, kinds = gap // n, open_bins.pop(gap)
+            while kinds and rest:
+                b = kinds.pop()
+                full = min(b.copies, rest // each)
+                some = rest % each if full < b.copies and full == rest // each else 0
+                for copies, take in ((full, each), (1 if some else 0, some)):
+                    if copies:
+                        open_bins[gap - take * n].append(Bin((*b.lengths, *[n] * take), copies))
+                rest -= full * each + some
+                untouched = b.copies - full - (some > 0)
+                if untouched:
+                    kinds.append(Bin(b.lengths, untouched))
+            if kinds:
+                open_bins[gap] += kinds
+            if not rest:
+                break
+        each = capacity // n
+        for copies, take in ((rest // each, each), (1 if rest % each else 0, rest % each)):
+            if copies:
+                open_bins[capacity - take * n].append(Bin((n,) * take, copies))
+    return [b for kinds in open_bins.values() for b in kinds]
+
+
+def best_two_fit(counts: np.ndarray) -> list[Bin]:
+    """Bins for ``counts[n]`` documents of each length n; the capacity is the largest index.
+
+    The kinds of bins that exchanges make, with the last 0, 1, 2, 4, ... or all kinds packed again by :func:`best_fit`,
+    whichever takes the fewest bins; the fewest kinds packed again of several. So there are never more than best-fit
+    decreasing needs.
+    """
+    def size(plan: list[Bin]) -> int:
+        return sum(b.copies for b in plan)
+
+    bins, left, best = exchanged(counts), np.zeros(len(counts), np.int64), None
+    least = -(-int(counts @ np.arange(len(counts))) // (len(counts) - 1))
+    at, last = len(bins), 0
+    while best is None or size(best) > least and at:
+        keep = max(0, len(bins) - last)
+        for b in bins[keep:at]:
+            np.add.at(left, list(b.lengths), b.copies)
+        at, last = keep, 2 * last or 1
+        plan = bins[:keep] + best_fit(left)
+        if best is None or size(plan) < size(best):
+            best = plan
+    return best
+
+
 def slots(bins: list[Bin]) -> pd.DataFrame:
     """(length, first, sequence, at): pieces of a length from rank ``first`` on go to the sequences from ``sequence``
     on, one each, at the offset ``at``."""
