@@ -2,7 +2,8 @@
 
 p(w | u) = a * c(u, w) / c(u) + b * c(w) / N + c / (V + 1), with weights a, b, c for each bucket of the context's
 frequency c(u). They are learned by expectation-maximisation on deleted counts: each training bigram is judged by
-the counts without it.
+the counts without it. For learning alone, estimates are rounded to half powers of two, which bounds the histogram that
+the weights are learned from.
 
 Documents are encoded once, in chunks of about CHUNK tokens. A chunk sends the hashes of its distinct tokens and
 bigrams, with its own counts, to the tasks that own them, packed by range of hash; they answer with the counts of the
@@ -24,6 +25,7 @@ from lodestone.llm.tables import LOWER, shuffle_partitions
 from lodestone.session import materialize
 
 CHUNK = 1_000_000
+RANGE = 4_000_000  # tokens of the corpus for each range of hashes: what a task holds at once, at most
 # Hashed like words, which hold no white space: the end of a text, and the context of its first token.
 END, START = b" ", b"\t"
 BUCKETS = 48  # of a context's frequency: 0, 1, 2-3, 4-7, ...
@@ -120,25 +122,27 @@ class Chunk:
         return [(self.vocabulary[order], single, place[self.tokens]), (keys, double, inverse)]
 
 
-def bounds(buckets: int) -> np.ndarray:
-    """Where the ranges of hashes begin that the buckets own."""
-    return np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
+def ranges(tokens: int, least: int) -> int:
+    """Leading bits of a hash that name its range: at least as many ranges as ``least``, and one for RANGE tokens."""
+    return max(1, (max(least, -(-tokens // RANGE)) - 1).bit_length())
 
 
-def questions(chunks: DataFrame, buckets: int) -> DataFrame:
+def questions(chunks: DataFrame, bits: int) -> DataFrame:
     """(chunk, bucket, keys and counts of tokens and of bigrams): what each chunk has in each range of hashes."""
-    edges = bounds(buckets)
+    shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
                 columns, parts = {}, Chunk(row).counts()
-                cuts = [np.r_[np.searchsorted(keys, edges), len(keys)] for keys, _, _ in parts]
-                used = np.flatnonzero(sum(np.diff(c) for c in cuts))
+                used = np.unique(np.concatenate([keys >> shift for keys, _, _ in parts]))
+                edges = used << shift
                 columns["bucket"] = used.astype(np.int32)
-                for name, (keys, n, _), cut in zip(("token", "bigram"), parts, cuts):
-                    columns[f"{name}_keys"] = [pack(np.diff(keys[cut[b] : cut[b + 1]], prepend=edges[b : b + 1])) for b in used]
-                    columns[f"{name}_counts"] = [pack(n[cut[b] : cut[b + 1]]) for b in used]
+                for name, (keys, n, _) in zip(("token", "bigram"), parts):
+                    cut = np.r_[np.searchsorted(keys, edges), len(keys)]
+                    spans = list(zip(cut, cut[1:]))
+                    columns[f"{name}_keys"] = [pack(np.diff(keys[a:b], prepend=edges[i : i + 1])) for i, (a, b) in enumerate(spans)]
+                    columns[f"{name}_counts"] = [pack(n[a:b]) for a, b in spans]
                 out = pd.DataFrame(columns)
                 out.insert(0, "chunk", row["chunk"])
                 yield out
@@ -148,13 +152,11 @@ def questions(chunks: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def answers(asked: DataFrame, buckets: int) -> DataFrame:
+def answers(asked: DataFrame, bits: int) -> DataFrame:
     """The same (chunk, bucket) with the counts over all chunks; one row a bucket also says how many tokens (n) and
     distinct tokens (v) of training it owns."""
-    edges = bounds(buckets)
-
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        edge = edges[group["bucket"].iloc[0]]
+        edge = np.uint64(int(group["bucket"].iloc[0]) << (64 - bits))
         out = group[["chunk", "bucket"]].copy()
         for name in ("token", "bigram"):
             keys = [np.cumsum(unpack(k, np.uint64), dtype=np.uint64) + edge for k in group[f"{name}_keys"]]
@@ -273,13 +275,15 @@ def score_documents(docs: DataFrame, held_out, id: str = "doc_id", text: str = "
 
     The model learns from all rows for which the boolean column ``held_out`` is false (null counts as false). Null and
     blank texts have the end token alone. Without training rows every token is unknown. An empty table gives no rows.
-    The driver gets two totals and a histogram whose size the constants above bound.
+    The driver gets three totals and a histogram whose size the constants above bound. Hashes are dealt to as many ranges
+    as the counted tokens ask for, so that what a task holds at once does not grow with the corpus.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     slim = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     chunks = materialize(encode(slim, "id", "text", "held").withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-    answered = materialize(answers(questions(chunks, buckets), buckets), "counts")
+    size = chunks.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+    bits = ranges(size, shuffle_partitions(spark))
+    answered = materialize(answers(questions(chunks, bits), bits), "counts")
     total = answered.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = total["n"] or 0, total["v"] or 0
     known = materialize(counted(chunks, answered.drop("n", "v"), n, v), "counted")

@@ -389,6 +389,34 @@ def test_best_two_fit_packs_all(seed):
     assert (used == counts).all()
 
 
+def plain_best_fit(counts) -> int:
+    """Sequences that best-fit decreasing needs, document by document."""
+    gaps = []
+    for n in range(len(counts) - 1, 0, -1):
+        for _ in range(int(counts[n])):
+            room = [g for g in gaps if g >= n]
+            if room:
+                gaps.remove(min(room))
+            gaps.append((min(room) if room else len(counts) - 1) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_two_fit_needs_no_more_than_best_fit_decreasing(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(10):
+        capacity = int(rng.integers(5, 80))
+        counts = np.zeros(capacity + 1, np.int64)
+        counts[1:] = rng.integers(0, 7, capacity) * (rng.random(capacity) < 0.6)
+        bins, plain = packing.best_two_fit(counts), plain_best_fit(counts)
+        assert sum(b.copies for b in packing.best_fit(counts)) == plain
+        assert sum(b.copies for b in bins) <= min(plain, sum(b.copies for b in packing.exchanged(counts)))
+        used = np.zeros_like(counts)
+        for b in bins:
+            np.add.at(used, list(b.lengths), b.copies)
+        assert (used == counts).all()
+
+
 # ---- language model
 
 
@@ -412,6 +440,13 @@ def test_language_model(docs, nothing):
     assert {(r["train_tokens"], r["n_known"], r["score"]) for r in alone} == {(0, 0, 0.0)}
 
 
+def test_language_model_is_the_same_in_any_number_of_ranges(docs, monkeypatch):
+    held = crc_mod(F.col("doc_id"), 7) == 2
+    whole = sorted(map(str, lm.score_documents(docs, held).collect()))
+    monkeypatch.setattr(lm, "RANGE", 50)
+    assert sorted(map(str, lm.score_documents(docs, held).collect())) == whole
+
+
 def test_language_model_is_a_distribution(spark):
     """Probabilities of all one-token continuations sum to one, whatever the context."""
     text = "a b a c a b d e a b"
