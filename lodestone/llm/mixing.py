@@ -17,6 +17,7 @@ from lodestone.llm.tables import WORD, spare
 from lodestone.session import broadcast_if_small, materialize
 
 BLOCK_TOKENS = 250_000
+RANGE_BLOCKS = 100_000  # blocks of a source that one task sorts, about
 GRID = 16  # exponents tried in one pass over the sources: four halvings
 
 
@@ -115,12 +116,23 @@ def mix(
     narrow = dealt.select("key", "block", "size")
     blocks = narrow.groupBy("key", "block").agg(F.sum("size").alias("tokens"))
     passes = F.explode(F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("size")).cast("int"))).alias("epoch")
-    blocks = blocks.join(planned, "key").select("key", "block", "tokens", "size", "budget", passes)
-    order = Window.partitionBy("key", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(seed + 1)), "block")
+    blocks = blocks.join(planned, "key").select("key", "block", "tokens", "size", "budget", "blocks", passes)
+    # Blocks stand in the order of a hash. Ranges of it are sorted by themselves and start where the earlier ones end.
+    blocks = blocks.withColumn("draw", F.xxhash64("block", "epoch", F.lit(seed + 1)))
+    share = F.col("draw").cast("double") / 2.0**64 + 0.5
+    blocks = blocks.withColumn("range", F.floor(share * F.ceil(F.col("blocks") / RANGE_BLOCKS)).cast("long"))
+    ranges = blocks.groupBy("key", "epoch", "range").agg(F.sum("tokens").alias("in_range"), F.count("*").alias("n"))
+    before = Window.partitionBy("key", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        "key", "epoch", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("tokens_before"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("blocks_before"),
+    )
+    order = Window.partitionBy("key", "epoch", "range").orderBy("draw", "block")
     earlier = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(
-        "key", "block", "epoch", "budget", (F.row_number().over(order) - 1).cast("long").alias("mix_block"),
-        (F.col("epoch") * F.col("size") + earlier).alias("before"),
+    blocks = blocks.withColumn("earlier", earlier).withColumn("nth", F.row_number().over(order) - 1)
+    blocks = blocks.join(ranges, ["key", "epoch", "range"]).select(
+        "key", "block", "epoch", "budget", (F.col("blocks_before") + F.col("nth")).cast("long").alias("mix_block"),
+        (F.col("epoch") * F.col("size") + F.col("tokens_before") + F.col("earlier")).alias("before"),
     ).where("before < budget")
 
     inside = Window.partitionBy("key", "block", "epoch").orderBy(F.xxhash64("card", "epoch", F.lit(seed + 2)), "id", "size")

@@ -530,6 +530,13 @@ def test_mixing_spreads_null_and_repeated_ids(spark):
     assert largest < 60  # of 25 on average
 
 
+def test_mixing_is_the_same_in_any_number_of_ranges(docs, monkeypatch):
+    order = lambda: sorted(map(str, mixing.mix(docs, block_tokens=10).collect()))
+    whole = order()
+    monkeypatch.setattr(mixing, "RANGE_BLOCKS", 3)
+    assert order() == whole and len(whole) >= docs.count()
+
+
 def test_mixing_spreads_rows_that_are_equal(spark):
     rows = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'' as text", "'s' as source").repartition(5)
     mixed = mixing.mix(rows, block_tokens=100)
