@@ -34,6 +34,7 @@ from lodestone.session import materialize
 CAPACITY = 1024
 END_ID = 2
 LONG_RUN = 10_000  # blanks in a row
+REMEMBERED = 64  # characters of the longest word that an encoder remembers
 # The pre-tokenizer's pattern, spelled out for texts below U+0250: letters, digits and white space of that range.
 _LETTER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _DIGIT = r"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -58,7 +59,8 @@ def added_tokens(path: str) -> dict[str, int]:
 
 
 class Encoder(dict):
-    """Ids of a text as little-endian 32-bit bytes. Remembers the ids of up to ``room`` words.
+    """Ids of a text as little-endian 32-bit bytes. Remembers the ids of up to ``room`` words, of REMEMBERED
+    characters at most, so that unbroken runs do not fill a task's memory.
 
     ``path`` is a file of ranks, which hold the vocabulary of the ``tokenizers`` file of the same name; a test compares
     the ids. Tokens of ``added`` have their own id wherever they stand in a text, which is cut there; without them a text
@@ -82,7 +84,8 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         found = np.array(self.bpe.encode_ordinary(word), "<u4").tobytes()
-        self[word] = found
+        if len(word) <= REMEMBERED:
+            self[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
