@@ -210,3 +210,14 @@ def test_supplier_words(spark):
     df = spark.createDataFrame([("lithium battery cells",), ("single fuse",), ("parts",)], "q string")
     got = [r[0] for r in df.select(suppliers.question_fragments(F.col("q"))).collect()]
     assert got == [["Cell", "Lithium"], [], []]
+
+
+def test_repairs_and_claims_are_joined_once(spark):
+    """Counts and newest ids are read from one written join."""
+    data = tables(spark)
+    failures = evidence.model_failures(data["service_logs"], data["equipment_units"])
+    claims = evidence.model_claims(data["warranty_claims"], data["equipment_units"])
+    assert failures.inputFiles() and all("/repairs-" in name for name in failures.inputFiles())
+    assert claims.inputFiles() and all("/claims-" in name for name in claims.inputFiles())
+    assert [(r.model, r.n, r.examples) for r in failures.collect()] == [("X-7000", 7, "DISP-6, DISP-5, DISP-4")]
+    assert [(r.model, r.status, r.n, r.examples) for r in claims.collect()] == [("X-7000", "Pending", 1, "CLM-1")]
