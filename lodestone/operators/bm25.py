@@ -6,6 +6,7 @@ corpus totals. The document length is stored with each posting, so a search does
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,6 +23,8 @@ K1, B = 1.5, 0.75
 BUCKETS, SPREAD = 64, 8
 # A term's postings are spread over this many tasks when the query terms are too many to broadcast.
 SALTS = 32
+# Pairs of a query and a chunk that a task sums at once, when the query terms are broadcast.
+PAIRS = 2_000_000
 
 
 @dataclass
@@ -101,7 +104,8 @@ def search(
     rounds scores before ranking, ties go to the smaller chunk id.
     """
     asked = query_terms(queries, id_col, text_col)
-    n, avgdl = (F.lit(v) for v in index.corpus.select("n", "avgdl").first())
+    n_chunks, length = index.corpus.select("n", "avgdl").first()
+    n, avgdl = F.lit(n_chunks), F.lit(length)
     weights = asked.join(index.terms, "term").select(
         "query_id", "term", (F.col("qf") * idf(n, F.col("df"))).alias("_w")
     )
@@ -112,7 +116,10 @@ def search(
             wanted = [r[0] for r in asked.select(_bucket(index.buckets)).distinct().collect()]
             postings = postings.filter(F.col("bucket").isin(wanted))
         vocabulary = asked.select("term").distinct()
-        by_chunk = postings.join(F.broadcast(vocabulary), "term", "left_semi").repartition("chunk_id")
+        # A chunk may share words with every query: tasks are as many as these pairs need, whatever the postings' size.
+        pairs = n_chunks * asked.agg(F.count_distinct("query_id")).first()[0]
+        tasks = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / PAIRS))
+        by_chunk = postings.join(F.broadcast(vocabulary), "term", "left_semi").repartition(tasks, "chunk_id")
         matched = by_chunk.join(F.broadcast(weights), "term")
     else:
         salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")

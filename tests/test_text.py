@@ -228,3 +228,15 @@ def test_percentiles_without_a_task_per_group(spark):
     assert np.allclose(tuple(whole), np.quantile(np.concatenate(list(values.values())), [0.5, 0.95, 0.99]))
     plan = metrics.percentiles(frame, "v", ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
+
+
+def test_bm25_tasks_grow_with_pairs(spark, monkeypatch):
+    """Tasks that sum scores are as many as the pairs of queries and chunks need."""
+    docs = spark.range(40).selectExpr("concat('c', id) AS chunk_id", "concat('pump w', id % 7) AS text")
+    asked = spark.createDataFrame([(i, f"pump w{i}") for i in range(5)], "query_id long, text string")
+    few = bm25.search(bm25.build(docs), asked, 3, digits=6)
+    monkeypatch.setattr(bm25, "PAIRS", 10)
+    many = bm25.search(bm25.build(docs), asked, 3, digits=6)
+    assert "RepartitionByExpression [chunk_id" in (plan := many._jdf.queryExecution().optimizedPlan().toString())
+    assert any("[chunk_id" in line and line.rstrip().endswith(", 20") for line in plan.splitlines())
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
