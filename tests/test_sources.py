@@ -108,3 +108,22 @@ def test_sinks(spark, tmp_path):
     runs = spark.read.json(str(tmp_path / "runs"))
     assert sinks.latest_run(runs).first().run_id == "20240201-000000"
     assert sinks.latest_run(runs, "20240101-000000").count() == 1
+
+
+def test_contexts_are_written_behind_the_join(spark):
+    """The join of payloads and of the view moves short columns, not the texts made of them."""
+    logs = spark.range(3).selectExpr(
+        "concat('D', id) dispatch_id", "concat('E', id) equipment_id", "date'2024-01-01' dispatch_date", "'T' technician",
+        "'Diagnostic' service_type", "'Done' resolution_summary", "'Completed' status")
+    units = spark.range(3).selectExpr("concat('E', id) equipment_id", "'M' model", "'C' customer_id", "'S' serial_number")
+    for out in (enrich.payloads(logs, units), enrich.safe_view(logs, units)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Service Date" in plan and "Service Date" not in plan[plan.index("Join "):]
+        assert out.count() == 3
+
+
+def test_ranges_are_packed(spark):
+    from lodestone.operators import ranking
+
+    placed = ranking.ranged(spark.range(10), ["id"], 2)
+    assert all(name.endswith(".zstd.parquet") for name in placed.inputFiles())
