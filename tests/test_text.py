@@ -210,6 +210,21 @@ def test_collection(spark, space):
     assert vectors.upsert_collection(once, once.filter("chunk_id < 10"), rebuild=True).count() == 10
 
 
+def test_nearest_rows_are_found_without_ranking_all(monkeypatch):
+    """Ties, strips and pairs that do not count as in brute force; only the first strip of the rows is ranked whole."""
+    rng, ranked = np.random.default_rng(5), []
+    best = vectors._best
+    monkeypatch.setattr(vectors, "_best", lambda scores, *rest: ranked.append(len(scores)) or best(scores, *rest))
+    for n, some in ((0, 1.0), (3, 1.0), (257, 0.02), (6000, 1.0), (6000, 0.5)):
+        v = unit(rng.normal(size=(max(1, n // 20), 8)))[rng.integers(0, max(1, n // 20), n)]  # each vector many times
+        q, ids, allowed = unit(rng.normal(size=(7, 8))), rng.permutation(n), rng.random((n, 7)) < some
+        scores = np.where(allowed, np.round(v @ q.T, 2), -np.inf)
+        want = {(i, j, scores[i, j]) for j in range(7) for i in sorted(np.flatnonzero(allowed[:, j]), key=lambda i: (-scores[i, j], ids[i]))[:4]}
+        rows, cols, found = vectors._nearest(v, ids, q, 4, 2, allowed)
+        assert set(zip(rows.tolist(), cols.tolist(), found.tolist())) == want and len(rows) == len(want)
+    assert max(ranked) <= vectors.FIRST_ROWS
+
+
 def test_percentiles_without_a_task_per_group(spark):
     import numpy as np
     from pyspark.sql import functions as F
