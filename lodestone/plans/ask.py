@@ -45,7 +45,8 @@ def ask(
 ) -> Asked:
     """Route, gather evidence, build prompts and answer from the evidence alone.
 
-    Every stage is written once to the shared folder and timed. A source that fails is reported, and the others go on.
+    Every stage is written once to the shared folder and timed; texts that many questions share are kept apart from the evidence
+    and put into it where it is read. A source that fails is reported, and the others go on.
     """
     timings, began = {}, time.perf_counter()
 
@@ -57,7 +58,6 @@ def ask(
     routed = materialize(router.route(questions), "routed")
     at = timed("routing_ms", began)
     found, errors, by_source = evidence.collect(routed, tables, as_of, embedder)
-    found = materialize(found, "evidence")
     timings.update(by_source)
     at = timed("retrieval_ms", at)
     prompted = materialize(answers.build_prompt(routed, found), "prompts")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import citations, evidence, metrics, router, suppliers, vectors
+from lodestone.operators import answers, citations, evidence, metrics, router, suppliers, vectors
 from lodestone.plans.ask import ask, index_documents
 
 # The recorded questions. (question, intents, entities, sources)
@@ -221,3 +221,59 @@ def test_repairs_and_claims_are_joined_once(spark):
     assert claims.inputFiles() and all("/claims-" in name for name in claims.inputFiles())
     assert [(r.model, r.n, r.examples) for r in failures.collect()] == [("X-7000", 7, "DISP-6, DISP-5, DISP-4")]
     assert [(r.model, r.status, r.n, r.examples) for r in claims.collect()] == [("X-7000", "Pending", 1, "CLM-1")]
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Many questions about one fault code and one part name, units and parts to list, and the evidence with texts apart."""
+    data = tables(spark)
+    data["telemetry"] = data["telemetry"].crossJoin(spark.range(200).withColumnRenamed("id", "unit")).withColumn(
+        "equipment_id", F.concat(F.lit("SN-U-"), "unit")).withColumn("log_id", F.concat("log_id", F.lit("-"), "unit")).drop("unit")
+    data["parts_inventory"] = data["parts_inventory"].crossJoin(spark.range(300).withColumnRenamed("id", "n")).withColumn(
+        "part_id", F.concat("part_id", F.lit("-"), "n")).drop("n")
+    texts = [GOLDENS[i][0] for i in (1, 4, 6, 7)]
+    asks = spark.createDataFrame([(i, texts[i % 4]) for i in range(200)] + [(None, texts[0])], "question_id long, question string")
+    routed = router.route(asks)
+    return routed, data, evidence.gather(routed, data, F.lit("2025-01-01").cast("date"))[0]
+
+
+def test_texts_that_questions_share_are_written_once(crowd):
+    _, _, found = crowd
+    shared = found.rows.filter("_body IS NOT NULL")
+    assert shared.count() == 50 + 51 * 1 + 50 * 1 and shared.filter("text IS NOT NULL OR length(record_id) > 200").count() == 0
+    assert found.texts.count() == shared.select("_body").distinct().count() == 3
+    whole = found.whole()
+    assert whole.count() == found.rows.count() and whole.filter("text IS NULL").count() == 0
+    units = whole.filter("database = 'documents.telemetry' AND text LIKE 'Fault code%'").select("text").distinct().collect()
+    assert len(units) == 1 and units[0].text.count("SN-U-") == 200
+    parts = whole.filter("record_id LIKE 'PRT-1-0, %'").select("record_id").distinct().collect()
+    assert len(parts) == 1 and len(parts[0].record_id.split(", ")) == 600
+
+
+def test_shared_texts_are_the_same_with_and_without_broadcast(crowd, monkeypatch):
+    _, _, found = crowd
+    kept = [c for c in found.whole().columns if c != "claim"]
+    rows = sorted(found.whole().select(kept).collect(), key=str)
+    monkeypatch.setattr(evidence, "TASK_BYTES", 1 << 14)
+    assert sorted(found.whole().select(kept).collect(), key=str) == rows
+    monkeypatch.setattr(evidence, "BROADCAST_BYTES", -1)
+    assert sorted(found.whole().select(kept).collect(), key=str) == rows
+
+
+def test_verification_of_shared_rows_is_that_of_whole_rows(crowd):
+    _, data, found = crowd
+    day = F.lit("2025-01-01").cast("date")
+    data = data | {"parts_inventory": data["parts_inventory"].filter("part_id <> 'PRT-1-7'")}
+    columns = ["question_id", "tag", "records", "found", "verified"]
+    apart = evidence.verify_apart(found, data, day).whole().filter("question_id IS NOT NULL").select(columns).collect()
+    whole = evidence.verify(found.whole().filter("question_id IS NOT NULL"), data, day).select(columns).collect()
+    assert sorted(apart) == sorted(whole) and {r.verified for r in apart} == {True, False}
+
+
+def test_contexts_are_not_broadcast(crowd):
+    routed, _, found = crowd
+    prompts = answers.build_prompt(routed, found.whole())
+    for joined in (prompts, answers.extractive(routed, found.whole())):
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert "rightHint=(strategy=merge)" in plan
+    assert prompts.filter("prompt LIKE '%SN-U-199%'").count() == 50
