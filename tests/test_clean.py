@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +86,56 @@ def test_exponents_keep_every_digit(spark):
     }
     frame = spark.createDataFrame([(k,) for k in cases], "v string").select("v", clean.number(F.col("v")).alias("n"))
     assert {r.v: r.n for r in frame.collect()} == cases
+
+
+DECODERS = [
+    (clean._nfkc_then_unescape, clean._nfkc_then_unescape_long, "Ａ"), (clean._unescape_then_nfkc, clean._unescape_then_nfkc_long, "A"),
+]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 20, 1 << 20])
+@pytest.mark.parametrize("values", [[], [None], [None, "a&amp;b", "", None, "ﬁ" * 9, "&#xFF21;", "&#x1F600;é", None], ["&lt;"] * 30])
+def test_pieces_give_every_value(monkeypatch, values, piece):
+    monkeypatch.setattr(clean, "PIECE", piece)
+    for short, long, letter in DECODERS:
+        plain = {None: None, "a&amp;b": "a&b", "": "", "ﬁ" * 9: "fi" * 9, "&#xFF21;": letter, "&#x1F600;é": "😀é", "&lt;": "<"}
+        array = pa.array(values, pa.string())
+        assert short.func(array).to_pylist() == [plain[v] for v in values]
+        parts = list(long.func(iter([array, array])))
+        assert [v for part in parts for v in part.to_pylist()] == [plain[v] for v in values * 2]
+        assert all(sum(len(v.encode()) for v in part.to_pylist()[1:] if v) <= 2 * piece for part in parts)
+
+
+def test_only_a_piece_of_a_batch_is_python_strings():
+    # 16 MB of text, four bytes a character in Python: as a whole 64 MB, and as much for the results.
+    batch = pa.array(["x &amp; y" * 500 + "😀"] * 3700, pa.string())
+    for short, long, _ in DECODERS:
+        tracemalloc.start()
+        for part in long.func(iter([batch])):
+            assert part.nbytes < 2 * clean.PIECE
+        streamed = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        assert len(short.func(batch)) == len(batch)
+        whole = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert max(streamed, whole) < 16 * clean.PIECE
+
+
+def test_long_texts_come_back_in_pieces(spark):
+    rows = spark.range(3000).select(
+        "id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("<p>é &amp;"), F.repeat(F.lit(" ab "), 400), F.col("id"))).alias("v"))
+    found = rows.coalesce(1).select("id", "v", clean.text(F.col("v"), long=True).alias("long"), clean.text(F.col("v")).alias("short")).collect()
+    assert len(found) == 3000
+    for r in found:
+        assert r.long == r.short == (None if r.v is None else "é &" + " ab" * 400 + f" {r.id}")
+
+
+def test_clean_text_streams_pages(spark, tmp_path):
+    from lodestone.plans.queries import QUERIES
+
+    pages = [(1, "u", "<b>Café</b> &copy;\n"), (2, "u", None), (2, "u", " n/a "), (None, "u", "plain  text")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = QUERIES["clean_text"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "Café ©"), (2, None), (2, None), (None, "plain text")], key=str)
+    # Results of a batch are not gathered: batches go to Python and pieces come back.
+    assert "_long(" in out._jdf.queryExecution().executedPlan().toString()
