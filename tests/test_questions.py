@@ -1,7 +1,9 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lodestone.operators import answers, citations, evidence, metrics, router, suppliers, vectors
+from lodestone.plans import queries
 from lodestone.plans.ask import ask, index_documents
 
 # The recorded questions. (question, intents, entities, sources)
@@ -182,6 +184,30 @@ def test_failing_source_is_reported(spark, questions):
     assert result.answers.count() == len(GOLDENS)
 
 
+def failing(spark):
+    """The tables, of which the event log fails when it is read."""
+    data = tables(spark)
+    data["telemetry"] = data["telemetry"].withColumn("fault_code", F.raise_error(F.lit("log store is down")).cast("string"))
+    return data
+
+
+def test_gathered_evidence_is_whole_or_fails(spark, questions):
+    routed, day = router.route(questions), F.lit("2025-01-01").cast("date")
+    with pytest.raises(PySparkException, match="log store is down"):
+        evidence.gather(routed, failing(spark), day)
+    without = {name: df for name, df in tables(spark).items() if name != "telemetry"}
+    with pytest.raises(ValueError, match="document: missing tables: telemetry"):
+        evidence.gather(routed, without, day)
+
+
+@pytest.mark.parametrize("name", ["verify_evidence"])
+def test_queries_fail_with_a_source(spark, questions, monkeypatch, name):
+    monkeypatch.setattr(queries, "_tables", lambda *_: failing(spark))
+    monkeypatch.setattr(queries, "_routed", lambda *_: router.route(questions))
+    with pytest.raises(PySparkException, match="log store is down"):
+        queries.QUERIES[name](spark, "nowhere").collect()
+
+
 def test_units_are_found_by_both_ids_once(spark):
     units = spark.createDataFrame([("E1", "S1"), ("E2", "S2")], "equipment_id string, serial_number string")
     ids = spark.createDataFrame([(1, "E1"), (1, "S1"), (2, "S2"), (3, "zz")], "question_id long, id string")
