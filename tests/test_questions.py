@@ -200,7 +200,7 @@ def test_gathered_evidence_is_whole_or_fails(spark, questions):
         evidence.gather(routed, without, day)
 
 
-@pytest.mark.parametrize("name", ["verify_evidence"])
+@pytest.mark.parametrize("name", ["verify_evidence", "evidence_tags", "extractive_answers", "prompt_context"])
 def test_queries_fail_with_a_source(spark, questions, monkeypatch, name):
     monkeypatch.setattr(queries, "_tables", lambda *_: failing(spark))
     monkeypatch.setattr(queries, "_routed", lambda *_: router.route(questions))
