@@ -22,7 +22,7 @@ from lodestone.functions.text import first_id
 from lodestone.operators import suppliers as supplier_ops, telemetry as tel, vectors
 from lodestone.operators.enrich import warranty_state
 from lodestone.operators.ranking import latest, rank, top_ids
-from lodestone.session import broadcast_if_small, materialize
+from lodestone.session import broadcast_if_small, materialize, share_long_values
 from lodestone.sources.schemas import EVIDENCE_COLUMNS
 
 # Service types that count as repairs.
@@ -97,8 +97,12 @@ class Apart:
     rows: DataFrame
     texts: DataFrame | None = None
 
-    def whole(self) -> DataFrame:
-        """The rows with their texts, in the columns of ``rows`` without ``_body``."""
+    def whole(self, by_text: bool = False) -> DataFrame:
+        """The rows with their texts, in the columns of ``rows`` without ``_body``.
+
+        Long results are dealt by question, for whoever gathers them by question; ``by_text`` puts rows of one text side by
+        side, so that files of the result hold it once (:func:`share_long_values`).
+        """
         columns = [c for c in self.rows.columns if c != "_body"]
         if self.texts is None:
             return self.rows.select(columns)
@@ -113,7 +117,8 @@ class Apart:
             rows = self.rows
             if result > TASK_BYTES:
                 # All rows of a question in one task, so that texts need not be shuffled to be gathered by question.
-                rows = rows.repartition(max(tasks, result // TASK_BYTES), "question_id")
+                n = max(tasks, result // TASK_BYTES)
+                rows = rows.repartitionByRange(n, "_body", "question_id") if by_text else rows.repartition(n, "question_id")
             found = rows.join(F.broadcast(held), "_body", "left")
             apart = F.col("_body").isNotNull()
             return found.select(*[
@@ -519,7 +524,8 @@ def telemetry(questions: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     twice whatever is asked: for the sums of all scopes, and for the few events that they show.
     """
     rows, texts = _telemetry(questions, tables)
-    return Apart(materialize(rows, "evidence-rows"), texts).whole()
+    share_long_values(questions.sparkSession)
+    return Apart(materialize(rows, "evidence-rows"), texts).whole(by_text=True)
 
 
 def _telemetry(questions: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Narrow id frames up to this many rows may be broadcast (about 100 bytes a row -> 20 MB).
 BROADCAST_ROWS = 200_000
+# Bytes of different values of a column that a parquet file may hold once each, where many rows share long texts.
+DICTIONARY_BYTES = 32 << 20
 
 
 def get_session(app: str = "lodestone", master: str | None = None, **conf: str) -> SparkSession:
@@ -77,6 +79,15 @@ def materialize(df: DataFrame, name: str = "stage", compression: str | None = No
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share_long_values(spark: SparkSession) -> None:
+    """Let parquet files that the session writes from now on hold long values once, however many rows share them.
+
+    By default a file gives up its dictionary of values at 1 MB, which one list of ids can exceed. Files whose first values
+    do not repeat have none in either case.
+    """
+    spark.conf.set("parquet.dictionary.page.size", str(DICTIONARY_BYTES))
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -303,3 +303,19 @@ def test_contexts_are_not_broadcast(crowd):
         plan = joined._jdf.queryExecution().optimizedPlan().toString()
         assert "rightHint=(strategy=merge)" in plan
     assert prompts.filter("prompt LIKE '%SN-U-199%'").count() == 50
+
+
+def test_files_hold_long_texts_that_rows_share_once(spark, crowd, monkeypatch, tmp_path):
+    routed, data, found = crowd
+    rows = sorted(str(r) for r in found.whole().drop("claim").collect())
+    monkeypatch.setattr(evidence, "TASK_BYTES", 1 << 14)
+    assert sorted(str(r) for r in found.whole(by_text=True).drop("claim").collect()) == rows
+    # A text of two megabytes, which packing alone makes hardly shorter.
+    long = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1 << 15)), lambda i: F.sha2(i.cast("string"), 256)), "")
+    texts = evidence.materialize(found.texts.withColumn("text", F.concat("_body", long)))
+    monkeypatch.setattr(evidence, "TASK_BYTES", 1 << 27)
+    evidence.telemetry(routed, data)  # sets how the session writes
+    evidence.Apart(found.rows, texts).whole(by_text=True).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.agg(F.sum(F.length("text"))).first()[0] > 151 << 21
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 40 << 20
