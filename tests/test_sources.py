@@ -1,9 +1,11 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import audit, enrich, ranking, upsert
+from lodestone.session import materialize
 from lodestone.sources import bronze, catalog, sinks, tables, telemetry
 from lodestone.sources.schemas import RAW_COLUMNS
 
@@ -127,3 +129,19 @@ def test_ranges_are_packed(spark):
 
     placed = ranking.ranged(spark.range(10), ["id"], 2)
     assert all(name.endswith(".zstd.parquet") for name in placed.inputFiles())
+
+
+def test_written_stages_leave_no_shuffle_files(spark):
+    def files():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {name for name in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = files(), spark.conf.get(setting, None)
+    counts = spark.range(1000).groupBy(F.col("id") % 7).count()
+    stage = materialize(counts, "counts")
+    until = time.monotonic() + 20
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(setting, None) == kept
+    assert stage.agg(F.sum("count")).first()[0] == 1000
