@@ -319,3 +319,17 @@ def test_files_hold_long_texts_that_rows_share_once(spark, crowd, monkeypatch, t
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.agg(F.sum(F.length("text"))).first()[0] > 151 << 21
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 40 << 20
+
+
+def test_prompts_of_shared_texts_are_those_of_whole_rows(crowd, monkeypatch):
+    routed, _, found = crowd
+    whole = answers.build_prompt(routed, found.whole()).select("question_id", "prompt").collect()
+    apart = answers.build_prompt_apart(routed, found).select("question_id", "prompt")
+    assert sorted(apart.collect(), key=str) == sorted(whole, key=str)
+    # Texts come last, by broadcast: none of them is shuffled or sorted.
+    plan = apart._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("rightHint=(strategy=broadcast)") < plan.index("collect_list")
+    monkeypatch.setattr(evidence, "TASK_BYTES", 1 << 14)
+    assert sorted(answers.build_prompt_apart(routed, found).select("question_id", "prompt").collect(), key=str) == sorted(whole, key=str)
+    monkeypatch.setattr(evidence, "BROADCAST_BYTES", -1)
+    assert sorted(answers.build_prompt_apart(routed, found).select("question_id", "prompt").collect(), key=str) == sorted(whole, key=str)
