@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import answers, citations, evidence, metrics, router, suppliers, vectors
 from lodestone.plans import queries
 from lodestone.plans.ask import ask, index_documents
+from lodestone.session import broadcast_if_small
 
 # The recorded questions. (question, intents, entities, sources)
 GOLDENS = [
@@ -333,3 +334,19 @@ def test_prompts_of_shared_texts_are_those_of_whole_rows(crowd, monkeypatch):
     assert sorted(answers.build_prompt_apart(routed, found).select("question_id", "prompt").collect(), key=str) == sorted(whole, key=str)
     monkeypatch.setattr(evidence, "BROADCAST_BYTES", -1)
     assert sorted(answers.build_prompt_apart(routed, found).select("question_id", "prompt").collect(), key=str) == sorted(whole, key=str)
+
+
+def test_vectors_of_questions_are_not_broadcast(spark, questions, monkeypatch):
+    asked, search = [], vectors.search_containing
+    monkeypatch.setattr(vectors, "search_containing", lambda pairs, *rest: asked.append(pairs) or search(pairs, *rest))
+    found = evidence.vector(router.route(questions), tables(spark)["collection"], vectors.HashedTerms())
+    assert found.count() > 0
+    for frame in (asked[0], found):
+        assert "rightHint=(strategy=merge)" in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frames_beyond_the_bound_are_joined_by_a_shuffle(spark):
+    few = spark.range(10).withColumnRenamed("id", "key")
+    for bound, join in ((10, "BroadcastHashJoin"), (9, "SortMergeJoin")):
+        joined = spark.range(10).join(broadcast_if_small(few, bound), F.col("id") == F.col("key"))
+        assert join in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 10
